@@ -24,6 +24,9 @@ class RunLog:
         self.path = f"{root.rstrip('/')}/_runs"
 
     def events(self) -> DataFrame:
+        from ..sources.store import path_exists
+        if not path_exists(self.spark, self.path):
+            return self.spark.createDataFrame([], EVENT_SCHEMA)
         try:
             return self.spark.read.schema(EVENT_SCHEMA).parquet(self.path)
         except Exception:

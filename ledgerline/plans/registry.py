@@ -94,6 +94,171 @@ FROM fact_payments GROUP BY branch_code ORDER BY total_collected DESC"""))(
     lambda s, d: V.branch_performance(_w(s, d)))
 
 
+# --------------------------------------------------- load products (A, H)
+DIM_DATE_COLS = ("date_sk, full_date, day, month, month_name, quarter, year, week_of_year, day_of_week, "
+                 "day_name, is_weekend, is_month_end")
+register("calendar", O.with_full(f"""
+SELECT {', '.join('dd.' + c.strip() for c in DIM_DATE_COLS.split(','))},
+       COALESCE(p.n, 0) AS payments_on_day
+FROM dim_date dd LEFT JOIN (SELECT date_sk, COUNT(*) AS n FROM fact_payments GROUP BY date_sk) p
+  ON dd.date_sk = p.date_sk"""))(lambda s, d: V.calendar_activity(_w(s, d)))
+
+STG_C = "customer_id, full_name, email, phone, city, country, segment, created_at"
+STG_L = ("loan_id, customer_id, product_id, amount, interest_rate, tenure_months, status, disbursed_at, "
+         "maturity_date, branch_code, created_at")
+STG_P = ("payment_id, loan_id, amount, principal_portion, interest_portion, penalty_portion, payment_method, "
+         "payment_date, created_at")
+register("stage_customers", O.with_full(f"SELECT {STG_C} FROM stg_customers"))(
+    lambda s, d: _w(s, d)["stg_customers"].select(*STG_C.split(", ")))
+register("stage_loans", O.with_full(f"SELECT {STG_L} FROM stg_loans"))(
+    lambda s, d: _w(s, d)["stg_loans"].select(*STG_L.split(", ")))
+register("stage_payments", O.with_full(f"SELECT {STG_P} FROM stg_payments"))(
+    lambda s, d: _w(s, d)["stg_payments"].select(*STG_P.split(", ")))
+
+DIM_C = ("customer_sk, customer_id, full_name, email, phone, city, country, segment, effective_date, "
+         "expiry_date, is_current")
+DIM_L = ("loan_sk, loan_id, customer_id, product_id, amount, interest_rate, tenure_months, status, "
+         "branch_code, disbursed_at, maturity_date")
+register("dim_customer_keys", O.with_full(f"SELECT {DIM_C} FROM dim_customer"))(
+    lambda s, d: _w(s, d)["dim_customer"].select(*DIM_C.split(", ")))
+register("dim_loan_keys", O.with_full(f"SELECT {DIM_L} FROM dim_loan"))(
+    lambda s, d: _w(s, d)["dim_loan"].select(*DIM_L.split(", ")))
+
+register("dim_product_keys", O.with_full("""
+SELECT p.product_sk, p.product_id, p.product_name, p.product_type, COALESCE(n.loans, 0) AS loan_count
+FROM (SELECT CAST(row_number() OVER (ORDER BY product_id) AS BIGINT) AS product_sk, product_id, product_name,
+             product_type FROM loan_products) p
+LEFT JOIN (SELECT product_id, COUNT(*) AS loans FROM dim_loan GROUP BY product_id) n
+  ON p.product_id = n.product_id"""))(lambda s, d: V.products_in_use(_w(s, d)))
+
+register("payment_methods", O.with_full("""
+SELECT m.method_sk, m.method_code, m.method_name, COALESCE(n.payments, 0) AS payment_count
+FROM dim_payment_method m
+LEFT JOIN (SELECT method_sk, COUNT(*) AS payments FROM fact_payments GROUP BY method_sk) n
+  ON m.method_sk = n.method_sk"""))(lambda s, d: V.methods_in_use(_w(s, d)))
+
+FP = ("payment_sk, payment_id, customer_sk, loan_sk, date_sk, method_sk, payment_amount, principal_portion, "
+      "interest_portion, penalty_portion, loan_amount, interest_rate, customer_segment, loan_status, branch_code")
+FL = ("loan_fact_sk, loan_id, customer_sk, loan_sk, disbursement_date_sk, maturity_date_sk, principal_amount, "
+      "interest_rate, tenure_months, outstanding_balance, total_paid, payment_count, is_active, is_defaulted, "
+      "is_repaid, customer_segment, branch_code")
+register("fact_payments_first", O.with_full(f"SELECT {FP} FROM fact_payments"))(
+    lambda s, d: _w(s, d)["fact_payments"].select(*FP.split(", ")))
+register("fact_loans", O.with_full(f"SELECT {FL} FROM fact_loans"))(
+    lambda s, d: _w(s, d)["fact_loans"].select(*FL.split(", ")))
+
+# incremental scenario: run 1 on the first snapshot, run 2 on everything
+register("fact_payments_increment", O.with_incremental(f"SELECT {FP} FROM r2_fact_payments"))(
+    lambda s, d: _inc(s, d)["fact_payments"].select(*FP.split(", ")))
+register("fact_loans_second_run", O.with_incremental(
+    f"SELECT {FL}, etl_loaded_at FROM r2_fact_loans"))(
+    lambda s, d: _inc(s, d)["fact_loans"].select(*FL.split(", "), "etl_loaded_at"))
+register("dim_loan_second_run", O.with_incremental(f"SELECT {DIM_L} FROM r2_dim_loan"))(
+    lambda s, d: _inc(s, d)["dim_loan"].select(*DIM_L.split(", ")))
+register("late_dimension_pending", O.with_incremental("""
+SELECT sp.payment_id, sp.loan_id, sp.payment_date,
+       sp.loan_id IN (SELECT loan_id FROM r1_stg_loans) AS loan_seen_in_run1,
+       sp.payment_id IN (SELECT payment_id FROM r2_fact_payments) AS loaded_in_run2
+FROM r1_stg_payments sp
+WHERE sp.payment_id NOT IN (SELECT payment_id FROM r1_fact_payments)"""))(
+    lambda s, d: V.late_pending(WH.built(s, d, "incremental")))
+
+# ----------------------------------------------------- guide queries K8-K18
+register("warehouse_counts", O.with_full("""
+SELECT 'dim_customer' AS table_name, COUNT(*) AS row_count FROM dim_customer
+UNION ALL SELECT 'dim_loan', COUNT(*) FROM dim_loan
+UNION ALL SELECT 'dim_date', COUNT(*) FROM dim_date
+UNION ALL SELECT 'dim_payment_method', COUNT(*) FROM dim_payment_method
+UNION ALL SELECT 'fact_payments', COUNT(*) FROM fact_payments
+UNION ALL SELECT 'fact_loans', COUNT(*) FROM fact_loans"""))(lambda s, d: V.warehouse_counts(_w(s, d)))
+
+register("totals", O.with_full("""
+SELECT (SELECT COUNT(*) FROM fact_loans) AS total_loans,
+       (SELECT CAST(SUM(payment_amount) AS DECIMAL(38,2)) FROM fact_payments) AS total_revenue"""))(
+    lambda s, d: V.totals(_w(s, d)))
+
+register("status_totals", O.with_full("""
+SELECT loan_status, COUNT(*) AS payment_rows, CAST(SUM(loan_amount) AS DECIMAL(38,2)) AS total_loan_amount
+FROM fact_payments GROUP BY loan_status"""))(lambda s, d: V.status_totals(_w(s, d)))
+
+register("revenue_by_segment", O.with_full("""
+SELECT customer_segment, CAST(SUM(payment_amount) AS DECIMAL(38,2)) AS total_revenue
+FROM fact_payments GROUP BY customer_segment"""))(lambda s, d: V.revenue_by_segment(_w(s, d)))
+
+register("revenue_month_branch", O.with_full("""
+SELECT dd.year, dd.month, fp.branch_code, CAST(SUM(fp.payment_amount) AS DECIMAL(38,2)) AS total_revenue,
+       COUNT(*) AS payment_count
+FROM fact_payments fp JOIN dim_date dd ON fp.date_sk = dd.date_sk
+WHERE dd.full_date > (SELECT CAST(max(d2.full_date) - INTERVAL 36 MONTH AS DATE)
+                      FROM fact_payments f2 JOIN dim_date d2 ON f2.date_sk = d2.date_sk)
+GROUP BY dd.year, dd.month, fp.branch_code"""))(lambda s, d: V.revenue_month_branch(_w(s, d)))
+
+register("disbursed_month", O.with_full("""
+SELECT dd.year, dd.month, COUNT(*) AS loans_disbursed,
+       CAST(SUM(fl.principal_amount) AS DECIMAL(38,2)) AS total_disbursed
+FROM fact_loans fl JOIN dim_date dd ON fl.disbursement_date_sk = dd.date_sk
+WHERE dd.full_date > (SELECT CAST(max(d2.full_date) - INTERVAL 24 MONTH AS DATE)
+                      FROM fact_loans f2 JOIN dim_date d2 ON f2.disbursement_date_sk = d2.date_sk)
+GROUP BY dd.year, dd.month"""))(lambda s, d: V.disbursed_by_month(_w(s, d)))
+
+register("default_rate_segment", O.with_full("""
+SELECT customer_segment, COUNT(*) AS loan_count,
+       CAST(SUM(CAST(is_defaulted AS INTEGER)) AS BIGINT) AS defaulted,
+       CAST(SUM(CAST(is_defaulted AS INTEGER)) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS default_rate
+FROM fact_loans GROUP BY customer_segment"""))(lambda s, d: V.default_rate_by_segment(_w(s, d)))
+
+register("interest_branch", O.with_full("""
+SELECT branch_code, CAST(SUM(interest_portion) AS DECIMAL(38,2)) AS total_interest_earned
+FROM fact_payments GROUP BY branch_code"""))(lambda s, d: V.interest_by_branch(_w(s, d)))
+
+# ------------------------------------------------ operational views K1 K2
+register("active_loans", O.with_source("""
+SELECT l.loan_id, c.full_name AS customer_name, c.email, c.segment, lp.product_name, l.amount,
+       l.interest_rate, l.tenure_months, l.outstanding_balance, l.status, l.disbursed_at, l.maturity_date
+FROM src_loans l JOIN src_customers c ON l.customer_id = c.customer_id
+LEFT JOIN loan_products lp ON l.product_id = lp.product_id
+WHERE l.status = 'active'"""))(lambda s, d: V.active_loans(_op(s, d)))
+
+CPS = """
+SELECT c.customer_id, c.full_name, c.segment,
+       COUNT(DISTINCT l.loan_id) AS total_loans,
+       CAST(SUM(l.amount) AS DECIMAL(38,2)) AS total_loan_amount,
+       COUNT(p.payment_id) AS total_payments,
+       CAST(COALESCE(SUM(p.amount), 0) AS DECIMAL(38,2)) AS total_paid,
+       MAX(p.payment_date) AS last_payment_date
+FROM src_customers c
+LEFT JOIN src_loans l ON l.customer_id = c.customer_id
+LEFT JOIN src_payments p ON p.loan_id = l.loan_id
+GROUP BY c.customer_id, c.full_name, c.segment"""
+register("customer_payment_summary", O.with_source(CPS))(
+    lambda s, d: V.customer_payment_summary(_op(s, d), fan_out=True))
+register("customer_payment_summary_exact", O.with_source("""
+SELECT c.customer_id, c.full_name, c.segment,
+       COUNT(l.loan_id) AS total_loans,
+       CAST(SUM(l.amount) AS DECIMAL(38,2)) AS total_loan_amount,
+       CAST(COALESCE(SUM(pl.n), 0) AS BIGINT) AS total_payments,
+       CAST(COALESCE(SUM(pl.paid), 0) AS DECIMAL(38,2)) AS total_paid,
+       MAX(pl.last_date) AS last_payment_date
+FROM src_customers c
+LEFT JOIN src_loans l ON l.customer_id = c.customer_id
+LEFT JOIN (SELECT loan_id, COUNT(*) AS n, SUM(amount) AS paid, MAX(payment_date) AS last_date
+           FROM src_payments GROUP BY loan_id) pl ON pl.loan_id = l.loan_id
+GROUP BY c.customer_id, c.full_name, c.segment"""))(
+    lambda s, d: V.customer_payment_summary(_op(s, d), fan_out=False))
+
+register("loan_payment_counts", O.with_source("""
+SELECT l.loan_id, l.amount, l.outstanding_balance, l.status,
+       (SELECT COUNT(*) FROM src_payments p WHERE p.loan_id = l.loan_id) AS payment_count
+FROM src_loans l"""))(lambda s, d: V.loan_payment_counts(_op(s, d)))
+
+register("loan_points", O.with_source("""
+SELECT p.payment_id, p.loan_id, p.amount, p.payment_method, p.payment_date
+FROM src_payments p
+WHERE p.payment_method = 'cash' AND p.amount > 0
+  AND EXISTS (SELECT 1 FROM src_loans l WHERE l.loan_id = p.loan_id AND l.status IN ('active', 'defaulted'))
+ORDER BY p.loan_id, p.payment_id"""))(lambda s, d: V.loan_points(_op(s, d)))
+
+
 def queries() -> dict[str, Q]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

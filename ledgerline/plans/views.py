@@ -261,3 +261,40 @@ def freshness(w: W, now: Column | None = None) -> DataFrame:
     return out.withColumn("lag_seconds",
                           (F.unix_micros(now.cast("timestamp")) -
                            F.unix_micros(F.col("last_loaded_at").cast("timestamp"))) / 1e6)
+
+
+# ------------------------------------------------------ load products
+def calendar_activity(w: W) -> DataFrame:
+    """Calendar rows with the number of payments on each day."""
+    per_day = w["fact_payments"].groupBy("date_sk").agg(F.count(F.lit(1)).alias("_n"))
+    return (w["dim_date"].join(per_day, "date_sk", "left")
+            .withColumn("payments_on_day", F.coalesce(F.col("_n"), F.lit(0)).cast("long")).drop("_n"))
+
+
+def products_in_use(w: W) -> DataFrame:
+    per = w["dim_loan"].groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
+    return (w["dim_product"].join(F.broadcast(per.where(F.col("product_id").isNotNull())), "product_id", "left")
+            .select("product_sk", "product_id", "product_name", "product_type",
+                    F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("loan_count")))
+
+
+def methods_in_use(w: W) -> DataFrame:
+    per = w["fact_payments"].groupBy("method_sk").agg(F.count(F.lit(1)).alias("_n"))
+    return (w["dim_payment_method"].join(per, "method_sk", "left")
+            .select("method_sk", "method_code", "method_name",
+                    F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("payment_count")))
+
+
+def late_pending(store) -> DataFrame:
+    """Payments staged by run 1 but not loaded by it (parent not extracted
+    yet, or filtered out), and whether run 2 loaded them."""
+    v1 = store.read_all(1)
+    v2 = store.read_all(2)
+    sp = v1["stg_payments"].select("payment_id", "loan_id", "payment_date")
+    pending = sp.join(v1["fact_payments"].select("payment_id"), "payment_id", "left_anti")
+    seen = v1["stg_loans"].select("loan_id").withColumn("loan_seen_in_run1", F.lit(True))
+    loaded = v2["fact_payments"].select("payment_id").withColumn("loaded_in_run2", F.lit(True))
+    return (pending.join(seen, "loan_id", "left").join(loaded, "payment_id", "left")
+            .select("payment_id", "loan_id", "payment_date",
+                    F.coalesce(F.col("loan_seen_in_run1"), F.lit(False)).alias("loan_seen_in_run1"),
+                    F.coalesce(F.col("loaded_in_run2"), F.lit(False)).alias("loaded_in_run2")))

@@ -23,6 +23,13 @@ MANIFEST_SCHEMA = ("version long, table_name string, path string, row_count long
                    "schema_json string, checksum long, committed_at timestamp_ntz")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the Hadoop FileSystem of the path's scheme."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def table_checksum(df: DataFrame) -> DataFrame:
     """Order-independent content checksum (sum of row hashes) and row count."""
     h = F.xxhash64(*[F.col(c) for c in df.columns])
@@ -46,6 +53,8 @@ class TableStore:
 
     # -------------------------------------------------------- manifests
     def manifests(self) -> DataFrame | None:
+        if not path_exists(self.spark, self.manifest_root):
+            return None
         try:
             return self.spark.read.schema(MANIFEST_SCHEMA.replace(", committed_at timestamp_ntz",
                                                                   ", committed_at string")) \
