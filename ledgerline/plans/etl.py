@@ -11,6 +11,7 @@ fixed range; payment methods: five rows).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,6 +118,8 @@ def loan_context(stg: dict[str, DataFrame], dim_customer: DataFrame, dim_loan: D
     sc = stg["stg_customers"].select("customer_id", F.col("segment").alias("customer_segment"))
     dc = dim_customer.where(F.col("is_current")).select("customer_id", "customer_sk")
     dl = dim_loan.select("loan_id", "loan_sk")
+    if "_op" in dim_customer.columns:
+        dc = dc.drop("_op")
     sl = stg["stg_loans"].select("loan_id", "customer_id", F.col("amount").alias("loan_amount"),
                                  "interest_rate", "tenure_months", F.col("status").alias("loan_status"),
                                  "branch_code", "disbursed_at", "maturity_date")
@@ -196,34 +199,50 @@ class RunResult:
     tables: dict[str, DataFrame]
     staged: dict[str, DataFrame]
     new_payments: DataFrame
-    fact_loan_rows: DataFrame
     notes: dict = field(default_factory=dict)
 
 
+Sink = Callable[[str, DataFrame], DataFrame]
+
+
+def _identity(name: str, df: DataFrame) -> DataFrame:
+    return df
+
+
 def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
-             src: dict[str, DataFrame], run_ts: str) -> RunResult:
-    """One ETL run over the current warehouse version (None = empty)."""
+             src: dict[str, DataFrame], run_ts: str, sink: Sink = _identity) -> RunResult:
+    """One ETL run over the current warehouse version (None = empty).
+
+    ``sink(name, df)`` is called once per produced table, in dependency
+    order, and returns the DataFrame later steps read.  The store's sink
+    writes the table and reads it back, so each stage is computed once
+    (staging zone -> dimensions -> facts); the identity sink composes
+    the whole run lazily.
+    """
     cur = current or {}
-    stg = stage(src, run_ts)
-    dim_c = load_dim_customer(cur.get("dim_customer"), stg["stg_customers"], run_ts)
-    dim_l = load_dim_loan(cur.get("dim_loan"), stg["stg_loans"], run_ts)
-    dim_p = load_dim_product(cur.get("dim_product"), src["loan_products"])
+    stg = {k: sink(k, v) for k, v in stage(src, run_ts).items()}
+    dim_c = sink("dim_customer", load_dim_customer(cur.get("dim_customer"), stg["stg_customers"], run_ts))
+    dim_l = sink("dim_loan", load_dim_loan(cur.get("dim_loan"), stg["stg_loans"], run_ts))
+    dim_p = sink("dim_product", load_dim_product(cur.get("dim_product"), src["loan_products"]))
     dd = cur.get("dim_date")
     if dd is None:
-        dd = calendar(spark)
+        dd = sink("dim_date", calendar(spark))
     pm = cur.get("dim_payment_method")
     if pm is None:
-        pm = dim_payment_method(spark)
-    dim_c_t, dim_l_t = dim_c.drop("_op"), dim_l.drop("_op")
-    ctx = loan_context(stg, dim_c_t, dim_l_t)
+        pm = sink("dim_payment_method", dim_payment_method(spark))
+    ctx = loan_context(stg, dim_c, dim_l)
     cand = fact_payment_candidates(spark, stg, ctx, run_ts, dd, pm)
     fp, new_pay = load_fact_payments(cur.get("fact_payments"), cand)
+    new_pay = sink("fact_payments", new_pay)
     rows = fact_loan_rows(spark, stg, ctx, run_ts, dd)
-    fl = load_fact_loans(cur.get("fact_loans"), rows, run_ts)
+    fl = sink("fact_loans", load_fact_loans(cur.get("fact_loans"), rows, run_ts))
+    if cur.get("fact_payments") is not None:
+        fp = cur["fact_payments"].unionByName(new_pay.select(*cur["fact_payments"].columns))
+    else:
+        fp = new_pay
     tables = {
-        "dim_customer": dim_c_t, "dim_loan": dim_l_t, "dim_product": dim_p.drop("_op"),
+        "dim_customer": dim_c.drop("_op"), "dim_loan": dim_l.drop("_op"), "dim_product": dim_p.drop("_op"),
         "dim_date": dd, "dim_payment_method": pm,
-        "fact_payments": fp, "fact_loans": fl.drop("_op"),
+        "fact_payments": fp.select(*FACT_PAYMENT_COLS), "fact_loans": fl.drop("_op"),
     }
-    return RunResult(tables=tables, staged=stg, new_payments=new_pay, fact_loan_rows=rows,
-                     notes={"dim_customer_ops": dim_c, "dim_loan_ops": dim_l, "fact_loans_ops": fl})
+    return RunResult(tables=tables, staged=stg, new_payments=new_pay)

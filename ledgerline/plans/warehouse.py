@@ -34,49 +34,57 @@ def _now():
 
 def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_ts: str | None = None,
          batch_id: int | None = None, log: RunLog | None = None, check_keys: bool = True) -> dict:
-    """One ETL run; returns the run metrics.  Raises after logging a failure."""
+    """One ETL run; returns the run metrics.  Raises after logging a failure.
+
+    Each table is written once and read back by the later steps.  Row
+    counts come from metrics observed while writing (no extra jobs).
+    The manifest is committed last: a failure leaves the previous
+    version current and the run is logged as failed.
+    """
     log = log or RunLog(spark, store.root)
     prev = store.manifest()
-    version = (store.current_version() + 1)
+    version = store.current_version() + 1
     started = _now()
     run_ts = run_ts or started.strftime("%Y-%m-%d %H:%M:%S")
     log.open(version, started, batch_id)
+    entries: dict[str, dict] = {}
+    ops: dict[str, dict] = {}
+
+    def sink(name: str, df: DataFrame) -> DataFrame:
+        append = prev.get(name) if name == "fact_payments" else None
+        metrics = {}
+        if "_op" in df.columns:
+            for op in ("insert", "update"):
+                metrics[op] = F.sum(F.when(F.col("_op") == op, 1).otherwise(0))
+        e = store.write_table(name, df, version, append_to=append, metrics=metrics, drop=["_op"])
+        entries[name] = e
+        ops[name] = e.get("metrics", {})
+        out = spark.read.parquet(e["new_path"])
+        if name in ("stg_customers", "stg_loans") and check_keys:
+            # an upsert batch may not hold one key twice
+            assert_unique_keys(out, "customer_id" if name == "stg_customers" else "loan_id", name)
+        return out
+
     try:
-        if check_keys:  # an upsert batch may not hold one key twice
-            assert_unique_keys(src["customers"], "customer_id", "customers")
-            assert_unique_keys(src["loans"], "loan_id", "loans")
         current = store.read_all() if prev else None
-        res = run_load(spark, current, src, run_ts)
-        entries = []
-        for name in ("dim_customer", "dim_loan", "dim_product", "fact_loans"):
-            entries.append(store.write_table(name, res.tables[name], version))
-        # staging is fully refreshed each run
-        for name, df in res.staged.items():
-            entries.append(store.write_table(name, df, version))
-        pay_entry = store.write_table("fact_payments", res.new_payments, version,
-                                      append_to=prev.get("fact_payments"))
-        entries.append(pay_entry)
-        if not prev:
-            for name in STATIC_TABLES:
-                entries.append(store.write_table(name, res.tables[name], version))
-        store.commit(entries, version, keep=prev)
-        by_name = {e["table_name"]: e for e in entries}
-        new_pay = pay_entry["row_count"] - (int(prev["fact_payments"]["row_count"]) if prev else 0)
-        fl_ops = store.read("fact_loans", version)
+        run_load(spark, current, src, run_ts, sink)
+        store.commit(list(entries.values()), version, keep=prev)
+        new_pay = entries["fact_payments"]["new_rows"]
+        fl = ops["fact_loans"]
         metrics = {
             "payments_inserted": new_pay,
             # rows_inserted / rows_updated keep the source system's definitions:
             # new payments + every upserted loan row; extracted customers + loans.
-            "rows_inserted": new_pay + _count(res.fact_loan_rows),
-            "rows_updated": by_name["stg_customers"]["row_count"] + by_name["stg_loans"]["row_count"],
-            "loans_inserted": fl_ops.count() - (int(prev["fact_loans"]["row_count"]) if prev else 0),
-            "loans_updated": _count(res.fact_loan_rows) - (fl_ops.count() - (int(prev["fact_loans"]["row_count"]) if prev else 0)),
+            "rows_inserted": new_pay + int(fl["insert"]) + int(fl["update"]),
+            "rows_updated": entries["stg_customers"]["row_count"] + entries["stg_loans"]["row_count"],
+            "loans_inserted": int(fl["insert"]),
+            "loans_updated": int(fl["update"]),
             "version": version,
         }
         log.close(version, started, _now(), "success", metrics, batch_id=batch_id)
         return metrics
     except Exception as exc:  # record, then re-raise
-        log.close(version, started, _now(), "failed", error=str(exc), batch_id=batch_id)
+        log.close(version, started, _now(), "failed", error=str(exc)[:2000], batch_id=batch_id)
         raise
 
 

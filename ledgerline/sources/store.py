@@ -42,6 +42,8 @@ class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._manifest_cache: dict[int, dict[str, dict]] = {}
+        self._current: int | None = None
 
     # ----------------------------------------------------------- paths
     def table_path(self, table: str, version: int) -> str:
@@ -63,19 +65,27 @@ class TableStore:
             return None
 
     def current_version(self) -> int:
+        if self._current is not None:
+            return self._current
         m = self.manifests()
         if m is None:
             return 0
         v = m.agg(F.max("version")).first()[0]
-        return int(v or 0)
+        self._current = int(v or 0)
+        return self._current
 
     def manifest(self, version: int | None = None) -> dict[str, dict]:
+        """Manifest rows of a version (one small row per table)."""
+        version = self.current_version() if version is None else version
+        if version in self._manifest_cache:
+            return self._manifest_cache[version]
         m = self.manifests()
-        if m is None:
+        if m is None or version == 0:
             return {}
-        version = self.current_version() if version is None else version
-        rows = m.where(F.col("version") == version).collect()  # one row per table
-        return {r.table_name: r.asDict() for r in rows}
+        rows = m.where(F.col("version") == version).collect()
+        out = {r.table_name: r.asDict() for r in rows}
+        self._manifest_cache[version] = out
+        return out
 
     # ------------------------------------------------------------ read
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
@@ -90,22 +100,32 @@ class TableStore:
 
     # ----------------------------------------------------------- write
     def write_table(self, table: str, df: DataFrame, version: int, compression: str = "snappy",
-                    partition_by: list[str] | None = None, append_to: dict | None = None) -> dict:
+                    partition_by: list[str] | None = None, append_to: dict | None = None,
+                    metrics: dict | None = None, drop: list[str] | None = None) -> dict:
         """Write one table version.  With ``append_to`` (the previous
         manifest entry) only the new rows are written and the entry lists
-        the old files plus the new directory: appends cost O(increment)."""
+        the old files plus the new directory: appends cost O(increment).
+        ``metrics`` are extra aggregate columns observed during the write;
+        ``drop`` columns are removed before writing."""
         obs = Observation(f"w_{table}_{version}")
         path = self.table_path(table, version)
-        w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists") \
-            .option("compression", compression)
+        observed = df.observe(obs, F.count(F.lit(1)).alias("rows"),
+                              *[c.alias(k) for k, c in (metrics or {}).items()])
+        observed = observed.drop(*[c for c in (drop or []) if c in df.columns])
+        w = observed.write.mode("errorifexists").option("compression", compression)
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
-        rows = int(obs.get["rows"])
+        got = obs.get
+        rows = int(got["rows"])
+        schema_json = observed.schema.json()
+        extra = {k: got.get(k) for k in (metrics or {})}
         if append_to is not None:
-            return {"table_name": table, "path": append_to["path"] + "," + path,
-                    "row_count": int(append_to["row_count"]) + rows, "schema_json": df.schema.json()}
-        return {"table_name": table, "path": path, "row_count": rows, "schema_json": df.schema.json()}
+            return {"table_name": table, "path": append_to["path"] + "," + path, "new_path": path,
+                    "row_count": int(append_to["row_count"]) + rows, "new_rows": rows,
+                    "schema_json": schema_json, "metrics": extra}
+        return {"table_name": table, "path": path, "new_path": path, "row_count": rows, "new_rows": rows,
+                "schema_json": schema_json, "metrics": extra}
 
     def commit(self, entries: list[dict], version: int, keep: dict[str, dict] | None = None,
                checksums: bool = False) -> int:
@@ -127,6 +147,8 @@ class TableStore:
         # the version is the directory's partition value, not a field
         df.drop("version").coalesce(1).write.mode("errorifexists") \
             .json(f"{self.manifest_root}/version={version}")
+        self._current = None
+        self._manifest_cache.pop(version, None)
         return version
 
     def write_version(self, tables: dict[str, DataFrame], compression: str = "snappy",
