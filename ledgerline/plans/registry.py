@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from . import views as V
+from ..operators import quality as DQ
 from . import warehouse as WH
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -259,6 +260,47 @@ WHERE p.payment_method = 'cash' AND p.amount > 0
 ORDER BY p.loan_id, p.payment_id"""))(lambda s, d: V.loan_points(_op(s, d)))
 
 
+# ------------------------------------------------------- quality J1-J8, G6
+def _dq_tables(spark, d):
+    return {**_op(spark, d), **_w(spark, d)}
+
+
+for _name, _rules in (("dq_not_null", DQ.NOT_NULL), ("dq_unique", DQ.UNIQUE), ("dq_domain", DQ.DOMAIN),
+                      ("dq_fk", DQ.FOREIGN_KEY), ("dq_range", DQ.RANGE), ("dq_length", DQ.LENGTH)):
+    register(_name, O.rules_summary_sql(_rules))(
+        (lambda rules: lambda s, d: DQ.summary(rules, _dq_tables(s, d)))(_rules))
+
+register("dq_populated", O.with_full("\nUNION ALL\n".join(
+    f"SELECT '{r.table}' AS table_name, COUNT(*) AS row_count, CAST({r.arg} AS BIGINT) AS min_rows, "
+    f"COUNT(*) >= {r.arg} AS passed FROM {O._t(r.table)}" for r in DQ.POPULATED)))(
+    lambda s, d: DQ.populated_report(DQ.POPULATED, _dq_tables(s, d)))
+
+register("dq_restrict", O.with_source("""
+SELECT c.customer_id, COUNT(*) AS child_rows
+FROM src_customers c JOIN src_loans l ON l.customer_id = c.customer_id
+WHERE NOT c.is_active GROUP BY c.customer_id"""))(
+    lambda s, d: DQ.restrict_deletes(_op(s, d)["customers"].where(~F.col("is_active")),
+                                     _op(s, d)["loans"], "customer_id"))
+
+BATCH_RULES = [r for r in DQ.DOMAIN + DQ.RANGE + DQ.FOREIGN_KEY + DQ.NOT_NULL if r.table == "payments"]
+register("atomic_batch_rejected", O.with_source("""
+SELECT p.payment_date, COUNT(*) AS batch_rows,
+       CAST(SUM(CASE WHEN (p.payment_method IS NOT NULL AND p.payment_method NOT IN
+                           ('mpesa', 'bank_transfer', 'cash', 'cheque', 'online'))
+                       OR (p.amount IS NOT NULL AND NOT (p.amount > 0))
+                       OR (p.loan_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM src_loans l WHERE l.loan_id = p.loan_id))
+                       OR p.payment_id IS NULL OR p.loan_id IS NULL OR p.amount IS NULL OR p.payment_date IS NULL
+                     THEN 1 ELSE 0 END) AS BIGINT) AS rejected_rows,
+       SUM(CASE WHEN (p.payment_method IS NOT NULL AND p.payment_method NOT IN
+                           ('mpesa', 'bank_transfer', 'cash', 'cheque', 'online'))
+                       OR (p.amount IS NOT NULL AND NOT (p.amount > 0))
+                       OR (p.loan_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM src_loans l WHERE l.loan_id = p.loan_id))
+                       OR p.payment_id IS NULL OR p.loan_id IS NULL OR p.amount IS NULL OR p.payment_date IS NULL
+                THEN 1 ELSE 0 END) = 0 AS accepted
+FROM src_payments p GROUP BY p.payment_date"""))(
+    lambda s, d: DQ.batch_gate(_op(s, d)["payments"], BATCH_RULES, ["payment_date"], _op(s, d), "payments"))
+
+
 def queries() -> dict[str, Q]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
