@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from . import oracle as O
 from . import views as V
+from ..operators import changes as CH
+from ..operators import posting as PO
 from ..operators import quality as DQ
+from ..operators import upsert as UP
+from ..sources import testdata as TD
 from . import warehouse as WH
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -301,6 +305,123 @@ FROM src_payments p GROUP BY p.payment_date"""))(
     lambda s, d: DQ.batch_gate(_op(s, d)["payments"], BATCH_RULES, ["payment_date"], _op(s, d), "payments"))
 
 
+# ----------------------------------------------- changes G1-G4 G8, posting
+LOAN_DIFF_COLS = ["customer_id", "product_id", "amount", "interest_rate", "tenure_months", "status",
+                  "disbursed_at", "maturity_date", "outstanding_balance", "loan_officer", "branch_code",
+                  "created_at"]
+
+
+def _loan_changes(spark, d):
+    src = _op(spark, d)
+    old = TD.first_snapshot(src)["loans"].select("loan_id", *LOAN_DIFF_COLS)
+    new = TD.second_snapshot(src)["loans"].select("loan_id", *LOAN_DIFF_COLS)
+    log = CH.diff(old, new, "loan_id", LOAN_DIFF_COLS)
+    return log.select("table_name", "operation", "record_id", "changed_columns",
+                      F.get_json_object("old_values", "$.status").alias("old_status"),
+                      F.get_json_object("new_values", "$.status").alias("new_status"))
+
+
+_distinct = " OR ".join(f"o.{c} IS DISTINCT FROM n.{c}" for c in LOAN_DIFF_COLS)
+_changed = ", ".join(f"CASE WHEN o.{c} IS DISTINCT FROM n.{c} THEN '{c}' END" for c in LOAN_DIFF_COLS)
+register("loan_changes", O.with_incremental(f"""
+SELECT 'loans' AS table_name,
+       CASE WHEN o.loan_id IS NULL THEN 'INSERT' WHEN n.loan_id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation,
+       COALESCE(n.loan_id, o.loan_id) AS record_id,
+       CASE WHEN o.loan_id IS NOT NULL AND n.loan_id IS NOT NULL THEN concat_ws(',', {_changed}) END
+         AS changed_columns,
+       o.status AS old_status, n.status AS new_status
+FROM s1_loans o FULL OUTER JOIN s2_loans n ON o.loan_id = n.loan_id
+WHERE o.loan_id IS NULL OR n.loan_id IS NULL OR {_distinct}"""))(_loan_changes)
+
+EVENT_ATTRS = ["event_type", "value", "props", "change_time"]
+
+
+def _log(spark, d):
+    return CH.events_as_change_log(TD.read_table(spark, d, "events"))
+
+
+def _apply_changes(spark, d):
+    log = _log(spark, d)
+    at = F.lit(TD.STATE_AS_OF).cast("timestamp_ntz")
+    base = CH.state_as_of(log, at, "record_id", ["event_type", "value", "props"])
+    later = log.where(F.col("change_time") > at)
+    return CH.apply_changes(base, later, "record_id", EVENT_ATTRS)
+
+
+_LATEST = """
+SELECT user_id AS record_id, event_type, value, props, ts AS change_time
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events {where}) t
+WHERE rn = 1 AND event_type <> 'error'"""
+register("apply_changes", _LATEST.format(where=""))(_apply_changes)
+register("state_as_of", _LATEST.format(where=f"WHERE ts <= TIMESTAMP '{TD.STATE_AS_OF}'"))(
+    lambda s, d: CH.state_as_of(_log(s, d), F.lit(TD.STATE_AS_OF).cast("timestamp_ntz"), "record_id",
+                                ["event_type", "value", "props"]))
+register("changes_latest", """
+SELECT event_id AS log_id, CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE'
+       ELSE 'UPDATE' END AS operation, user_id AS record_id, ts AS change_time, value
+FROM events ORDER BY event_id DESC LIMIT 20""")(
+    lambda s, d: CH.latest_changes(_log(s, d), 20).select("log_id", "operation", "record_id", "change_time",
+                                                          "value"))
+
+POST_SQL = """
+x AS (SELECT p.payment_id, p.loan_id, p.payment_date, p.amount, l.outstanding_balance AS bal,
+             COALESCE(SUM(p.amount) OVER (PARTITION BY p.loan_id ORDER BY p.payment_date, p.payment_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev
+      FROM src_payments p JOIN src_loans l ON l.loan_id = p.loan_id),
+y AS (SELECT *, greatest(bal - prev, 0) AS before FROM x),
+z AS (SELECT *, least(amount, before) AS applied FROM y)"""
+register("post_payments", O.with_source("," + POST_SQL + """
+SELECT payment_id, loan_id, payment_date, amount, CAST(applied AS DECIMAL(14,2)) AS applied,
+       CAST(before AS DECIMAL(14,2)) AS balance_before,
+       CAST(round(applied * 0.75, 2) AS DECIMAL(14,2)) AS principal_portion,
+       CAST(round(applied * 0.25, 2) AS DECIMAL(14,2)) AS interest_portion,
+       CAST(before - applied AS DECIMAL(14,2)) AS balance_after
+FROM z WHERE applied > 0"""))(lambda s, d: PO.post_payments(_op(s, d)["loans"], _op(s, d)["payments"])[0])
+register("balance_deltas", O.with_source("," + POST_SQL + """,
+d AS (SELECT loan_id, SUM(applied) AS delta, COUNT(*) AS n FROM z WHERE applied > 0 GROUP BY loan_id)
+SELECT l.loan_id, CAST(l.outstanding_balance - COALESCE(d.delta, 0) AS DECIMAL(14,2)) AS outstanding_balance,
+       CASE WHEN d.loan_id IS NOT NULL AND l.outstanding_balance - d.delta <= 0 THEN 'repaid' ELSE l.status END
+         AS status,
+       COALESCE(d.n, 0) AS payments_posted
+FROM src_loans l LEFT JOIN d ON l.loan_id = d.loan_id"""))(
+    lambda s, d: PO.post_payments(_op(s, d)["loans"], _op(s, d)["payments"])[1]
+    .select("loan_id", "outstanding_balance", "status", "payments_posted"))
+
+# ------------------------------------------------------------------ SCD2
+SCD_TRACKED = ["full_name", "email", "phone", "city", "country", "segment"]
+
+
+def _scd2(spark, d):
+    src = _op(spark, d)
+    c1 = src["customers"].where("is_active").select("customer_id", *SCD_TRACKED)
+    c2 = TD.customers_second_snapshot(src["customers"], src["loans"]).where("is_active") \
+        .select("customer_id", *SCD_TRACKED)
+    v1 = UP.scd2(None, c1, "customer_id", SCD_TRACKED, "customer_sk", F.lit("2030-01-01"))
+    v2 = UP.scd2(v1, c2, "customer_id", SCD_TRACKED, "customer_sk", F.lit("2030-01-02"))
+    return v2.select("customer_sk", "customer_id", "segment", "effective_date", "expiry_date", "is_current")
+
+
+_scd_distinct = " OR ".join(f"v1.{c} IS DISTINCT FROM c2.{c}" for c in SCD_TRACKED)
+register("dim_customer_scd2", O.with_source(f""",
+c1 AS (SELECT customer_id, {', '.join(SCD_TRACKED)} FROM src_customers WHERE is_active),
+cnt AS (SELECT customer_id, COUNT(*) AS n FROM src_loans GROUP BY customer_id),
+c2 AS (SELECT c.customer_id, {', '.join('c.' + x for x in SCD_TRACKED if x != 'segment')},
+              CASE WHEN COALESCE(cnt.n, 0) >= {TD.SEGMENT_UPGRADE_LOANS} THEN 'corporate' ELSE c.segment END
+                AS segment
+       FROM c1 c LEFT JOIN cnt ON c.customer_id = cnt.customer_id),
+v1 AS (SELECT CAST(row_number() OVER (ORDER BY customer_id) AS BIGINT) AS customer_sk, * FROM c1),
+chg AS (SELECT v1.customer_id FROM v1 JOIN c2 ON v1.customer_id = c2.customer_id WHERE {_scd_distinct})
+SELECT customer_sk, customer_id, segment, DATE '2030-01-01' AS effective_date, CAST(NULL AS DATE) AS expiry_date,
+       TRUE AS is_current FROM v1 WHERE customer_id NOT IN (SELECT customer_id FROM chg)
+UNION ALL
+SELECT customer_sk, customer_id, segment, DATE '2030-01-01', DATE '2030-01-01', FALSE
+FROM v1 WHERE customer_id IN (SELECT customer_id FROM chg)
+UNION ALL
+SELECT (SELECT max(customer_sk) FROM v1) + row_number() OVER (ORDER BY customer_id), customer_id, segment,
+       DATE '2030-01-02', CAST(NULL AS DATE), TRUE
+FROM c2 WHERE customer_id IN (SELECT customer_id FROM chg)"""))(_scd2)
+
+
 def queries() -> dict[str, Q]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

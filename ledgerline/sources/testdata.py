@@ -21,6 +21,11 @@ from pyspark.sql import types as T
 from . import schemas as S
 
 SHIFT_MONTHS = 336
+# A customer with at least this many loans is upgraded to 'corporate' in
+# the second customer snapshot (the SCD2 scenario).
+SEGMENT_UPGRADE_LOANS = 20
+# As-of time of the point-in-time state query over the change log.
+STATE_AS_OF = "2024-01-10 00:00:00"
 # Snapshot cut used by the incremental scenario (run 1 sees data before it).
 SNAPSHOT_CUTOFF = "2028-01-01"
 # The loan extract of run 1 lags the payment extract by this many days.
@@ -201,3 +206,12 @@ def first_snapshot(src: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 def second_snapshot(src: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {**src, "loans": paid_off_flip(src["loans"], src["payments"])}
+
+
+def customers_second_snapshot(customers_df: DataFrame, loans_df: DataFrame) -> DataFrame:
+    """Customers with many loans move to the corporate segment."""
+    n = loans_df.groupBy("customer_id").agg(F.count(F.lit(1)).alias("_n"))
+    return (customers_df.join(n, "customer_id", "left")
+            .withColumn("segment", F.when(F.coalesce(F.col("_n"), F.lit(0)) >= SEGMENT_UPGRADE_LOANS,
+                                          F.lit("corporate")).otherwise(F.col("segment")))
+            .drop("_n"))
