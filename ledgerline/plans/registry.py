@@ -422,6 +422,53 @@ SELECT (SELECT max(customer_sk) FROM v1) + row_number() OVER (ORDER BY customer_
 FROM c2 WHERE customer_id IN (SELECT customer_id FROM chg)"""))(_scd2)
 
 
+# -------------------------------------------------------------- streaming
+def _stream_fact_payments(spark, d):
+    import uuid
+    from ..session import scratch_path
+    from ..sources import schemas as S
+    from ..sources.store import TableStore
+    from ..streaming import microbatch as MB
+    root = scratch_path(spark, "stream", uuid.uuid4().hex)
+    src = _op(spark, d)
+    cut = F.lit(TD.SNAPSHOT_CUTOFF).cast("date")
+    pays = src["payments"]
+    MB.land(pays.where(F.col("payment_date") < cut), f"{root}/landing", "part=0")
+    MB.land(pays.where(F.col("payment_date") >= cut), f"{root}/landing", "part=1")
+    wh = TableStore(spark, f"{root}/warehouse")
+    q = MB.payment_stream(spark, f"{root}/landing", S.PAYMENTS, wh, TableStore(spark, f"{root}/source"),
+                          {k: v for k, v in src.items() if k != "payments"}, f"{root}/_checkpoint",
+                          run_ts_of=lambda b: [WH.FIXED_RUN_TS, WH.SECOND_RUN_TS][min(b, 1)])
+    q.awaitTermination()
+    return wh.read("fact_payments").select(*FP.split(", "))
+
+
+register("stream_fact_payments", "WITH " + O.SOURCE + "," + O.SNAPSHOTS + "," +
+         O.run_ctes("m1", "src_loans", "s1_payments", O.RUN1, None) + "," +
+         O.run_ctes("m2", "src_loans", "src_payments", O.RUN2, "m1") +
+         f"\nSELECT {FP} FROM m2_fact_payments")(_stream_fact_payments)
+
+
+def _stream_changes(spark, d):
+    import uuid
+    from ..session import scratch_path
+    from ..sources.store import TableStore
+    from ..streaming import microbatch as MB
+    root = scratch_path(spark, "changes", uuid.uuid4().hex)
+    ev = TD.read_table(spark, d, "events")
+    at = F.lit(TD.STATE_AS_OF).cast("timestamp_ntz")
+    MB.land(ev.where(F.col("ts") <= at), f"{root}/landing", "part=0")
+    MB.land(ev.where(F.col("ts") > at), f"{root}/landing", "part=1")
+    state = TableStore(spark, f"{root}/state")
+    q = MB.change_stream(spark, f"{root}/landing", ev.schema, state, "record_id", EVENT_ATTRS,
+                         CH.events_as_change_log, f"{root}/_checkpoint")
+    q.awaitTermination()
+    return state.read("state")
+
+
+register("stream_changes", _LATEST.format(where=""))(_stream_changes)
+
+
 def queries() -> dict[str, Q]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
