@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.calendar import calendar_size, dim_date
 from ..operators.upsert import insert_absent, upsert
 from ..sources import schemas as S
+from ..sources.readers import extract_customers, extract_loans, extract_payments
 
 DIM_CUSTOMER_UPDATE = ["full_name", "email", "phone", "city", "country", "segment"]
 DIM_LOAN_UPDATE = ["status", "branch_code", "maturity_date"]
@@ -45,21 +46,6 @@ def ts_lit(run_ts: str) -> Column:
 
 
 # --------------------------------------------------------------- extract
-def extract_customers(customers: DataFrame) -> DataFrame:
-    """Active customers only (inactive ones never reach staging)."""
-    return customers.where(F.col("is_active")).select(*S.STG_CUSTOMER_COLS)
-
-
-def extract_loans(loans: DataFrame) -> DataFrame:
-    return loans.select(*S.STG_LOAN_COLS)
-
-
-def extract_payments(payments: DataFrame) -> DataFrame:
-    return payments.select(
-        *[F.coalesce(F.col(c), F.lit(0).cast(S.MONEY)).alias(c) if c == "penalty_portion" else F.col(c)
-          for c in S.STG_PAYMENT_COLS])
-
-
 def stage(src: dict[str, DataFrame], run_ts: str) -> dict[str, DataFrame]:
     t = ts_lit(run_ts)
     return {

@@ -469,6 +469,74 @@ def _stream_changes(spark, d):
 register("stream_changes", _LATEST.format(where=""))(_stream_changes)
 
 
+# ------------------------------------------- snapshots, run log, freshness
+def _snapshot_roundtrip(spark, d):
+    import uuid
+    from ..session import scratch_path
+    from ..sources import snapshot as SN
+    from ..sources.store import TableStore
+    root = scratch_path(spark, "snapshots", uuid.uuid4().hex)
+    tables = {**{k: v for k, v in _op(spark, d).items()}, **_w(spark, d)}
+    SN.export(spark, tables, root, "snap1", "all", "gzip")
+    return SN.restore(spark, root, "snap1", TableStore(spark, f"{root}/restored"))
+
+
+register("snapshot_roundtrip", O.with_full("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, COUNT(*) AS rows_exported, COUNT(*) AS rows_restored, TRUE AS checksum_match "
+    f"FROM {O._t(t)}" for t in ("customers", "loan_products", "loans", "payments", "dim_customer", "dim_loan",
+                                "dim_date", "dim_product", "dim_payment_method", "fact_payments",
+                                "fact_loans"))))(_snapshot_roundtrip)
+
+
+def _snapshot_list(spark, d):
+    import uuid
+    from ..session import scratch_path
+    from ..sources import snapshot as SN
+    root = scratch_path(spark, "snapshots", uuid.uuid4().hex)
+    tables = {**_op(spark, d), **_w(spark, d)}
+    SN.export(spark, tables, root, "operational", "operational", "gzip")
+    SN.export(spark, tables, root, "warehouse", "warehouse", "gzip")
+    SN.max_compression_export(spark, tables, root, "all_zstd")
+    return SN.list_snapshots(spark, root).select("snapshot", "tables", "total_rows")
+
+
+register("snapshot_list", O.with_full("""
+SELECT 'operational' AS snapshot, CAST(4 AS BIGINT) AS tables,
+       (SELECT COUNT(*) FROM src_customers) + (SELECT COUNT(*) FROM loan_products) + (SELECT COUNT(*) FROM src_loans)
+       + (SELECT COUNT(*) FROM src_payments) AS total_rows
+UNION ALL
+SELECT 'warehouse', CAST(7 AS BIGINT), (SELECT COUNT(*) FROM dim_customer) + (SELECT COUNT(*) FROM dim_loan)
+       + (SELECT COUNT(*) FROM dim_date) + 5 + (SELECT COUNT(*) FROM dim_payment_method)
+       + (SELECT COUNT(*) FROM fact_payments) + (SELECT COUNT(*) FROM fact_loans)
+UNION ALL
+SELECT 'all_zstd', CAST(11 AS BIGINT), (SELECT COUNT(*) FROM src_customers) + (SELECT COUNT(*) FROM loan_products)
+       + (SELECT COUNT(*) FROM src_loans) + (SELECT COUNT(*) FROM src_payments) + (SELECT COUNT(*) FROM dim_customer)
+       + (SELECT COUNT(*) FROM dim_loan) + (SELECT COUNT(*) FROM dim_date) + 5
+       + (SELECT COUNT(*) FROM dim_payment_method) + (SELECT COUNT(*) FROM fact_payments)
+       + (SELECT COUNT(*) FROM fact_loans)"""))(_snapshot_list)
+
+
+def _run_history(spark, d):
+    from ..operators.runlog import RunLog, run_history
+    store = WH.built(spark, d, "incremental")
+    return run_history(RunLog(spark, store.root).runs(), 10).select(
+        "run_id", "rows_inserted", "rows_updated", "status", "error")
+
+
+register("run_history", O.with_incremental("""
+SELECT CAST(1 AS BIGINT) AS run_id,
+       (SELECT COUNT(*) FROM r1_fp_cand) + (SELECT COUNT(*) FROM r1_fl_rows) AS rows_inserted,
+       (SELECT COUNT(*) FROM r1_stg_customers) + (SELECT COUNT(*) FROM r1_stg_loans) AS rows_updated,
+       'success' AS status, CAST(NULL AS VARCHAR) AS error
+UNION ALL
+SELECT CAST(2 AS BIGINT), (SELECT COUNT(*) FROM r2_fp_new) + (SELECT COUNT(*) FROM r2_fl_rows),
+       (SELECT COUNT(*) FROM r2_stg_customers) + (SELECT COUNT(*) FROM r2_stg_loans), 'success', NULL
+ORDER BY run_id DESC LIMIT 10"""))(_run_history)
+
+# wall-clock dependent: rows-only check
+register("freshness", None)(lambda s, d: V.freshness(_w(s, d)))
+
+
 def queries() -> dict[str, Q]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
