@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keys import assign_dense_keys, next_key_start
@@ -35,11 +35,17 @@ def assert_unique_keys(df: DataFrame, key: str | list[str], what: str = "batch")
         raise DuplicateKeyError(f"{what}: key {dup[0].asDict()} occurs more than once")
 
 
+def with_dup_count(staged: DataFrame, key: str) -> DataFrame:
+    """``_dup`` = rows sharing the row's key.  The window partitions by the
+    key, which the following keyed join needs anyway: no extra shuffle."""
+    return staged.withColumn("_dup", F.count(F.lit(1)).over(Window.partitionBy(key)))
+
+
 def upsert(existing: DataFrame | None, staged: DataFrame, key: str,
            update_cols: list[str], sk_col: str | None = None,
            on_update: Mapping[str, Column] | None = None,
            on_insert: Mapping[str, Column] | None = None,
-           columns: list[str] | None = None) -> DataFrame:
+           columns: list[str] | None = None, dup_check: bool = False) -> DataFrame:
     """Next version of a keyed table.
 
     Matched keys take ``update_cols`` from the staged row (NULL in the
@@ -47,7 +53,9 @@ def upsert(existing: DataFrame | None, staged: DataFrame, key: str,
     coalesce) and keep every other column; ``on_update`` columns are set
     on matched rows.  New keys take the staged row plus ``on_insert``
     columns and a fresh dense surrogate key after the current maximum.
-    The result carries ``_op`` ('insert' / 'update' / 'keep').
+    The result carries ``_op`` ('insert' / 'update' / 'keep'); with
+    ``dup_check`` also ``_dup`` (rows of the batch with the same key) so
+    the writer can refuse the version when a batch holds a key twice.
     """
     on_update = dict(on_update or {})
     on_insert = dict(on_insert or {})
@@ -55,8 +63,11 @@ def upsert(existing: DataFrame | None, staged: DataFrame, key: str,
         columns = [c for c in (existing.columns if existing is not None else staged.columns)
                    if c != sk_col] if existing is not None else \
             [c for c in staged.columns] + [c for c in on_insert if c not in staged.columns]
+    extra = ["_dup"] if dup_check else []
+    if dup_check:
+        staged = with_dup_count(staged, key)
     if existing is None:
-        new = staged.select(*[(on_insert[c].alias(c) if c in on_insert else F.col(c)) for c in columns])
+        new = staged.select(*[(on_insert[c].alias(c) if c in on_insert else F.col(c)) for c in columns], *extra)
         new = new.withColumn("_op", F.lit("insert"))
         if sk_col:
             new = assign_dense_keys(new, [key], sk_col, 0)
@@ -85,7 +96,7 @@ def upsert(existing: DataFrame | None, staged: DataFrame, key: str,
     op = F.when(in_e & in_s, "update").when(in_e, "keep").otherwise("insert").alias("_op")
     if sk_col:
         out.append(F.col(f"e.{sk_col}").alias(sk_col))
-    nxt = j.select(*out, op)
+    nxt = j.select(*out, op, *[F.col(f"s.{c}").alias(c) for c in extra])
     if not sk_col:
         return nxt
     start = next_key_start(existing, sk_col)

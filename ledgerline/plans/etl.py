@@ -59,27 +59,28 @@ def stage(src: dict[str, DataFrame], run_ts: str) -> dict[str, DataFrame]:
 def load_dim_customer(existing: DataFrame | None, stg_customers: DataFrame, run_ts: str) -> DataFrame:
     t = ts_lit(run_ts)
     staged = stg_customers.select("customer_id", *DIM_CUSTOMER_UPDATE)
-    out = upsert(existing, staged, "customer_id", DIM_CUSTOMER_UPDATE, sk_col="customer_sk",
+    out = upsert(existing, staged, "customer_id", DIM_CUSTOMER_UPDATE, sk_col="customer_sk", dup_check=True,
                  on_update={"is_current": F.lit(True)},
                  on_insert={"effective_date": F.to_date(t), "expiry_date": F.lit(None).cast("date"),
                             "is_current": F.lit(True), "created_at": t},
                  columns=[c for c in DIM_CUSTOMER_COLS if c != "customer_sk"])
-    return out.select(*DIM_CUSTOMER_COLS, "_op")
+    return out.select(*DIM_CUSTOMER_COLS, "_op", "_dup")
 
 
 def load_dim_loan(existing: DataFrame | None, stg_loans: DataFrame, run_ts: str) -> DataFrame:
     staged = stg_loans.select(*[c for c in DIM_LOAN_COLS if c not in ("loan_sk", "created_at")])
-    out = upsert(existing, staged, "loan_id", DIM_LOAN_UPDATE, sk_col="loan_sk",
+    out = upsert(existing, staged, "loan_id", DIM_LOAN_UPDATE, sk_col="loan_sk", dup_check=True,
                  on_insert={"created_at": ts_lit(run_ts)},
                  columns=[c for c in DIM_LOAN_COLS if c != "loan_sk"])
-    return out.select(*DIM_LOAN_COLS, "_op")
+    return out.select(*DIM_LOAN_COLS, "_op", "_dup")
 
 
 def load_dim_product(existing: DataFrame | None, loan_products: DataFrame) -> DataFrame:
     staged = loan_products.select("product_id", "product_name", "product_type")
     out = upsert(existing, staged, "product_id", ["product_name", "product_type"], sk_col="product_sk",
+                 dup_check=True,
                  columns=["product_id", "product_name", "product_type"])
-    return out.select("product_sk", "product_id", "product_name", "product_type", "_op")
+    return out.select("product_sk", "product_id", "product_name", "product_type", "_op", "_dup")
 
 
 def dim_payment_method(spark: SparkSession) -> DataFrame:
@@ -216,7 +217,8 @@ def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
     pm = cur.get("dim_payment_method")
     if pm is None:
         pm = sink("dim_payment_method", dim_payment_method(spark))
-    ctx = loan_context(stg, dim_c, dim_l)
+    # loan-grain context feeds both facts: materialised once (scratch table)
+    ctx = sink("_loan_context", loan_context(stg, dim_c, dim_l))
     cand = fact_payment_candidates(spark, stg, ctx, run_ts, dd, pm)
     fp, new_pay = load_fact_payments(cur.get("fact_payments"), cand)
     new_pay = sink("fact_payments", new_pay)
@@ -227,7 +229,8 @@ def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
     else:
         fp = new_pay
     tables = {
-        "dim_customer": dim_c.drop("_op"), "dim_loan": dim_l.drop("_op"), "dim_product": dim_p.drop("_op"),
+        "dim_customer": dim_c.drop("_op", "_dup"), "dim_loan": dim_l.drop("_op", "_dup"),
+        "dim_product": dim_p.drop("_op", "_dup"),
         "dim_date": dd, "dim_payment_method": pm,
         "fact_payments": fp.select(*FACT_PAYMENT_COLS), "fact_loans": fl.drop("_op"),
     }
