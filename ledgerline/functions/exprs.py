@@ -41,3 +41,15 @@ def null_safe_changed(cols: list[str], left: str = "o", right: str = "n") -> Col
 def truncate_text(c: str | Column, n: int) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.substring(c, 1, n)
+
+
+def utc_from_offset_text(c: str | Column) -> Column:
+    """'2024-01-15 08:00:00+03' -> the instant's UTC wall time as timestamp_ntz.
+    Relies on the session zone being UTC (``session.CORE_CONF``)."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.to_timestamp(c, "yyyy-MM-dd HH:mm:ssX").cast("timestamp_ntz")
+
+
+def epoch_seconds(ts: str | Column) -> Column:
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.unix_micros(ts.cast("timestamp")) / F.lit(1_000_000)

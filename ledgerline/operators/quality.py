@@ -50,6 +50,9 @@ def _bad_condition(rule: Rule) -> Column:
         return cols[0].isNotNull() & ~_OPS[op](cols[0], F.lit(v))
     if rule.kind == "length":
         return cols[0].isNotNull() & (F.length(cols[0]) > rule.arg)
+    if rule.kind == "precision":
+        p, sc = rule.arg
+        return cols[0].isNotNull() & cols[0].try_cast(f"decimal({p},{sc})").isNull()
     raise ValueError(rule.kind)
 
 
@@ -57,7 +60,7 @@ def violations(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
     """Offending rows (key columns + rule id)."""
     df = tables[rule.table]
     key = list(rule.key or rule.columns)
-    if rule.kind in ("not_null", "domain", "range", "length"):
+    if rule.kind in ("not_null", "domain", "range", "length", "precision"):
         bad = df.where(_bad_condition(rule)).select(*key)
     elif rule.kind == "unique":
         present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in rule.columns])
@@ -101,7 +104,7 @@ def flag(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame] | None =
     names = []
     for r in rules:
         name = f"_bad_{r.rule_id}"
-        if r.kind in ("not_null", "domain", "range", "length"):
+        if r.kind in ("not_null", "domain", "range", "length", "precision"):
             flagged = flagged.withColumn(name, _bad_condition(r))
         elif r.kind == "foreign_key":
             parent, pcols = r.arg
@@ -222,6 +225,12 @@ LENGTH = (
     + [Rule(f"len_payments_{c}", "length", "payments", (c,), n, ("payment_id",))
        for c, n in S.PAYMENT_LENGTHS.items()]
 )
+# DECIMAL(p,s) limits, checked on the raw source columns before the cast.
+PRECISION = [
+    Rule("prec_orders_totalprice", "precision", "orders", ("o_totalprice",), (14, 2), ("o_orderkey",)),
+    Rule("prec_lineitem_extendedprice", "precision", "lineitem", ("l_extendedprice",), (14, 2), ("l_orderkey",)),
+    Rule("prec_lineitem_tax", "precision", "lineitem", ("l_tax",), (4, 2), ("l_orderkey",)),
+]
 POPULATED = (
     [Rule(f"pop_{t}", "populated", t, (), 1) for t in
      ("customers", "loans", "payments", "dim_customer", "dim_loan", "fact_payments", "fact_loans")]

@@ -165,3 +165,14 @@ def scd2(existing: DataFrame | None, staged: DataFrame, key: str, tracked: list[
     cols = [sk_col, key, *attrs, "effective_date", "expiry_date", "is_current"]
     return (hist.select(*cols).unionByName(kept.select(*cols))
             .unionByName(closed.select(*cols)).unionByName(opened.select(*cols)))
+
+
+def update_where(df: DataFrame, cond: Column, assignments: Mapping[str, Column]) -> DataFrame:
+    """Keyed UPDATE as a new version: assigned columns change where ``cond`` holds."""
+    return df.select(*[F.when(cond, assignments[c]).otherwise(F.col(c)).alias(c) if c in assignments
+                       else F.col(c) for c in df.columns])
+
+
+def delete_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Keyed DELETE as a new version (anti-join on the key)."""
+    return df.join(keys.select(key).distinct(), key, "left_anti")

@@ -75,3 +75,9 @@ def extract_loans(loans: DataFrame) -> DataFrame:
 def extract_payments(payments: DataFrame) -> DataFrame:
     return payments.select(*[F.coalesce(F.col(c), F.lit(0).cast(S.MONEY)).alias(c) if c == "penalty_portion"
                              else F.col(c) for c in S.STG_PAYMENT_COLS])
+
+
+def apply_defaults(df: DataFrame, defaults: dict) -> DataFrame:
+    """Column defaults at ingest: NULL -> declared default."""
+    return df.select(*[F.coalesce(F.col(c), F.lit(defaults[c]).cast(df.schema[c].dataType)).alias(c)
+                       if c in defaults else F.col(c) for c in df.columns])

@@ -33,3 +33,9 @@ def test_restrict(spark):
     dels = spark.createDataFrame([(1,), (2,)], "customer_id int")
     loans = spark.createDataFrame([(1,), (1,)], "customer_id int")
     assert [(r.customer_id, r.child_rows) for r in Q.restrict_deletes(dels, loans, "customer_id").collect()] == [(1, 2)]
+
+
+def test_precision_rule(spark):
+    df = spark.createDataFrame([(1, 12.5), (2, 1e15)], "id int, v double")
+    r = Q.Rule("p", "precision", "t", ("v",), (14, 2), ("id",))
+    assert [x.record_key for x in Q.violations(r, {"t": df}).collect()] == ["2"]
