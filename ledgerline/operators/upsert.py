@@ -112,7 +112,13 @@ def insert_absent(existing: DataFrame | None, staged: DataFrame, key: str,
         new = staged
         start = 0
     else:
-        new = staged.join(existing.select(key), key, "left_anti")
+        # Only existing keys inside the batch's key range can match: the range
+        # filter runs at the scan (Parquet min/max stats skip older files when
+        # keys grow over time), so the anti-join shuffles O(batch range), not
+        # the whole history.
+        bounds = staged.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+        candidates = existing.select(key).where((F.col(key) >= bounds["lo"]) & (F.col(key) <= bounds["hi"]))
+        new = staged.join(candidates, key, "left_anti")
         start = next_key_start(existing, sk_col) if sk_col else 0
     if sk_col:
         new = assign_dense_keys(new, [key], sk_col, start)

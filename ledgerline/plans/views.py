@@ -129,9 +129,8 @@ def warehouse_counts(w: W) -> DataFrame:
 
 
 def totals(w: W) -> DataFrame:
-    loans = w["fact_loans"].agg(F.count(F.lit(1)).alias("total_loans"))
-    rev = w["fact_payments"].agg(money_sum("payment_amount").alias("total_revenue"))
-    return loans.crossJoin(rev)  # two one-row aggregates
+    rev = w["fact_payments"].agg(money_sum("payment_amount")).scalar()  # scalar subquery
+    return w["fact_loans"].agg(F.count(F.lit(1)).alias("total_loans"), rev.alias("total_revenue"))
 
 
 def status_totals(w: W) -> DataFrame:
@@ -150,9 +149,8 @@ def revenue_month_branch(w: W, years: int = 3) -> DataFrame:
     fp = w["fact_payments"]
     dd = _bcast_dates(w, "date_sk", "full_date", "year", "month")
     j = fp.join(dd, "date_sk")
-    anchor = j.agg(F.max("full_date").alias("_anchor"))
-    return (j.crossJoin(F.broadcast(anchor))  # one-row scalar
-            .where(F.col("full_date") > F.add_months(F.col("_anchor"), -12 * years))
+    anchor = j.agg(F.max("full_date")).scalar()  # scalar subquery, evaluated once
+    return (j.where(F.col("full_date") > F.add_months(anchor, -12 * years))
             .groupBy("year", "month", "branch_code")
             .agg(money_sum("payment_amount").alias("total_revenue"),
                  F.count(F.lit(1)).alias("payment_count")))
@@ -162,9 +160,8 @@ def disbursed_by_month(w: W, years: int = 2) -> DataFrame:
     fl = w["fact_loans"]
     dd = _bcast_dates(w, F.col("date_sk").alias("disbursement_date_sk"), "full_date", "year", "month")
     j = fl.join(dd, "disbursement_date_sk")
-    anchor = j.agg(F.max("full_date").alias("_anchor"))
-    return (j.crossJoin(F.broadcast(anchor))
-            .where(F.col("full_date") > F.add_months(F.col("_anchor"), -12 * years))
+    anchor = j.agg(F.max("full_date")).scalar()
+    return (j.where(F.col("full_date") > F.add_months(anchor, -12 * years))
             .groupBy("year", "month")
             .agg(F.count(F.lit(1)).alias("loans_disbursed"),
                  money_sum("principal_amount").alias("total_disbursed")))
