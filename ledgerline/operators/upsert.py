@@ -45,7 +45,8 @@ def upsert(existing: DataFrame | None, staged: DataFrame, key: str,
            update_cols: list[str], sk_col: str | None = None,
            on_update: Mapping[str, Column] | None = None,
            on_insert: Mapping[str, Column] | None = None,
-           columns: list[str] | None = None, dup_check: bool = False) -> DataFrame:
+           columns: list[str] | None = None, dup_check: bool = False,
+           key_start: int | None = None) -> DataFrame:
     """Next version of a keyed table.
 
     Matched keys take ``update_cols`` from the staged row (NULL in the
@@ -53,6 +54,8 @@ def upsert(existing: DataFrame | None, staged: DataFrame, key: str,
     coalesce) and keep every other column; ``on_update`` columns are set
     on matched rows.  New keys take the staged row plus ``on_insert``
     columns and a fresh dense surrogate key after the current maximum.
+    ``key_start`` is the current maximum surrogate key when the caller
+    knows it (the store records it per version); otherwise it is read.
     The result carries ``_op`` ('insert' / 'update' / 'keep'); with
     ``dup_check`` also ``_dup`` (rows of the batch with the same key) so
     the writer can refuse the version when a batch holds a key twice.
@@ -99,14 +102,14 @@ def upsert(existing: DataFrame | None, staged: DataFrame, key: str,
     nxt = j.select(*out, op, *[F.col(f"s.{c}").alias(c) for c in extra])
     if not sk_col:
         return nxt
-    start = next_key_start(existing, sk_col)
+    start = key_start if key_start is not None else next_key_start(existing, sk_col)
     old = nxt.where(F.col("_op") != "insert")
     new = assign_dense_keys(nxt.where(F.col("_op") == "insert").drop(sk_col), [key], sk_col, start)
     return old.unionByName(new)
 
 
 def insert_absent(existing: DataFrame | None, staged: DataFrame, key: str,
-                  sk_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+                  sk_col: str | None = None, key_start: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(next version, inserted rows): append staged rows whose key is new."""
     if existing is None:
         new = staged
@@ -119,7 +122,7 @@ def insert_absent(existing: DataFrame | None, staged: DataFrame, key: str,
         bounds = staged.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
         candidates = existing.select(key).where((F.col(key) >= bounds["lo"]) & (F.col(key) <= bounds["hi"]))
         new = staged.join(candidates, key, "left_anti")
-        start = next_key_start(existing, sk_col) if sk_col else 0
+        start = (key_start if key_start is not None else next_key_start(existing, sk_col)) if sk_col else 0
     if sk_col:
         new = assign_dense_keys(new, [key], sk_col, start)
     if existing is None:

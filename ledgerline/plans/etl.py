@@ -56,30 +56,36 @@ def stage(src: dict[str, DataFrame], run_ts: str) -> dict[str, DataFrame]:
 
 
 # ------------------------------------------------------------ dimensions
-def load_dim_customer(existing: DataFrame | None, stg_customers: DataFrame, run_ts: str) -> DataFrame:
+SK_COLS = {"dim_customer": "customer_sk", "dim_loan": "loan_sk", "dim_product": "product_sk",
+           "fact_payments": "payment_sk", "fact_loans": "loan_fact_sk"}
+
+
+def load_dim_customer(existing: DataFrame | None, stg_customers: DataFrame, run_ts: str,
+                      key_start: int | None = None) -> DataFrame:
     t = ts_lit(run_ts)
     staged = stg_customers.select("customer_id", *DIM_CUSTOMER_UPDATE)
     out = upsert(existing, staged, "customer_id", DIM_CUSTOMER_UPDATE, sk_col="customer_sk", dup_check=True,
                  on_update={"is_current": F.lit(True)},
                  on_insert={"effective_date": F.to_date(t), "expiry_date": F.lit(None).cast("date"),
                             "is_current": F.lit(True), "created_at": t},
-                 columns=[c for c in DIM_CUSTOMER_COLS if c != "customer_sk"])
+                 columns=[c for c in DIM_CUSTOMER_COLS if c != "customer_sk"], key_start=key_start)
     return out.select(*DIM_CUSTOMER_COLS, "_op", "_dup")
 
 
-def load_dim_loan(existing: DataFrame | None, stg_loans: DataFrame, run_ts: str) -> DataFrame:
+def load_dim_loan(existing: DataFrame | None, stg_loans: DataFrame, run_ts: str,
+                  key_start: int | None = None) -> DataFrame:
     staged = stg_loans.select(*[c for c in DIM_LOAN_COLS if c not in ("loan_sk", "created_at")])
     out = upsert(existing, staged, "loan_id", DIM_LOAN_UPDATE, sk_col="loan_sk", dup_check=True,
                  on_insert={"created_at": ts_lit(run_ts)},
-                 columns=[c for c in DIM_LOAN_COLS if c != "loan_sk"])
+                 columns=[c for c in DIM_LOAN_COLS if c != "loan_sk"], key_start=key_start)
     return out.select(*DIM_LOAN_COLS, "_op", "_dup")
 
 
-def load_dim_product(existing: DataFrame | None, loan_products: DataFrame) -> DataFrame:
+def load_dim_product(existing: DataFrame | None, loan_products: DataFrame,
+                     key_start: int | None = None) -> DataFrame:
     staged = loan_products.select("product_id", "product_name", "product_type")
     out = upsert(existing, staged, "product_id", ["product_name", "product_type"], sk_col="product_sk",
-                 dup_check=True,
-                 columns=["product_id", "product_name", "product_type"])
+                 dup_check=True, columns=["product_id", "product_name", "product_type"], key_start=key_start)
     return out.select("product_sk", "product_id", "product_name", "product_type", "_op", "_dup")
 
 
@@ -136,9 +142,10 @@ def fact_payment_candidates(spark: SparkSession, stg: dict[str, DataFrame], ctx:
     )
 
 
-def load_fact_payments(existing: DataFrame | None, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def load_fact_payments(existing: DataFrame | None, candidates: DataFrame,
+                       key_start: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Insert-only by payment_id; returns (next version, inserted rows)."""
-    nxt, new = insert_absent(existing, candidates, "payment_id", sk_col="payment_sk")
+    nxt, new = insert_absent(existing, candidates, "payment_id", sk_col="payment_sk", key_start=key_start)
     return nxt.select(*FACT_PAYMENT_COLS), new.select(*FACT_PAYMENT_COLS)
 
 
@@ -173,10 +180,11 @@ def fact_loan_rows(spark: SparkSession, stg: dict[str, DataFrame], ctx: DataFram
     )
 
 
-def load_fact_loans(existing: DataFrame | None, rows: DataFrame, run_ts: str) -> DataFrame:
+def load_fact_loans(existing: DataFrame | None, rows: DataFrame, run_ts: str,
+                    key_start: int | None = None) -> DataFrame:
     out = upsert(existing, rows, "loan_id", FACT_LOANS_UPDATE, sk_col="loan_fact_sk",
                  on_update={"etl_loaded_at": ts_lit(run_ts)},
-                 columns=[c for c in FACT_LOAN_COLS if c != "loan_fact_sk"])
+                 columns=[c for c in FACT_LOAN_COLS if c != "loan_fact_sk"], key_start=key_start)
     return out.select(*FACT_LOAN_COLS, "_op")
 
 
@@ -197,7 +205,8 @@ def _identity(name: str, df: DataFrame) -> DataFrame:
 
 
 def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
-             src: dict[str, DataFrame], run_ts: str, sink: Sink = _identity) -> RunResult:
+             src: dict[str, DataFrame], run_ts: str, sink: Sink = _identity,
+             key_starts: dict[str, int | None] | None = None) -> RunResult:
     """One ETL run over the current warehouse version (None = empty).
 
     ``sink(name, df)`` is called once per produced table, in dependency
@@ -207,10 +216,13 @@ def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
     the whole run lazily.
     """
     cur = current or {}
+    ks = key_starts or {}
     stg = {k: sink(k, v) for k, v in stage(src, run_ts).items()}
-    dim_c = sink("dim_customer", load_dim_customer(cur.get("dim_customer"), stg["stg_customers"], run_ts))
-    dim_l = sink("dim_loan", load_dim_loan(cur.get("dim_loan"), stg["stg_loans"], run_ts))
-    dim_p = sink("dim_product", load_dim_product(cur.get("dim_product"), src["loan_products"]))
+    dim_c = sink("dim_customer", load_dim_customer(cur.get("dim_customer"), stg["stg_customers"], run_ts,
+                                                   ks.get("dim_customer")))
+    dim_l = sink("dim_loan", load_dim_loan(cur.get("dim_loan"), stg["stg_loans"], run_ts, ks.get("dim_loan")))
+    dim_p = sink("dim_product", load_dim_product(cur.get("dim_product"), src["loan_products"],
+                                                 ks.get("dim_product")))
     dd = cur.get("dim_date")
     if dd is None:
         dd = sink("dim_date", calendar(spark))
@@ -220,10 +232,10 @@ def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
     # loan-grain context feeds both facts: materialised once (scratch table)
     ctx = sink("_loan_context", loan_context(stg, dim_c, dim_l))
     cand = fact_payment_candidates(spark, stg, ctx, run_ts, dd, pm)
-    fp, new_pay = load_fact_payments(cur.get("fact_payments"), cand)
+    fp, new_pay = load_fact_payments(cur.get("fact_payments"), cand, ks.get("fact_payments"))
     new_pay = sink("fact_payments", new_pay)
     rows = fact_loan_rows(spark, stg, ctx, run_ts, dd)
-    fl = sink("fact_loans", load_fact_loans(cur.get("fact_loans"), rows, run_ts))
+    fl = sink("fact_loans", load_fact_loans(cur.get("fact_loans"), rows, run_ts, ks.get("fact_loans")))
     if cur.get("fact_payments") is not None:
         fp = cur["fact_payments"].unionByName(new_pay.select(*cur["fact_payments"].columns))
     else:

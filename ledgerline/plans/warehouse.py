@@ -18,7 +18,7 @@ from ..operators.upsert import DuplicateKeyError
 from ..session import scratch_path
 from ..sources import testdata
 from ..sources.store import TableStore
-from .etl import run_load
+from .etl import SK_COLS, run_load
 
 # Run clock used by tests and by the registered queries (a parameter, so
 # results are reproducible; production passes the wall clock).
@@ -58,7 +58,8 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
                 metrics[op] = F.sum(F.when(F.col("_op") == op, 1).otherwise(0))
         if "_dup" in df.columns:
             metrics["max_dup"] = F.max("_dup")
-        e = store.write_table(name, df, version, append_to=append, metrics=metrics, drop=["_op", "_dup"])
+        e = store.write_table(name, df, version, append_to=append, metrics=metrics, drop=["_op", "_dup"],
+                              key_col=SK_COLS.get(name))
         if check_keys and (e["metrics"].get("max_dup") or 0) > 1:
             # an upsert batch may not hold one key twice: refuse before commit
             raise DuplicateKeyError(f"{name}: the batch holds a key more than once")
@@ -69,7 +70,10 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
 
     try:
         current = store.read_all() if prev else None
-        run_load(spark, current, src, run_ts, sink)
+        # current max surrogate keys, recorded by the previous commit
+        starts = {t: (int(e["max_key"]) if e.get("max_key") is not None else 0)
+                  for t, e in prev.items() if t in SK_COLS}
+        run_load(spark, current, src, run_ts, sink, starts if prev else None)
         store.commit(list(entries.values()), version, keep=prev)
         new_pay = entries["fact_payments"]["new_rows"]
         fl = ops["fact_loans"]

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST_SCHEMA = ("version long, table_name string, path string, row_count long, "
-                   "schema_json string, checksum long, committed_at timestamp_ntz")
+                   "schema_json string, checksum long, max_key long, committed_at timestamp_ntz")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -101,7 +101,8 @@ class TableStore:
     # ----------------------------------------------------------- write
     def write_table(self, table: str, df: DataFrame, version: int, compression: str = "snappy",
                     partition_by: list[str] | None = None, append_to: dict | None = None,
-                    metrics: dict | None = None, drop: list[str] | None = None) -> dict:
+                    metrics: dict | None = None, drop: list[str] | None = None,
+                    key_col: str | None = None) -> dict:
         """Write one table version.  With ``append_to`` (the previous
         manifest entry) only the new rows are written and the entry lists
         the old files plus the new directory: appends cost O(increment).
@@ -109,6 +110,9 @@ class TableStore:
         ``drop`` columns are removed before writing."""
         obs = Observation(f"w_{table}_{version}")
         path = self.table_path(table, version)
+        metrics = dict(metrics or {})
+        if key_col:
+            metrics["max_key"] = F.max(key_col)
         observed = df.observe(obs, F.count(F.lit(1)).alias("rows"),
                               *[c.alias(k) for k, c in (metrics or {}).items()])
         observed = observed.drop(*[c for c in (drop or []) if c in df.columns])
@@ -119,18 +123,21 @@ class TableStore:
         got = obs.get
         rows = int(got["rows"])
         schema_json = observed.schema.json()
-        extra = {k: got.get(k) for k in (metrics or {})}
+        extra = {k: got.get(k) for k in metrics}
+        max_key = extra.get("max_key")
         if append_to is not None:
+            keys = [k for k in (max_key, append_to.get("max_key")) if k is not None]
             return {"table_name": table, "path": append_to["path"] + "," + path, "new_path": path,
                     "row_count": int(append_to["row_count"]) + rows, "new_rows": rows,
-                    "schema_json": schema_json, "metrics": extra}
+                    "schema_json": schema_json, "metrics": extra, "max_key": max(keys) if keys else None}
         return {"table_name": table, "path": path, "new_path": path, "row_count": rows, "new_rows": rows,
-                "schema_json": schema_json, "metrics": extra}
+                "schema_json": schema_json, "metrics": extra, "max_key": max_key}
 
     def commit(self, entries: list[dict], version: int, keep: dict[str, dict] | None = None,
                checksums: bool = False) -> int:
         """Write the manifest of ``version``: new entries plus unchanged
-        tables carried over from ``keep`` (the previous manifest)."""
+        tables carried over from ``keep`` (the previous manifest).  One
+        writer per store is assumed (the load is the only writer)."""
         rows = {e["table_name"]: e for e in (keep or {}).values()}
         for e in entries:
             rows[e["table_name"]] = e
@@ -138,17 +145,21 @@ class TableStore:
         for t, e in sorted(rows.items()):
             ck = e.get("checksum")
             if checksums and ck is None:
-                ck = table_checksum(self.spark.read.parquet(e["path"])).first()["checksum"]
+                ck = table_checksum(self.spark.read.parquet(*e["path"].split(","))).first()["checksum"]
+            mk = e.get("max_key")
             out.append((version, t, e["path"], int(e["row_count"]), e["schema_json"],
-                        None if ck is None else int(ck)))
+                        None if ck is None else int(ck), None if mk is None else int(mk)))
         df = self.spark.createDataFrame(
             out, "version long, table_name string, path string, row_count long, schema_json string, "
-                 "checksum long").withColumn("committed_at", F.current_timestamp().cast("timestamp_ntz"))
+                 "checksum long, max_key long").withColumn("committed_at",
+                                                           F.current_timestamp().cast("timestamp_ntz"))
         # the version is the directory's partition value, not a field
         df.drop("version").coalesce(1).write.mode("errorifexists") \
             .json(f"{self.manifest_root}/version={version}")
-        self._current = None
-        self._manifest_cache.pop(version, None)
+        self._current = version
+        self._manifest_cache[version] = {
+            r[1]: {"version": r[0], "table_name": r[1], "path": r[2], "row_count": r[3], "schema_json": r[4],
+                   "checksum": r[5], "max_key": r[6], "committed_at": None} for r in out}
         return version
 
     def write_version(self, tables: dict[str, DataFrame], compression: str = "snappy",
