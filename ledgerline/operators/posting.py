@@ -65,3 +65,16 @@ def apply_balance_deltas(loans: DataFrame, deltas: DataFrame) -> DataFrame:
                         .otherwise(F.col("status")))
             .withColumn("outstanding_balance", F.col("_nb"))
             .drop("_d", "_n", "_nb"))
+
+
+def post_and_log(loans: DataFrame, batch: DataFrame, at, key: str = "loan_id",
+                 compare: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The operational write path: post the batch, produce the next loans
+    version with ``updated_at`` touched on changed rows, and the change log
+    between the two versions.  Returns (posted, next loans, change log)."""
+    from .changes import diff, touch_updated
+    posted, nxt, _ = post_payments(loans, batch)
+    nxt = touch_updated(loans, nxt.drop("payments_posted"), key, at)
+    cols = compare or [c for c in loans.columns if c not in (key, "updated_at")]
+    log = diff(loans.select(key, *cols), nxt.select(key, *cols), key, cols)
+    return posted, nxt, log

@@ -548,6 +548,31 @@ for _t, _k, _cols in (("customers", "customer_id", "customer_id, full_name, segm
             _t, _k, _cols))
 
 
+# --------------------------------- operational write path: post -> log
+def _write_path(spark, d):
+    op = _op(spark, d)
+    _, nxt, log = PO.post_and_log(op["loans"], op["payments"], F.lit(WH.SECOND_RUN_TS).cast("timestamp_ntz"),
+                                  compare=LOAN_DIFF_COLS)
+    touched = nxt.where(F.col("updated_at").isNotNull()).select(F.col("loan_id").alias("record_id"),
+                                                                F.lit(True).alias("updated_at_touched"))
+    return (log.join(touched, "record_id", "left")
+            .select("operation", "record_id", "changed_columns",
+                    F.get_json_object("new_values", "$.status").alias("new_status"),
+                    F.coalesce(F.col("updated_at_touched"), F.lit(False)).alias("updated_at_touched")))
+
+
+register("operational_write_path", O.with_source("," + POST_SQL + """,
+d AS (SELECT loan_id, SUM(applied) AS delta FROM z WHERE applied > 0 GROUP BY loan_id),
+n AS (SELECT l.loan_id, l.status AS old_status,
+             CASE WHEN l.outstanding_balance - d.delta <= 0 THEN 'repaid' ELSE l.status END AS new_status
+      FROM src_loans l JOIN d ON l.loan_id = d.loan_id)
+SELECT 'UPDATE' AS operation, loan_id AS record_id,
+       concat_ws(',', CASE WHEN new_status <> old_status THEN 'status' END, 'outstanding_balance')
+         AS changed_columns,
+       new_status, TRUE AS updated_at_touched
+FROM n"""))(_write_path)
+
+
 def queries() -> dict[str, Q]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
