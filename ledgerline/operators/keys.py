@@ -27,9 +27,12 @@ def assign_dense_keys(df: DataFrame, key_cols: list[str], sk_col: str,
     """
     spark = df.sparkSession
     shared_dir(spark)  # make sure a reliable checkpoint location exists
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without an explicit count AQE sizes the range partitions from runtime
+    # statistics (merged partitions stay contiguous key ranges).
+    ranged = (df.repartitionByRange(num_partitions, *key_cols) if num_partitions
+              else df.repartitionByRange(*key_cols))
     tagged = (
-        df.repartitionByRange(n, *key_cols)
+        ranged
         .sortWithinPartitions(*key_cols)
         .withColumn("_kp", F.spark_partition_id())
         .withColumn("_km", F.monotonically_increasing_id())

@@ -24,9 +24,11 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, out: str,
     ``order`` must make rows of one key totally ordered."""
     spark = df.sparkSession
     shared_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # freeze the range layout (sampling may differ on recompute)
-    tagged = (df.repartitionByRange(n, key, *order)
+    # freeze the range layout (sampling may differ on recompute); without an
+    # explicit count AQE sizes the partitions (merged ones stay contiguous)
+    ranged = (df.repartitionByRange(num_partitions, key, *order) if num_partitions
+              else df.repartitionByRange(key, *order))
+    tagged = (ranged
               .withColumn("_sp", F.spark_partition_id())
               .checkpoint(eager=True))
     frame_end = -1 if exclusive else 0
