@@ -127,7 +127,7 @@ def insert_absent(existing: DataFrame | None, staged: DataFrame, key: str,
         new = assign_dense_keys(new, [key], sk_col, start)
     if existing is None:
         return new, new
-    return existing.unionByName(new.select(*existing.columns)), new
+    return existing.unionByName(new, allowMissingColumns=True), new
 
 
 def scd2(existing: DataFrame | None, staged: DataFrame, key: str, tracked: list[str],

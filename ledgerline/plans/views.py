@@ -150,6 +150,9 @@ def revenue_month_branch(w: W, years: int = 3) -> DataFrame:
     dd = _bcast_dates(w, "date_sk", "full_date", "year", "month")
     j = fp.join(dd, "date_sk")
     anchor = j.agg(F.max("full_date")).scalar()  # scalar subquery, evaluated once
+    if "payment_year" in fp.columns:
+        # implied by the date bound; on the partition column it prunes years
+        j = j.where(F.col("payment_year") >= F.year(anchor) - years)
     return (j.where(F.col("full_date") > F.add_months(anchor, -12 * years))
             .groupBy("year", "month", "branch_code")
             .agg(money_sum("payment_amount").alias("total_revenue"),

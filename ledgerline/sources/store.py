@@ -88,15 +88,30 @@ class TableStore:
         return out
 
     # ------------------------------------------------------------ read
+    def read_paths(self, path: str, schema_json: str | None = None) -> DataFrame:
+        """Read a manifest path list with the recorded schema (no
+        inference).  Several version directories of one table are read
+        under the table folder as base path, so partition columns inside
+        them (e.g. ``payment_year``) are discovered; the version column
+        that base path adds is dropped."""
+        paths = path.split(",")
+        reader = self.spark.read
+        if schema_json:
+            reader = reader.schema(schema_of({"schema_json": schema_json}))
+        if len(paths) == 1:
+            return reader.parquet(paths[0])
+        base = paths[0].rsplit("/", 1)[0]
+        df = reader.option("basePath", base).parquet(*paths)
+        return df.drop("v") if "v" in df.columns else df
+
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
         entry = self.manifest(version).get(table)
         if entry is None:
             return None
-        return self.spark.read.parquet(*entry["path"].split(","))
+        return self.read_paths(entry["path"], entry.get("schema_json"))
 
     def read_all(self, version: int | None = None) -> dict[str, DataFrame]:
-        return {t: self.spark.read.parquet(*e["path"].split(","))
-                for t, e in self.manifest(version).items()}
+        return {t: self.read_paths(e["path"], e.get("schema_json")) for t, e in self.manifest(version).items()}
 
     # ----------------------------------------------------------- write
     def write_table(self, table: str, df: DataFrame, version: int, compression: str = "snappy",
@@ -127,7 +142,9 @@ class TableStore:
         max_key = extra.get("max_key")
         if append_to is not None:
             keys = [k for k in (max_key, append_to.get("max_key")) if k is not None]
-            return {"table_name": table, "path": append_to["path"] + "," + path, "new_path": path,
+            # an empty increment adds no directory to the table
+            paths = append_to["path"] + "," + path if rows else append_to["path"]
+            return {"table_name": table, "path": paths, "new_path": path,
                     "row_count": int(append_to["row_count"]) + rows, "new_rows": rows,
                     "schema_json": schema_json, "metrics": extra, "max_key": max(keys) if keys else None}
         return {"table_name": table, "path": path, "new_path": path, "row_count": rows, "new_rows": rows,

@@ -28,3 +28,10 @@ def test_views_use_bounded_broadcasts_and_no_cartesian(spark):
         p = _plan(fn(w))
         assert "CartesianProduct" not in p
     assert "BroadcastHashJoin" in _plan(V.monthly_revenue(w)) or "BroadcastExchange" in _plan(V.monthly_revenue(w))
+
+
+def test_payment_fact_is_year_partitioned_and_pruned(spark):
+    w = WH.tables(spark, SF_SMALL, "full")
+    assert "payment_year" in w["fact_payments"].columns
+    p = _plan(V.revenue_month_branch(w))
+    assert "PartitionFilters: [isnotnull(payment_year" in p and "payment_year" in p.split("PartitionFilters")[1][:200]
