@@ -127,7 +127,7 @@ def built(spark: SparkSession, sf_dir: str, scenario: str = "full") -> TableStor
         return _CACHE[k]
     root = scratch_path(spark, "warehouse", uuid.uuid4().hex)
     store = TableStore(spark, root)
-    src = testdata.source_tables(spark, sf_dir)
+    src = operational(spark, sf_dir)
     if scenario == "full":
         load(spark, store, src, FIXED_RUN_TS)
     else:
@@ -143,7 +143,14 @@ def tables(spark: SparkSession, sf_dir: str, scenario: str = "full") -> dict[str
 
 
 def operational(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return testdata.source_tables(spark, sf_dir)
+    """The operational source tables (mapped from the driver's tables),
+    written once per session so every view and load reads Parquet."""
+    k = _key(spark, sf_dir, "operational")
+    if k not in _CACHE:
+        store = TableStore(spark, scratch_path(spark, "operational", uuid.uuid4().hex))
+        store.write_version(testdata.source_tables(spark, sf_dir))
+        _CACHE[k] = store
+    return _CACHE[k].read_all()
 
 
 assert F  # noqa
