@@ -580,5 +580,3 @@ def queries() -> dict[str, Q]:
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
 
-
-assert F  # noqa

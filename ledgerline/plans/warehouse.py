@@ -103,10 +103,6 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
         raise
 
 
-def _count(df: DataFrame) -> int:
-    return int(df.count())
-
-
 # ------------------------------------------------- per-session warehouses
 _CACHE: dict[tuple, TableStore] = {}
 
@@ -152,5 +148,3 @@ def operational(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         _CACHE[k] = store
     return _CACHE[k].read_all()
 
-
-assert F  # noqa

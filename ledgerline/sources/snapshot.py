@@ -11,8 +11,6 @@ and reports tables, rows and bytes per snapshot.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,5 +100,3 @@ def _bytes(spark: SparkSession, path: str) -> int:
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return int(fs.getContentSummary(p).getLength())
 
-
-assert json  # manifests carry the schema as JSON text

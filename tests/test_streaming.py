@@ -3,7 +3,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerline.operators.runlog import RunLog
-from ledgerline.plans import warehouse as WH
 from ledgerline.sources import schemas as S
 from ledgerline.sources import testdata
 from ledgerline.sources.store import TableStore
@@ -38,4 +37,3 @@ def test_payment_stream_is_replay_safe(spark, tmp_root):
     last = RunLog(spark, wh.root).runs().orderBy(F.col("run_id").desc()).first()
     assert last.payments_inserted == 0
     assert TableStore(spark, f"{root}/wh").read("fact_payments").count() == 5572
-    assert WH  # noqa
