@@ -6,6 +6,7 @@
     python -m ledgerline.cli restore   --snapshots DIR --label L --store DIR
     python -m ledgerline.cli snapshots --snapshots DIR
     python -m ledgerline.cli history   --store DIR
+    python -m ledgerline.cli compact   --store DIR [--table fact_payments]
 
 ``--source`` holds one Parquet folder per source table (customers,
 loan_products, loans, payments) read with the declared schemas.  The
@@ -61,6 +62,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--snapshots", required=True)
     p = sub.add_parser("history")
     p.add_argument("--store", required=True)
+    p = sub.add_parser("compact")
+    p.add_argument("--store", required=True)
+    p.add_argument("--table", default="fact_payments")
     a = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName(f"ledgerline-{a.cmd}").getOrCreate()
@@ -85,6 +89,9 @@ def main(argv: list[str] | None = None) -> int:
         SN.list_snapshots(spark, a.snapshots).show(truncate=False)
     elif a.cmd == "history":
         run_history(RunLog(spark, a.store).runs()).show(truncate=False)
+    elif a.cmd == "compact":
+        parts = [WH.PARTITIONED[a.table][0]] if a.table in WH.PARTITIONED else None
+        print(TableStore(spark, a.store).compact(a.table, parts))
     return 0
 
 

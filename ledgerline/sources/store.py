@@ -179,6 +179,29 @@ class TableStore:
                    "checksum": r[5], "max_key": r[6], "committed_at": None} for r in out}
         return version
 
+    def compact(self, table: str, partition_by: list[str] | None = None,
+                max_records_per_file: int = 5_000_000) -> int:
+        """Rewrite an appended table (many version directories) into one
+        new version directory and commit it; other tables carry over.
+        Readers of the previous version are unaffected (nothing is
+        overwritten)."""
+        prev = self.manifest()
+        entry = prev[table]
+        if "," not in entry["path"]:
+            return self.current_version()
+        df = self.read_paths(entry["path"], entry.get("schema_json"))
+        version = self.current_version() + 1
+        path = self.table_path(table, version)
+        if partition_by:
+            # cluster each partition's rows into few files (AQE sizes the shuffle)
+            df = df.repartition(*partition_by)
+        w = df.write.mode("errorifexists").option("maxRecordsPerFile", max_records_per_file)
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        w.parquet(path)
+        new = dict(entry, path=path)
+        return self.commit([new], version, keep=prev)
+
     def write_version(self, tables: dict[str, DataFrame], compression: str = "snappy",
                       partition_by: dict[str, list[str]] | None = None,
                       checksums: bool = False) -> int:
