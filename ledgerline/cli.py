@@ -22,6 +22,7 @@ from pyspark.sql import SparkSession
 
 from .operators.runlog import RunLog, run_history
 from .plans import warehouse as WH
+from .plans.etl import SK_COLS as SK
 from .session import apply_core_conf
 from .sources import schemas as S
 from .sources import snapshot as SN
@@ -91,7 +92,8 @@ def main(argv: list[str] | None = None) -> int:
         run_history(RunLog(spark, a.store).runs()).show(truncate=False)
     elif a.cmd == "compact":
         parts = [WH.PARTITIONED[a.table][0]] if a.table in WH.PARTITIONED else None
-        print(TableStore(spark, a.store).compact(a.table, parts))
+        order = [SK.get(a.table)] if SK.get(a.table) else None
+        print(TableStore(spark, a.store).compact(a.table, parts, order_by=order))
     return 0
 
 

@@ -180,7 +180,7 @@ class TableStore:
         return version
 
     def compact(self, table: str, partition_by: list[str] | None = None,
-                max_records_per_file: int = 5_000_000) -> int:
+                max_records_per_file: int = 5_000_000, order_by: list[str] | None = None) -> int:
         """Rewrite an appended table (many version directories) into one
         new version directory and commit it; other tables carry over.
         Readers of the previous version are unaffected (nothing is
@@ -193,8 +193,9 @@ class TableStore:
         version = self.current_version() + 1
         path = self.table_path(table, version)
         if partition_by:
-            # cluster each partition's rows into few files (AQE sizes the shuffle)
-            df = df.repartition(*partition_by)
+            # range-partition on (partition cols, order cols): each task writes
+            # few partition folders, and a hot year is split over many tasks
+            df = df.repartitionByRange(*partition_by, *(order_by or []))
         w = df.write.mode("errorifexists").option("maxRecordsPerFile", max_records_per_file)
         if partition_by:
             w = w.partitionBy(*partition_by)
