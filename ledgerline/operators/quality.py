@@ -82,15 +82,38 @@ def violations(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
                       F.concat_ws("|", *[F.col(k).cast("string") for k in key]).alias("record_key"))
 
 
+ROW_KINDS = ("not_null", "domain", "range", "length", "precision")
+
+
 def summary(rules: list[Rule], tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per rule: kind, table, column(s), number of violations."""
+    """One row per rule: kind, table, column(s), number of violations.
+
+    Row-level rules of one table are counted in a single aggregation pass
+    over that table (one scan, partial aggregation), then unpivoted; set
+    rules (unique, foreign key, populated) run as their own grouped /
+    anti-join jobs."""
     parts = []
+    by_table: dict[str, list[Rule]] = {}
+    for r in rules:
+        if r.kind in ROW_KINDS:
+            by_table.setdefault(r.table, []).append(r)
+    for t, rs in by_table.items():
+        counts = tables[t].agg(*[F.sum(F.when(_bad_condition(r), 1).otherwise(0)).cast("long").alias(f"c{i}")
+                                 for i, r in enumerate(rs)])
+        rows = F.explode(F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"c{i}").alias("violations"))
+                                   for i, r in enumerate(rs)])).alias("x")
+        parts.append(counts.select(rows).select("x.rule_id", "x.violations"))
     for r in rules:
-        v = violations(r, tables).agg(F.count(F.lit(1)).alias("violations"))
-        parts.append(v.select(F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"),
-                              F.lit(r.table).alias("table_name"), F.lit(r.column).alias("column_name"),
-                              "violations"))
-    return reduce(DataFrame.unionByName, parts)
+        if r.kind not in ROW_KINDS:
+            parts.append(violations(r, tables).agg(F.count(F.lit(1)).alias("violations"))
+                         .select(F.lit(r.rule_id).alias("rule_id"), "violations"))
+    meta = tables[rules[0].table].sparkSession.createDataFrame(
+        [(r.rule_id, r.kind, r.table, r.column) for r in rules],
+        "rule_id string, kind string, table_name string, column_name string")
+    counted = reduce(DataFrame.unionByName, parts)
+    # rule metadata is one row per declared rule: a small, fixed-size side
+    return F.broadcast(meta).join(counted, "rule_id").select("rule_id", "kind", "table_name", "column_name",
+                                                             "violations")
 
 
 def flag(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame] | None = None,
