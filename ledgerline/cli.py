@@ -77,8 +77,7 @@ def main(argv: list[str] | None = None) -> int:
         src = read_sources(spark, a.source)
         static = {k: v for k, v in src.items() if k != "payments"}
         trigger = {"processingTime": a.every} if a.every else {"availableNow": True}
-        q = payment_stream(spark, a.landing, S.PAYMENTS, TableStore(spark, a.store),
-                           TableStore(spark, a.store.rstrip("/") + "_source"), static,
+        q = payment_stream(spark, a.landing, S.PAYMENTS, TableStore(spark, a.store), static,
                            a.store.rstrip("/") + "/_stream_checkpoint", trigger=trigger)
         q.awaitTermination()
     elif a.cmd == "export":

@@ -150,7 +150,10 @@ def load_fact_payments(existing: DataFrame | None, candidates: DataFrame,
 
 
 def fact_loan_rows(spark: SparkSession, stg: dict[str, DataFrame], ctx: DataFrame, run_ts: str,
-                   dd: DataFrame | None = None) -> DataFrame:
+                   dd: DataFrame | None = None, pay_totals: DataFrame | None = None) -> DataFrame:
+    """Loan-grain fact rows.  ``pay_totals`` (loan_id, _paid, _n) replaces
+    the aggregation of staged payments when the caller keeps running
+    totals (micro-batch mode)."""
     dd = dd if dd is not None else calendar(spark)
     ddi = bounded_broadcast(dd.select(F.col("date_sk").alias("disbursement_date_sk"),
                                       F.col("full_date").alias("_dfd")), calendar_size())
@@ -158,8 +161,7 @@ def fact_loan_rows(spark: SparkSession, stg: dict[str, DataFrame], ctx: DataFram
                                       F.col("full_date").alias("_mfd")), calendar_size())
     # Lateral aggregate -> one grouped pass over staged payments (partial
     # aggregation before the shuffle), joined back per loan.
-    pay = stg["stg_payments"].groupBy("loan_id").agg(
-        F.sum("amount").alias("_paid"), F.count(F.lit(1)).alias("_n"))
+    pay = pay_totals if pay_totals is not None else payment_totals(stg["stg_payments"])
     paid = F.coalesce(F.col("_paid"), F.lit(0).cast(S.MONEY))
     return (
         ctx.join(pay, "loan_id", "left")
@@ -188,6 +190,24 @@ def load_fact_loans(existing: DataFrame | None, rows: DataFrame, run_ts: str,
     return out.select(*FACT_LOAN_COLS, "_op")
 
 
+def payment_totals(payments: DataFrame) -> DataFrame:
+    """Gross amount and count per loan (partial aggregation before the shuffle)."""
+    return payments.groupBy("loan_id").agg(F.sum("amount").alias("_paid"), F.count(F.lit(1)).alias("_n"))
+
+
+def merge_totals(current: DataFrame | None, delta: DataFrame) -> DataFrame:
+    """Running per-loan totals plus a batch's totals (loan grain)."""
+    if current is None:
+        return delta.select("loan_id", F.col("_paid").cast("decimal(38,2)").alias("_paid"),
+                            F.col("_n").cast("long").alias("_n"))
+    c, d = current.alias("c"), delta.alias("d")
+    return c.join(d, F.col("c.loan_id") == F.col("d.loan_id"), "full_outer").select(
+        F.coalesce(F.col("c.loan_id"), F.col("d.loan_id")).alias("loan_id"),
+        (F.coalesce(F.col("c._paid"), F.lit(0)) + F.coalesce(F.col("d._paid"), F.lit(0)))
+        .cast("decimal(38,2)").alias("_paid"),
+        (F.coalesce(F.col("c._n"), F.lit(0)) + F.coalesce(F.col("d._n"), F.lit(0))).cast("long").alias("_n"))
+
+
 # ------------------------------------------------------------- one run
 @dataclass
 class RunResult:
@@ -206,7 +226,8 @@ def _identity(name: str, df: DataFrame) -> DataFrame:
 
 def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
              src: dict[str, DataFrame], run_ts: str, sink: Sink = _identity,
-             key_starts: dict[str, int | None] | None = None) -> RunResult:
+             key_starts: dict[str, int | None] | None = None,
+             pay_totals: DataFrame | None = None) -> RunResult:
     """One ETL run over the current warehouse version (None = empty).
 
     ``sink(name, df)`` is called once per produced table, in dependency
@@ -234,7 +255,7 @@ def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
     cand = fact_payment_candidates(spark, stg, ctx, run_ts, dd, pm)
     fp, new_pay = load_fact_payments(cur.get("fact_payments"), cand, ks.get("fact_payments"))
     new_pay = sink("fact_payments", new_pay)
-    rows = fact_loan_rows(spark, stg, ctx, run_ts, dd)
+    rows = fact_loan_rows(spark, stg, ctx, run_ts, dd, pay_totals)
     fl = sink("fact_loans", load_fact_loans(cur.get("fact_loans"), rows, run_ts, ks.get("fact_loans")))
     if cur.get("fact_payments") is not None:
         fp = cur["fact_payments"].unionByName(new_pay.select(*cur["fact_payments"].columns))

@@ -4,9 +4,10 @@ New source files land in a folder; ``readStream`` (explicit schema, no
 inference) picks them up and ``foreachBatch`` runs the same keyed load
 as the batch path, so every micro-batch is idempotent by key:
 
-* payments: each batch is appended to the accumulated source table
-  (insert-if-absent by ``payment_id``), then the warehouse load runs on
-  the accumulated state - a replayed batch inserts nothing new;
+* payments: each batch runs the load in increment mode - new rows are
+  appended to the accumulated source (insert-if-absent by
+  ``payment_id``), per-loan totals are folded in, and only the batch plus
+  still-pending payments are staged; a replayed batch inserts nothing;
 * changes: each batch of change rows is folded into the state table.
 
 The batch id goes into the run log; a batch id that already succeeded
@@ -25,7 +26,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.changes import apply_changes
 from ..operators.runlog import RunLog
-from ..operators.upsert import insert_absent
 from ..plans.warehouse import load
 from ..sources.store import TableStore
 
@@ -40,7 +40,7 @@ def batch_done(log: RunLog, batch_id: int) -> bool:
     return runs.where((F.col("batch_id") == batch_id) & (F.col("status") == "success")).limit(1).count() > 0
 
 
-def payment_stream(spark: SparkSession, landing: str, schema, warehouse: TableStore, source: TableStore,
+def payment_stream(spark: SparkSession, landing: str, schema, warehouse: TableStore,
                    static_src: dict[str, DataFrame], checkpoint: str,
                    run_ts_of: Callable[[int], str | None] = lambda b: None,
                    trigger: dict | None = None, files_per_trigger: int = 1) -> StreamingQuery:
@@ -52,14 +52,8 @@ def payment_stream(spark: SparkSession, landing: str, schema, warehouse: TableSt
     def run_batch(df: DataFrame, batch_id: int) -> None:
         if batch_done(log, batch_id):
             return  # replay of a committed batch
-        prev = source.manifest()
-        existing = source.read("payments") if prev else None
-        _, new = insert_absent(existing, df, "payment_id")
-        version = source.current_version() + 1
-        e = source.write_table("payments", new, version, append_to=prev.get("payments"))
-        source.commit([e], version, keep=prev)
-        src = {**static_src, "payments": source.read("payments")}
-        load(spark, warehouse, src, run_ts_of(batch_id), batch_id=batch_id, log=log)
+        load(spark, warehouse, {**static_src, "payments": df}, run_ts_of(batch_id), batch_id=batch_id,
+             log=log, increment=True)
 
     w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()

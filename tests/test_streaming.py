@@ -17,22 +17,22 @@ def test_payment_stream_is_replay_safe(spark, tmp_root):
     cut = F.lit(testdata.SNAPSHOT_CUTOFF).cast("date")
     MB.land(src["payments"].where(F.col("payment_date") < cut), f"{root}/landing", "part=0")
     MB.land(src["payments"].where(F.col("payment_date") >= cut), f"{root}/landing", "part=1")
-    wh, acc = TableStore(spark, f"{root}/wh"), TableStore(spark, f"{root}/src")
+    wh = TableStore(spark, f"{root}/wh")
     static = {k: v for k, v in src.items() if k != "payments"}
-    q = MB.payment_stream(spark, f"{root}/landing", S.PAYMENTS, wh, acc, static, f"{root}/ckpt")
+    q = MB.payment_stream(spark, f"{root}/landing", S.PAYMENTS, wh, static, f"{root}/ckpt")
     q.awaitTermination()
     assert wh.read("fact_payments").count() == 5572
     runs = RunLog(spark, wh.root).runs().orderBy("run_id").collect()
     assert [(r.batch_id, r.status) for r in runs] == [(0, "success"), (1, "success")]
     # restart on the same checkpoint with the same files: no new batch, no new rows
     q2 = MB.payment_stream(spark, f"{root}/landing", S.PAYMENTS, TableStore(spark, f"{root}/wh"),
-                           TableStore(spark, f"{root}/src"), static, f"{root}/ckpt")
+                           static, f"{root}/ckpt")
     q2.awaitTermination()
     assert TableStore(spark, f"{root}/wh").read("fact_payments").count() == 5572
     # the same file landed again under a new name: insert-if-absent keeps the facts unchanged
     MB.land(src["payments"].where(F.col("payment_date") < cut), f"{root}/landing", "part=2")
     q3 = MB.payment_stream(spark, f"{root}/landing", S.PAYMENTS, TableStore(spark, f"{root}/wh"),
-                           TableStore(spark, f"{root}/src"), static, f"{root}/ckpt")
+                           static, f"{root}/ckpt")
     q3.awaitTermination()
     last = RunLog(spark, wh.root).runs().orderBy(F.col("run_id").desc()).first()
     assert last.payments_inserted == 0
