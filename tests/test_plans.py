@@ -35,3 +35,24 @@ def test_payment_fact_is_year_partitioned_and_pruned(spark):
     assert "payment_year" in w["fact_payments"].columns
     p = _plan(V.revenue_month_branch(w))
     assert "PartitionFilters: [isnotnull(payment_year" in p and "payment_year" in p.split("PartitionFilters")[1][:200]
+
+
+def test_payment_grain_shuffled_once(spark, tmp_root):
+    from ledgerline.plans import etl
+    w = WH.tables(spark, SF_SMALL, "full")
+    stg = {k: w[k] for k in ("stg_customers", "stg_loans", "stg_payments")}
+    etl.loan_context(stg, w["dim_customer"], w["dim_loan"]).write.parquet(tmp_root + "/ctx")
+    ctx = spark.read.parquet(tmp_root + "/ctx")          # materialised once per run, as in the load
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cand = etl.fact_payment_candidates(spark, stg, ctx, WH.FIXED_RUN_TS, w["dim_date"], w["dim_payment_method"])
+        p = _plan(cand)
+        # payments and the loan context each shuffle once on loan_id; calendar and methods are broadcast
+        assert p.count("Exchange hashpartitioning(") == 2
+        assert p.count("hashpartitioning(loan_id") == 2
+        assert p.count("BroadcastExchange") == 2
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
