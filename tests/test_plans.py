@@ -56,3 +56,14 @@ def test_payment_grain_shuffled_once(spark, tmp_root):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_no_cartesian_or_nested_loop_join_in_any_query(spark):
+    import __spark_entry__ as E
+    bad = {}
+    for name, fn in E.queries().items():
+        p = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        hits = [t for t in ("CartesianProduct", "BroadcastNestedLoopJoin") if t in p]
+        if hits:
+            bad[name] = hits
+    assert bad == {}
