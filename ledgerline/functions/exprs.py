@@ -13,11 +13,10 @@ def money_sum(c: str | Column) -> Column:
     return F.sum(c).cast(SUM_MONEY)
 
 
-def exact_mean(c: str | Column) -> Column:
-    """Mean of a decimal column as a double: exact decimal sum divided by
-    the non-null count (one rounding step, independent of summation order)."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.sum(c).cast("double") / F.nullif(F.count(c), F.lit(0)).cast("double")
+def mean_of(total: Column, n: Column) -> Column:
+    """Mean as a double from an exact decimal sum and a count (one
+    rounding step, independent of summation order; NULL for n = 0)."""
+    return total.cast("double") / F.nullif(n, F.lit(0)).cast("double")
 
 
 def pct(part: Column, total: Column, scale: int = 2) -> Column:
@@ -25,19 +24,11 @@ def pct(part: Column, total: Column, scale: int = 2) -> Column:
     return F.round(F.lit(100).cast("decimal(3,0)") * part / F.nullif(total, F.lit(0)), scale)
 
 
-def row_json(*cols: str) -> Column:
+def row_json(*cols: str | Column) -> Column:
     """JSON image of a row keeping NULL fields (like a database row_to_json)."""
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
-def null_safe_changed(cols: list[str], left: str = "o", right: str = "n") -> Column:
-    """True when any column differs between two aliased sides (NULL-safe)."""
-    expr = F.lit(False)
-    for c in cols:
-        expr = expr | ~F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return expr
-
-
 def truncate_text(c: str | Column, n: int) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.substring(c, 1, n)

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import row_json
+
 OPS = ("INSERT", "UPDATE", "DELETE")
 
 
@@ -34,9 +36,8 @@ def diff(old: DataFrame, new: DataFrame, key: str, compare: list[str] | None = N
           .when(changed, "UPDATE"))
     changed_cols = F.concat_ws(",", *[F.when(~F.col(f"o_{c}").eqNullSafe(F.col(f"n_{c}")), F.lit(c))
                                        for c in compare])
-    old_img = F.to_json(F.struct(*[F.col(f"o_{c}").alias(c) for c in old.columns]),
-                        {"ignoreNullFields": "false"})
-    new_img = F.to_json(F.struct(*[F.col(f"n_{c}").alias(c) for c in cols]), {"ignoreNullFields": "false"})
+    old_img = row_json(*[F.col(f"o_{c}").alias(c) for c in old.columns])
+    new_img = row_json(*[F.col(f"n_{c}").alias(c) for c in cols])
     return (j.withColumn("operation", op).where(F.col("operation").isNotNull())
             .select(F.lit(table_name).alias("table_name"), "operation",
                     F.coalesce(F.col(f"n_{key}"), F.col(f"o_{key}")).alias("record_id"),

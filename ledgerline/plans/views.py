@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_size
-from ..functions.exprs import money_sum, pct
+from ..functions.exprs import mean_of, money_sum, pct
 from ..sources import schemas as S
 
 W = dict[str, DataFrame]
@@ -30,10 +30,6 @@ def _desc(c: str) -> Column:
     return F.col(c).desc_nulls_first()
 
 
-def _mean(sum_col: Column, n_col: Column) -> Column:
-    return sum_col.cast("double") / F.nullif(n_col, F.lit(0)).cast("double")
-
-
 # ------------------------------------------------------------- warehouse
 def monthly_revenue(w: W) -> DataFrame:
     fp = w["fact_payments"]
@@ -77,7 +73,7 @@ def loan_status_distribution(w: W) -> DataFrame:
     return (w["fact_payments"].groupBy("loan_status", "customer_segment")
             .agg(F.count(F.lit(1)).alias("loan_count"),
                  money_sum("loan_amount").alias("total_loan_amount"),
-                 _mean(F.sum("interest_rate"), F.count("interest_rate")).alias("avg_interest_rate"))
+                 mean_of(F.sum("interest_rate"), F.count("interest_rate")).alias("avg_interest_rate"))
             .orderBy(_desc("loan_count")))
 
 
@@ -89,7 +85,7 @@ def loan_status_distribution_by_loan(w: W) -> DataFrame:
     return (fl.groupBy(status.alias("loan_status"), "customer_segment")
             .agg(F.count(F.lit(1)).alias("loan_count"),
                  money_sum("principal_amount").alias("total_loan_amount"),
-                 _mean(F.sum("interest_rate"), F.count("interest_rate")).alias("avg_interest_rate"))
+                 mean_of(F.sum("interest_rate"), F.count("interest_rate")).alias("avg_interest_rate"))
             .orderBy(_desc("loan_count")))
 
 
@@ -114,7 +110,7 @@ def branch_performance(w: W) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("loan_count"),
                  money_sum("_paid").alias("total_collected"),
                  money_sum("_int").alias("total_interest_earned"),
-                 _mean(F.sum("_rs"), F.sum("_rn")).alias("avg_rate"))
+                 mean_of(F.sum("_rs"), F.sum("_rn")).alias("avg_rate"))
             .orderBy(_desc("total_collected")))
 
 
@@ -175,7 +171,7 @@ def default_rate_by_segment(w: W) -> DataFrame:
     return (fl.groupBy("customer_segment")
             .agg(F.count(F.lit(1)).alias("loan_count"),
                  F.sum(F.col("is_defaulted").cast("int")).cast("long").alias("defaulted"),
-                 _mean(F.sum(F.col("is_defaulted").cast("int")), F.count(F.lit(1))).alias("default_rate")))
+                 mean_of(F.sum(F.col("is_defaulted").cast("int")), F.count(F.lit(1))).alias("default_rate")))
 
 
 def interest_by_branch(w: W) -> DataFrame:
