@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import calendar_size, dim_date
-from ..operators.upsert import insert_absent, upsert
+from ..operators.upsert import insert_absent, scd2, upsert
 from ..sources import schemas as S
 from ..sources.readers import extract_customers, extract_loans, extract_payments
 
@@ -72,6 +72,16 @@ def load_dim_customer(existing: DataFrame | None, stg_customers: DataFrame, run_
     return out.select(*DIM_CUSTOMER_COLS, "_op", "_dup")
 
 
+def load_dim_customer_history(existing: DataFrame | None, stg_customers: DataFrame, run_ts: str) -> DataFrame:
+    """Type-2 variant of ``dim_customer``: a changed attribute closes the
+    current row and opens a new version with a new key (facts pick the
+    current row through ``is_current``)."""
+    staged = stg_customers.select("customer_id", *DIM_CUSTOMER_UPDATE, ts_lit(run_ts).alias("created_at"))
+    out = scd2(existing, staged, "customer_id", DIM_CUSTOMER_UPDATE, "customer_sk", F.to_date(ts_lit(run_ts)),
+               other_cols=["created_at"])
+    return out.select(*DIM_CUSTOMER_COLS)
+
+
 def load_dim_loan(existing: DataFrame | None, stg_loans: DataFrame, run_ts: str,
                   key_start: int | None = None) -> DataFrame:
     staged = stg_loans.select(*[c for c in DIM_LOAN_COLS if c not in ("loan_sk", "created_at")])
@@ -227,7 +237,7 @@ def _identity(name: str, df: DataFrame) -> DataFrame:
 def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
              src: dict[str, DataFrame], run_ts: str, sink: Sink = _identity,
              key_starts: dict[str, int | None] | None = None,
-             pay_totals: DataFrame | None = None) -> RunResult:
+             pay_totals: DataFrame | None = None, customer_history: bool = False) -> RunResult:
     """One ETL run over the current warehouse version (None = empty).
 
     ``sink(name, df)`` is called once per produced table, in dependency
@@ -239,8 +249,12 @@ def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
     cur = current or {}
     ks = key_starts or {}
     stg = {k: sink(k, v) for k, v in stage(src, run_ts).items()}
-    dim_c = sink("dim_customer", load_dim_customer(cur.get("dim_customer"), stg["stg_customers"], run_ts,
-                                                   ks.get("dim_customer")))
+    if customer_history:
+        dim_c = sink("dim_customer", load_dim_customer_history(cur.get("dim_customer"), stg["stg_customers"],
+                                                               run_ts))
+    else:
+        dim_c = sink("dim_customer", load_dim_customer(cur.get("dim_customer"), stg["stg_customers"], run_ts,
+                                                       ks.get("dim_customer")))
     dim_l = sink("dim_loan", load_dim_loan(cur.get("dim_loan"), stg["stg_loans"], run_ts, ks.get("dim_loan")))
     dim_p = sink("dim_product", load_dim_product(cur.get("dim_product"), src["loan_products"],
                                                  ks.get("dim_product")))

@@ -41,7 +41,7 @@ APPEND_TABLES = ("fact_payments", "src_payments")
 
 def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_ts: str | None = None,
          batch_id: int | None = None, log: RunLog | None = None, check_keys: bool = True,
-         increment: bool = False) -> dict:
+         increment: bool = False, customer_history: bool = False) -> dict:
     """One ETL run; returns the run metrics.  Raises after logging a failure.
 
     Each table is written once and read back by the later steps.  Row
@@ -103,7 +103,8 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
             pending = cur.get("pending_payments")
             staged = fresh if pending is None else fresh.unionByName(pending.select(*fresh.columns))
             src = {**src, "payments": staged}
-        res = run_load(spark, current, src, run_ts, sink, starts if prev else None, pay_totals=totals)
+        res = run_load(spark, current, src, run_ts, sink, starts if prev else None, pay_totals=totals,
+                       customer_history=customer_history)
         if increment:
             # still waiting for their loan / customer: retried next batch
             sink("pending_payments",

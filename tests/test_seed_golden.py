@@ -106,3 +106,17 @@ def test_customer_summary_fan_out(seed):
 def test_disbursed_date_uses_utc(seed):
     r = seed["w"]["fact_loans"].where("loan_id = 1").first()
     assert r.disbursement_date_sk == 20240115                      # 08:00+03 is 05:00 UTC
+
+
+def test_load_with_customer_history(spark, tmp_path):
+    src = seed_fixture.source_tables(spark)
+    store = TableStore(spark, str(tmp_path) + "/wh")
+    WH.load(spark, store, src, WH.FIXED_RUN_TS, customer_history=True)
+    moved = src["customers"].withColumn("segment", F.when(F.col("customer_id") == 1, "sme")
+                                        .otherwise(F.col("segment")))
+    WH.load(spark, store, {**src, "customers": moved}, WH.SECOND_RUN_TS, customer_history=True)
+    dc = store.read("dim_customer")
+    assert dc.count() == 16 and dc.where("is_current").count() == 15
+    c1 = {r.is_current: (r.customer_sk, r.segment) for r in dc.where("customer_id = 1").collect()}
+    assert c1 == {False: (1, "retail"), True: (16, "sme")}
+    assert store.read("fact_payments").count() == 50        # payments are not duplicated
