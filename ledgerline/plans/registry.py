@@ -523,12 +523,12 @@ SELECT 'operational' AS snapshot, CAST(4 AS BIGINT) AS tables,
        + (SELECT COUNT(*) FROM src_payments) AS total_rows
 UNION ALL
 SELECT 'warehouse', CAST(7 AS BIGINT), (SELECT COUNT(*) FROM dim_customer) + (SELECT COUNT(*) FROM dim_loan)
-       + (SELECT COUNT(*) FROM dim_date) + 5 + (SELECT COUNT(*) FROM dim_payment_method)
+       + (SELECT COUNT(*) FROM dim_date) + (SELECT COUNT(*) FROM dim_product) + (SELECT COUNT(*) FROM dim_payment_method)
        + (SELECT COUNT(*) FROM fact_payments) + (SELECT COUNT(*) FROM fact_loans)
 UNION ALL
 SELECT 'all_zstd', CAST(11 AS BIGINT), (SELECT COUNT(*) FROM src_customers) + (SELECT COUNT(*) FROM loan_products)
        + (SELECT COUNT(*) FROM src_loans) + (SELECT COUNT(*) FROM src_payments) + (SELECT COUNT(*) FROM dim_customer)
-       + (SELECT COUNT(*) FROM dim_loan) + (SELECT COUNT(*) FROM dim_date) + 5
+       + (SELECT COUNT(*) FROM dim_loan) + (SELECT COUNT(*) FROM dim_date) + (SELECT COUNT(*) FROM dim_product)
        + (SELECT COUNT(*) FROM dim_payment_method) + (SELECT COUNT(*) FROM fact_payments)
        + (SELECT COUNT(*) FROM fact_loans)"""))(_snapshot_list)
 
