@@ -25,8 +25,8 @@ def test_defaults_and_keyed_update_delete(spark):
 
 
 def test_jdbc_options_from_conf(spark):
-    spark.conf.set("spark.ledgerline.source.url", "jdbc:postgresql://host:5432/db")
+    spark.conf.set("spark.ledgerline.source.url", "jdbc:sourcedb://host:5432/db")
     spark.conf.set("spark.ledgerline.source.user", "reader")
     opts = jdbc_options(spark)
-    assert opts["url"].startswith("jdbc:postgresql") and opts["user"] == "reader"
+    assert opts["url"].startswith("jdbc:sourcedb") and opts["user"] == "reader"
     assert "amount DECIMAL(14,2)" in custom_schema(S.LOANS)
