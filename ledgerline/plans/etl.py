@@ -234,6 +234,15 @@ def _identity(name: str, df: DataFrame) -> DataFrame:
     return df
 
 
+def _parallel(steps: dict[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Run independent steps from driver threads (their Spark jobs overlap);
+    the first failure is re-raised."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        futures = {k: pool.submit(fn) for k, fn in steps.items()}
+        return {k: f.result() for k, f in futures.items()}
+
+
 def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
              src: dict[str, DataFrame], run_ts: str, sink: Sink = _identity,
              key_starts: dict[str, int | None] | None = None,
@@ -248,16 +257,24 @@ def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
     """
     cur = current or {}
     ks = key_starts or {}
-    stg = {k: sink(k, v) for k, v in stage(src, run_ts).items()}
-    if customer_history:
-        dim_c = sink("dim_customer", load_dim_customer_history(cur.get("dim_customer"), stg["stg_customers"],
-                                                               run_ts))
-    else:
-        dim_c = sink("dim_customer", load_dim_customer(cur.get("dim_customer"), stg["stg_customers"], run_ts,
-                                                       ks.get("dim_customer")))
-    dim_l = sink("dim_loan", load_dim_loan(cur.get("dim_loan"), stg["stg_loans"], run_ts, ks.get("dim_loan")))
-    dim_p = sink("dim_product", load_dim_product(cur.get("dim_product"), src["loan_products"],
-                                                 ks.get("dim_product")))
+    # independent tables of one step are submitted as concurrent Spark jobs
+    stg = _parallel({k: (lambda k=k, v=v: sink(k, v)) for k, v in stage(src, run_ts).items()})
+
+    def dim_customer_step():
+        if customer_history:
+            return sink("dim_customer", load_dim_customer_history(cur.get("dim_customer"),
+                                                                  stg["stg_customers"], run_ts))
+        return sink("dim_customer", load_dim_customer(cur.get("dim_customer"), stg["stg_customers"], run_ts,
+                                                      ks.get("dim_customer")))
+
+    dims = _parallel({
+        "dim_customer": dim_customer_step,
+        "dim_loan": lambda: sink("dim_loan", load_dim_loan(cur.get("dim_loan"), stg["stg_loans"], run_ts,
+                                                           ks.get("dim_loan"))),
+        "dim_product": lambda: sink("dim_product", load_dim_product(cur.get("dim_product"),
+                                                                    src["loan_products"], ks.get("dim_product"))),
+    })
+    dim_c, dim_l, dim_p = dims["dim_customer"], dims["dim_loan"], dims["dim_product"]
     dd = cur.get("dim_date")
     if dd is None:
         dd = sink("dim_date", calendar(spark))
