@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import scratch_path
 
-from . import exact_dedup, mixing, packing, sharding, url_filter, warc
+from . import exact_dedup, mixing, packing, quality, sharding, url_filter, warc
 
 #: The rules of the url query.
 URL_RULES = [
@@ -64,6 +64,13 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type", page("refers_to").alias("refers_to"))
 
 
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sampler = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, sampler, "doc_id", "text").select(
+        F.col("id").alias("doc_id"), "log_weight", "key", (F.col("key") >= F.lit(sampler.least)).alias("kept"))
+
+
 def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": mixing_query,
     "op4_sharding": sharding_query,
     "op5_warc": warc_query,
+    "op6_quality": quality_query,
     "op10_exact_dedup": exact_dedup_query,
 }
 
