@@ -21,12 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialise, text_of
+from .common import discard, free_name, materialise, summed_vectors, text_of
 
 GRAM = 5
 BUCKETS = 1 << 17
-#: Counts travel in so many rows a task, each of a range of buckets.
-PARTS = 256
 SMOOTHING = 0.5
 #: Log ratios this close to 0 count as 0: groups of copies shift the counts of either model by so much.
 DEAD_ZONE = 0.3
@@ -68,16 +66,7 @@ def as_bytes(column) -> list[bytes]:
 
 
 def gram_counts(texts: DataFrame) -> np.ndarray:
-    """Counts of all n-grams of ``texts`` (text), by bucket.
-
-    Each task adds up its texts; its counts travel in PARTS rows by range of
-    buckets, are added there, and BUCKETS sums are gathered.
-    """
-    size = BUCKETS // PARTS
-
-    def rows(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())],
-                                          names=["part", "counts"])
+    """Counts of all n-grams of ``texts`` (text), by bucket."""
 
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
@@ -85,21 +74,8 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
             data = as_bytes(batch.column(0))
             for lo, hi in chunks(data):
                 total += np.bincount(grams(data[lo:hi])[0], minlength=BUCKETS)
-        if total.any():
-            yield rows({p: total[p * size:(p + 1) * size] for p in range(PARTS)})
-
-    def add(batches):
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                totals[p] = totals.get(p, 0) + np.frombuffer(c, np.int64)
-        if totals:
-            yield rows(totals)
-    kind = "part int, counts binary"
-    out = np.zeros((PARTS, size))
-    for row in texts.mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect():     # PARTS rows
-        out[row["part"]] += np.frombuffer(row["counts"], np.int64)
-    return out.ravel()
+        return total
+    return summed_vectors(texts, count, BUCKETS)
 
 
 def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:

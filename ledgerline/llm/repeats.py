@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, running_totals, text_of
+from .common import materialise, numbered
 
 GRAM = 32
 BLOCK = 64
@@ -335,17 +335,6 @@ def cut(length: int, with_text: bool):
     return task
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, text) with ``doc`` unique in the order of the ids: the id itself, where ids are integers, not null and unique."""
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
-    if slim.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long") and \
-            slim.groupBy("id").count().filter("count > 1 OR id IS NULL").isEmpty():
-        return slim.select(F.col("id").cast("long").alias("doc"), "id", "text")
-    stored = materialise(slim.withColumn("place", F.monotonically_increasing_id()), "texts")
-    ranks, _ = running_totals(stored.select("id", "place", F.lit(1).alias("one")), ["id", "place"], {"doc": "one"})
-    return materialise(stored.join(ranks.select("place", "doc"), "place").select("doc", "id", "text"), "texts")
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100,
                    with_text: bool = True) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end, ...), kept (bytes).
@@ -356,7 +345,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 96 <= length <= 160:
         raise ValueError("length must be from 96 to 160")
-    docs = numbered(docs, id_col, text_col)
+    docs, _ = numbered(docs, id_col, text_col)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0                     # one row
     buckets = max(64, -(-size // BUCKET))
     entries = docs.select("doc", "text").mapInArrow(find_entries(length, buckets), KIND)
