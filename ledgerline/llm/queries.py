@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import scratch_path
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, repeats, sharding, url_filter, warc
+from . import ann, exact_dedup, mixing, near_dedup, packing, quality, repeats, sharding, url_filter, warc
 
 #: The rules of the url query.
 URL_RULES = [
@@ -76,6 +76,11 @@ def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def nearest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": sharding_query,
     "op5_warc": warc_query,
     "op6_quality": quality_query,
+    "op7_nearest": nearest_query,
     "op8_near_dedup": near_dedup_query,
     "op9_repeats": repeats_query,
     "op10_exact_dedup": exact_dedup_query,

@@ -76,9 +76,12 @@ def header_field(name: str) -> Column:
 
 
 def pieces_of(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, place, value): each piece of the archives between two ``WARC/1.1`` lines, numbered within its byte range."""
+    """(file, block, place, value): each piece of the archives between two ``WARC/1.1`` lines, numbered within its byte range.
+
+    ``file`` is a hash of the path, so that what is joined by it stays slim.
+    """
     return (spark.read.option("lineSep", MAGIC).text(path)
-            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            .select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("value")))
 
 
@@ -140,7 +143,7 @@ def reachable(chain: DataFrame) -> DataFrame:
     """
     links = chain.filter("next IS NOT NULL").select("file", "block", "offset", "next")
     exits = materialise(links.groupBy("file", "block").applyInPandas(
-        exits_of_range, "file string, block long, offset long, exit long"), "exits")
+        exits_of_range, "file long, block long, offset long, exit long"), "exits")
     entered = exits.select("file", F.col("exit").alias("offset")).distinct()
     nodes = materialise(exits.join(entered, ["file", "offset"], "left_semi").unionByName(exits.filter("offset = 0"))
                         .distinct(), "nodes")
@@ -160,7 +163,7 @@ def reachable(chain: DataFrame) -> DataFrame:
         scratch.append(jump)
     entries = materialise(nodes.join(reached, ["file", "offset"], "left_semi").select("file", "block", "offset"), "entries")
     out = materialise(links.groupBy("file", "block").cogroup(entries.groupBy("file", "block")).applyInPandas(
-        reached_in_range, "file string, reached long"), "chain")
+        reached_in_range, "file long, reached long"), "chain")
     discard(exits, nodes, entries, *scratch)
     return out
 
