@@ -103,11 +103,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def bound_batches(spark: SparkSession) -> None:
+    for k, v in ARROW.items():
+        spark.conf.set(k, v)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bounded(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            for k, v in ARROW.items():
-                spark.conf.set(k, v)
+            bound_batches(spark)
             return fn(spark, sf_dir)
         return run
     return {k: bounded(v) for k, v in QUERIES.items()}
