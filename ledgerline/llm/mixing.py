@@ -64,12 +64,13 @@ def replicated(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     Rows that repeat an id draw the same count.  Columns of ``docs`` keep
     their names; ``copy`` and ``copies`` replace columns of these names.
     """
-    rates = source_rates(docs, source_col, weights)
     docs = docs.drop("copies", "copy")
-    counted = docs.join(rates.select("mix_source", "parts", "steps"),
-                        F.col(f"`{source_col}`").eqNullSafe(F.col("mix_source")))
-    numbers = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: uniform(seed, F.col(f"`{id_col}`"), j))
-    copies = F.aggregate(numbers, F.lit(0), lambda a, u: a + F.size(F.filter("steps", lambda c: c <= u)))
+    source, parts, steps = (free_name(docs, c) for c in ("mix_source", "parts", "steps"))
+    rates = source_rates(docs, source_col, weights).select(
+        F.col("mix_source").alias(source), F.col("parts").alias(parts), F.col("steps").alias(steps))
+    counted = docs.join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col(source)))
+    numbers = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda j: uniform(seed, F.col(f"`{id_col}`"), j))
+    copies = F.aggregate(numbers, F.lit(0), lambda a, u: a + F.size(F.filter(F.col(steps), lambda c: c <= u)))
     counted = counted.select(*[F.col(f"`{c}`") for c in docs.columns], copies.alias("copies")).filter("copies > 0")
     return counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
 

@@ -1,0 +1,83 @@
+import math
+import random
+
+import numpy as np
+from conftest import SF_SMALL
+from ledgerline.llm import quality as Q
+
+SCHEMA = "doc_id long, text string, known_id int, id string, log_weight int"
+
+
+def corpus():
+    rng = random.Random(4)
+    words = ["the", "quiet", "river", "and", "stone", "house", "was", "found"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(3, 60))), 0, "z", 1) for i in range(400)]
+    rows += [(1000 + i, " ".join(rng.choice(words).upper() + "!!" for _ in range(rng.randint(8, 60))), 0, "z", 1) for i in range(100)]
+    return rows
+
+
+def labels_of(spark, rows):
+    return spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in rows if r[0] % 2] + [(7, None), (None, 1)], "doc_id long, quality int")
+
+
+def test_good_documents_stay_and_bad_ones_go(spark):
+    rows = corpus() + [(2000, None, 0, "z", 1), (2001, "", 0, "z", 1), (None, "the river", 0, "z", 1)] + [(3, corpus()[3][1], 0, "z", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    sampler = Q.fit(df, labels_of(spark, corpus()))
+    out = Q.sample(df, sampler)
+    assert out.schema == df.schema
+    ids = [r.doc_id for r in out.collect()]
+    assert len([i for i in ids if i is not None and i < 1000]) >= 395
+    assert len([i for i in ids if i is not None and 1000 <= i < 2000]) <= 2
+    scores = {r.id: r.key for r in Q.scored(df, sampler, "doc_id", "text").collect()}
+    assert sorted(k is None or k for k, v in scores.items() if v >= sampler.least) == sorted(k is None or k for k in {*ids})
+
+
+def test_weights_against_plain_version(spark):
+    texts = [r[1] for r in corpus()] + ["é", "abcd", "abcde", ""]
+    counts = np.zeros(Q.BUCKETS)
+    for t in texts:
+        b = t.encode()
+        for i in range(len(b) - Q.GRAM + 1):
+            counts[(int.from_bytes(b[i:i + Q.GRAM], "big") * 0x9E3779B97F4A7C15 % 2 ** 64) >> (64 - int(math.log2(Q.BUCKETS)))] += 1
+    got = Q.gram_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert (got == counts).all()
+
+
+def test_keep_is_a_number_of_rows(spark):
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    for k in (0, 1, 123, 500, 900):
+        assert Q.sample(df, Q.fit(df, labels_of(spark, corpus()), keep=k)).count() == min(k, 500)
+
+
+def test_cut_and_kth_largest(spark):
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        w, g = rng.integers(-5, 5, 30).astype(float), rng.random(30) < 0.5
+        if g.all() or not g.any():
+            continue
+        cut = Q.best_cut(w, g)
+        errors = lambda c: int((g & (w < c)).sum() + (~g & (w >= c)).sum())
+        assert errors(cut) == min(errors(c) for c in [-math.inf, *np.unique(w), math.inf])
+    values = [*rng.normal(size=500), *[0.5] * 300, 1e9, -1e9]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for k in (1, 2, 100, 400, 802):
+        assert Q.kth_largest(df, "v", k, bins=7) == sorted(values, reverse=True)[k - 1]
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    no_labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert Q.sample(none, Q.fit(none, no_labels)).count() == 0
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    assert Q.sample(df, Q.fit(df, no_labels)).count() == 500
+    assert Q.sample(none, Q.fit(none, labels_of(spark, corpus()))).count() == 0
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"{SF_SMALL.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    fit = labels.filter("doc_id % 2 = 0")
+    kept = {r.doc_id for r in Q.sample(docs, Q.fit(docs, fit)).select("doc_id").collect()}
+    held = labels.filter("doc_id % 2 = 1").collect()
+    assert np.mean([(r.doc_id in kept) == (r.quality == 1) for r in held]) > 0.9
+    assert np.mean([r.doc_id in kept for r in held if r.quality == 1]) > 0.95          # of some 150
