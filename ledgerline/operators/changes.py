@@ -50,12 +50,12 @@ def touch_updated(old: DataFrame, new: DataFrame, key: str, at: Column,
                   col: str = "updated_at") -> DataFrame:
     """``new`` with ``updated_at`` = ``at`` where the row changed, else the old value."""
     compare = [c for c in new.columns if c not in (key, col)]
-    o = old.select(key, *[F.col(c).alias(f"_o_{c}") for c in compare], F.col(col).alias("_o_ts"))
+    o = old.select(key, *[F.col(c).alias(f"_o_{c}") for c in compare], F.col(col).alias("_o_ts"), F.lit(True).alias("_o_is"))
     j = new.join(o, key, "left")
     changed = F.lit(False)
     for c in compare:
         changed = changed | ~F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    return (j.withColumn(col, F.when(F.col("_o_ts").isNull() & F.col(f"_o_{compare[0]}").isNull(), F.col(col))
+    return (j.withColumn(col, F.when(F.col("_o_is").isNull(), F.col(col))
                          .when(changed, at).otherwise(F.col("_o_ts")))
             .select(*new.columns))
 
@@ -82,6 +82,25 @@ def apply_changes(base: DataFrame, log: DataFrame, key: str, attrs: list[str],
                              for a in attrs])
 
 
+def fold_changes(state: DataFrame | None, log: DataFrame, key: str, attrs: list[str], order: str = "log_id") -> DataFrame:
+    """State with the log id and a delete marker of each key, after the changes in ``log``.
+
+    Only a greater log id replaces a key's row, so batches may come in any
+    order and more than once.  ``live_state`` drops the markers.
+    """
+    last = latest_per_key(log.select(key, order, "operation", *attrs), key, order)
+    rows = last.select(key, *attrs, F.col(order).alias("_log_id"), (F.col("operation") == "DELETE").alias("_deleted"))
+    if state is not None:
+        rows = state.select(*rows.columns).unionByName(rows)
+    payload = [c for c in rows.columns if c != key]
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*payload), F.col("_log_id")).alias("_last"))
+    return best.select(key, *[F.col(f"_last.{c}").alias(c) for c in payload])
+
+
+def live_state(state: DataFrame) -> DataFrame:
+    return state.where(~F.col("_deleted")).drop("_log_id", "_deleted")
+
+
 def state_as_of(log: DataFrame, at: Column, key: str, attrs: list[str], time_col: str = "change_time",
                 order: str = "log_id") -> DataFrame:
     """State at time ``at`` from the log: last change per key up to ``at``,

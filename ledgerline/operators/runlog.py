@@ -26,10 +26,11 @@ class RunLog:
         from ..sources.store import path_exists
         if not path_exists(self.spark, self.path):
             return self.spark.createDataFrame([], EVENT_SCHEMA)
-        try:
-            return self.spark.read.schema(EVENT_SCHEMA).parquet(self.path)
-        except Exception:
-            return self.spark.createDataFrame([], EVENT_SCHEMA)
+        return self.spark.read.schema(EVENT_SCHEMA).parquet(self.path)
+
+    def next_run_id(self) -> int:
+        """After every run so far, failed ones included."""
+        return int(self.events().agg(F.max("run_id")).first()[0] or 0) + 1
 
     def _append(self, row: dict) -> None:
         cols = [f.split(" ")[0] for f in EVENT_SCHEMA.split(", ")]

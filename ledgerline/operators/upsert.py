@@ -134,19 +134,23 @@ def scd2(existing: DataFrame | None, staged: DataFrame, key: str, tracked: list[
          sk_col: str, as_of: Column, other_cols: list[str] | None = None) -> DataFrame:
     """Type-2 history: a changed tracked attribute closes the current row
     (``expiry_date`` = as_of - 1 day, ``is_current`` false) and opens a new
-    version with a new surrogate key, ``effective_date`` = as_of."""
+    version with a new surrogate key, ``effective_date`` = as_of.  A version
+    that began on ``as_of`` itself is amended in place, so no interval is
+    negative.  A key that the batch lacks is closed too; if it comes back, a
+    new version opens.  A ``_dup`` column of ``staged`` is passed on."""
     other_cols = other_cols or []
     attrs = tracked + [c for c in other_cols if c not in tracked]
     base_cols = [key, *attrs]
+    extra = [c for c in ("_dup",) if c in staged.columns]
     as_of = as_of.cast("date")
     if existing is None:
-        first = staged.select(*base_cols).withColumn("effective_date", as_of) \
+        first = staged.select(*base_cols, *extra).withColumn("effective_date", as_of) \
             .withColumn("expiry_date", F.lit(None).cast("date")).withColumn("is_current", F.lit(True))
         return assign_dense_keys(first, [key], sk_col, 0)
 
     cur = existing.where("is_current").alias("c")
     hist = existing.where(~F.col("is_current"))
-    s = staged.select(*base_cols).alias("s")
+    s = staged.select(*base_cols, *extra).alias("s")
     j = cur.join(s, F.col(f"c.{key}") == F.col(f"s.{key}"), "full_outer")
     in_c = F.col(f"c.{key}").isNotNull()
     in_s = F.col(f"s.{key}").isNotNull()
@@ -158,20 +162,24 @@ def scd2(existing: DataFrame | None, staged: DataFrame, key: str, tracked: list[
         *[F.col(f"c.{c}").alias(f"_c_{c}") for c in attrs],
         *[F.col(f"s.{c}").alias(f"_s_{c}") for c in attrs],
         F.col(f"c.{sk_col}").alias(sk_col), F.col("c.effective_date").alias("effective_date"),
-        in_c.alias("_in_c"), in_s.alias("_in_s"), (in_c & in_s & changed).alias("_chg"),
+        in_c.alias("_in_c"), in_s.alias("_in_s"),
+        (in_c & in_s & changed & (F.col("c.effective_date") < as_of)).alias("_chg"),
+        (in_c & in_s & changed & (F.col("c.effective_date") >= as_of)).alias("_amend"), *[F.col(f"s.{c}").alias(c) for c in extra],
     )
-    kept = tagged.where(F.col("_in_c") & ~F.col("_chg")).select(
+    kept = tagged.where("_in_c AND _in_s AND NOT _chg").select(
+        sk_col, key, *[F.when(F.col("_amend"), F.col(f"_s_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in attrs],
+        "effective_date", F.lit(None).cast("date").alias("expiry_date"), F.lit(True).alias("is_current"), *extra)
+    closed = tagged.where("_chg OR (_in_c AND NOT _in_s)").select(
         sk_col, key, *[F.col(f"_c_{c}").alias(c) for c in attrs], "effective_date",
-        F.lit(None).cast("date").alias("expiry_date"), F.lit(True).alias("is_current"))
-    closed = tagged.where("_chg").select(
-        sk_col, key, *[F.col(f"_c_{c}").alias(c) for c in attrs], "effective_date",
-        F.date_sub(as_of, 1).alias("expiry_date"), F.lit(False).alias("is_current"))
+        F.greatest(F.date_sub(as_of, 1), F.col("effective_date")).alias("expiry_date"), F.lit(False).alias("is_current"),
+        *[F.lit(None).cast("long").alias(c) for c in extra])
     opened = tagged.where("_chg OR (_in_s AND NOT _in_c)").select(
-        key, *[F.col(f"_s_{c}").alias(c) for c in attrs],
+        key, *[F.col(f"_s_{c}").alias(c) for c in attrs], *extra,
         as_of.alias("effective_date"), F.lit(None).cast("date").alias("expiry_date"),
         F.lit(True).alias("is_current"))
     opened = assign_dense_keys(opened, [key], sk_col, next_key_start(existing, sk_col))
-    cols = [sk_col, key, *attrs, "effective_date", "expiry_date", "is_current"]
+    cols = [sk_col, key, *attrs, "effective_date", "expiry_date", "is_current", *extra]
+    hist = hist.select("*", *[F.lit(None).cast("long").alias(c) for c in extra])
     return (hist.select(*cols).unionByName(kept.select(*cols))
             .unionByName(closed.select(*cols)).unionByName(opened.select(*cols)))
 

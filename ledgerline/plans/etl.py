@@ -5,8 +5,7 @@ Every step is a pure function from table versions to the next version;
 chosen for scale: the loan-grain context (loans x customers x keys) is
 built first and partitioned by ``loan_id``; the payment-grain data is
 shuffled once, on ``loan_id``, which its source window already uses.
-Only fixed-size tables are broadcast (calendar: one row per day of a
-fixed range; payment methods: five rows).
+Calendar and payment methods are broadcast after a count of the very table.
 """
 
 from __future__ import annotations
@@ -17,8 +16,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.calendar import calendar_size, dim_date
-from ..operators.upsert import insert_absent, scd2, upsert
+from ..functions.calendar import dim_date
+from ..operators.upsert import insert_absent, scd2, upsert, with_dup_count
 from ..sources import schemas as S
 from ..sources.readers import extract_customers, extract_loans, extract_payments
 
@@ -76,10 +75,11 @@ def load_dim_customer_history(existing: DataFrame | None, stg_customers: DataFra
     """Type-2 variant of ``dim_customer``: a changed attribute closes the
     current row and opens a new version with a new key (facts pick the
     current row through ``is_current``)."""
-    staged = stg_customers.select("customer_id", *DIM_CUSTOMER_UPDATE, ts_lit(run_ts).alias("created_at"))
+    staged = with_dup_count(stg_customers.select("customer_id", *DIM_CUSTOMER_UPDATE, ts_lit(run_ts).alias("created_at")),
+                            "customer_id")
     out = scd2(existing, staged, "customer_id", DIM_CUSTOMER_UPDATE, "customer_sk", F.to_date(ts_lit(run_ts)),
                other_cols=["created_at"])
-    return out.select(*DIM_CUSTOMER_COLS)
+    return out.select(*DIM_CUSTOMER_COLS, "_dup")
 
 
 def load_dim_loan(existing: DataFrame | None, stg_loans: DataFrame, run_ts: str,
@@ -108,10 +108,13 @@ def calendar(spark: SparkSession) -> DataFrame:
     return dim_date(spark)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a side whose row count is bounded by construction."""
-    assert max_rows <= 100_000, "side is not small enough to broadcast"
-    return F.broadcast(df)
+#: A side of up to so many narrow rows is broadcast.
+MOST_BROADCAST = 100_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if its own count is at most MOST_BROADCAST; else Spark chooses the join."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
 # ----------------------------------------------------------------- facts
@@ -126,7 +129,8 @@ def loan_context(stg: dict[str, DataFrame], dim_customer: DataFrame, dim_loan: D
     sl = stg["stg_loans"].select("loan_id", "customer_id", F.col("amount").alias("loan_amount"),
                                  "interest_rate", "tenure_months", F.col("status").alias("loan_status"),
                                  "branch_code", "disbursed_at", "maturity_date")
-    return sl.join(sc, "customer_id").join(dc, "customer_id").join(dl, "loan_id")
+    # holders first, one row per customer: loans meet them in one join, whose hot keys Spark can split
+    return sl.join(sc.join(dc, "customer_id"), "customer_id").join(dl, "loan_id")
 
 
 def fact_payment_candidates(spark: SparkSession, stg: dict[str, DataFrame], ctx: DataFrame,
@@ -134,9 +138,8 @@ def fact_payment_candidates(spark: SparkSession, stg: dict[str, DataFrame], ctx:
                             methods: DataFrame | None = None) -> DataFrame:
     dd = dd if dd is not None else calendar(spark)
     methods = methods if methods is not None else dim_payment_method(spark)
-    dd = bounded_broadcast(dd.select("date_sk", F.col("full_date").alias("payment_date")), calendar_size())
-    pm = bounded_broadcast(methods.select("method_sk", F.col("method_code").alias("payment_method")),
-                           len(S.PAYMENT_METHOD_ROWS))
+    dd = broadcast_if_small(dd.select("date_sk", F.col("full_date").alias("payment_date")))
+    pm = broadcast_if_small(methods.select("method_sk", F.col("method_code").alias("payment_method")))
     sp = stg["stg_payments"]
     return (
         sp.join(ctx, "loan_id")
@@ -165,10 +168,8 @@ def fact_loan_rows(spark: SparkSession, stg: dict[str, DataFrame], ctx: DataFram
     the aggregation of staged payments when the caller keeps running
     totals (micro-batch mode)."""
     dd = dd if dd is not None else calendar(spark)
-    ddi = bounded_broadcast(dd.select(F.col("date_sk").alias("disbursement_date_sk"),
-                                      F.col("full_date").alias("_dfd")), calendar_size())
-    ddm = bounded_broadcast(dd.select(F.col("date_sk").alias("maturity_date_sk"),
-                                      F.col("full_date").alias("_mfd")), calendar_size())
+    ddi = broadcast_if_small(dd.select(F.col("date_sk").alias("disbursement_date_sk"), F.col("full_date").alias("_dfd")))
+    ddm = broadcast_if_small(dd.select(F.col("date_sk").alias("maturity_date_sk"), F.col("full_date").alias("_mfd")))
     # Lateral aggregate -> one grouped pass over staged payments (partial
     # aggregation before the shuffle), joined back per loan.
     pay = pay_totals if pay_totals is not None else payment_totals(stg["stg_payments"])

@@ -13,7 +13,9 @@ from ..operators import changes as CH
 from ..operators import posting as PO
 from ..operators import quality as DQ
 from ..operators import upsert as UP
+from ..operators.runlog import RunLog
 from ..sources import testdata as TD
+from ..sources.store import TableStore
 from . import warehouse as WH
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -444,13 +446,12 @@ def _payment_stream_store(spark, d):
     src = _op(spark, d)
     cut = F.lit(TD.SNAPSHOT_CUTOFF).cast("date")
     pays = src["payments"]
-    MB.land(pays.where(F.col("payment_date") < cut), f"{root}/landing", "part=0")
-    MB.land(pays.where(F.col("payment_date") >= cut), f"{root}/landing", "part=1")
     wh = TableStore(spark, f"{root}/warehouse")
-    q = MB.payment_stream(spark, f"{root}/landing", S.PAYMENTS, wh,
+    for i, part in enumerate((pays.where(F.col("payment_date") < cut), pays.where(F.col("payment_date") >= cut))):
+        MB.land(part, f"{root}/landing", f"part={i}")
+        MB.payment_stream(spark, f"{root}/landing", S.PAYMENTS, wh,
                           {k: v for k, v in src.items() if k != "payments"}, f"{root}/_checkpoint",
-                          run_ts_of=lambda b: [WH.FIXED_RUN_TS, WH.SECOND_RUN_TS][min(b, 1)])
-    q.awaitTermination()
+                          run_ts_of=lambda b: [WH.FIXED_RUN_TS, WH.SECOND_RUN_TS][min(b, 1)]).awaitTermination()
     _STREAMS[k] = wh
     return wh
 
@@ -467,7 +468,7 @@ register("stream_fact_loans", _STREAM_SQL + f"\nSELECT {FL}, etl_loaded_at FROM
     lambda s, d: _payment_stream_store(s, d).read("fact_loans").select(*FL.split(", "), "etl_loaded_at"))
 
 
-def _stream_changes(spark, d):
+def _stream_changes(spark, d, late_first=False):
     import uuid
     from ..session import scratch_path
     from ..sources.store import TableStore
@@ -475,16 +476,159 @@ def _stream_changes(spark, d):
     root = scratch_path(spark, "changes", uuid.uuid4().hex)
     ev = TD.read_table(spark, d, "events")
     at = F.lit(TD.STATE_AS_OF).cast("timestamp_ntz")
-    MB.land(ev.where(F.col("ts") <= at), f"{root}/landing", "part=0")
-    MB.land(ev.where(F.col("ts") > at), f"{root}/landing", "part=1")
     state = TableStore(spark, f"{root}/state")
-    q = MB.change_stream(spark, f"{root}/landing", ev.schema, state, "record_id", EVENT_ATTRS,
-                         CH.events_as_change_log, f"{root}/_checkpoint")
-    q.awaitTermination()
-    return state.read("state")
+    parts = [ev.where(F.col("ts") <= at), ev.where(F.col("ts") > at)]
+    for i, part in enumerate(reversed(parts) if late_first else parts):
+        MB.land(part, f"{root}/landing", f"part={i}")
+        MB.change_stream(spark, f"{root}/landing", ev.schema, state, "record_id", EVENT_ATTRS,
+                         CH.events_as_change_log, f"{root}/_checkpoint").awaitTermination()
+    return MB.read_state(state)
 
 
 register("stream_changes", _LATEST.format(where=""))(_stream_changes)
+# the newer half comes first: older changes must not win, deleted keys not come back
+register("stream_changes_out_of_order", _LATEST.format(where=""))(lambda s, d: _stream_changes(s, d, True))
+
+
+# ------------------------------------------ loads that are interrupted, repeated or mixed
+def _folder(spark, what):
+    import uuid
+    from ..session import scratch_path
+    return scratch_path(spark, what, uuid.uuid4().hex)
+
+
+def _halves(payments):
+    """Payments by a hash of their id: both halves have payments of most loans."""
+    even = F.pmod(F.xxhash64("payment_id"), F.lit(2)) == 0
+    return payments.where(even), payments.where(~even)
+
+
+def _stream_once(spark, root, landed, store, parents, checkpoint):
+    from ..sources import schemas as S
+    from ..streaming import microbatch as MB
+    MB.payment_stream(spark, f"{root}/{landed}", S.PAYMENTS, store, parents, f"{root}/{checkpoint}",
+                      run_ts_of=lambda b: WH.FIXED_RUN_TS).awaitTermination()
+
+
+def _stream_new_checkpoint(spark, d):
+    """Two streams with a checkpoint each, whose batch numbers both start at 0."""
+    from ..streaming import microbatch as MB
+    root, src = _folder(spark, "stream"), _op(spark, d)
+    store, parents = TableStore(spark, f"{root}/warehouse"), {k: v for k, v in src.items() if k != "payments"}
+    for i, part in enumerate(_halves(src["payments"])):
+        MB.land(part, f"{root}/landing{i}", "part=0")
+        _stream_once(spark, root, f"landing{i}", store, parents, f"checkpoint{i}")
+    return store
+
+
+def _stream_duplicate_delivery(spark, d):
+    """Every payment twice in one batch, and a third time in a later one."""
+    from ..streaming import microbatch as MB
+    root, src = _folder(spark, "stream"), _op(spark, d)
+    store, parents = TableStore(spark, f"{root}/warehouse"), {k: v for k, v in src.items() if k != "payments"}
+    MB.land(src["payments"].unionByName(src["payments"]), f"{root}/landing", "part=0")
+    _stream_once(spark, root, "landing", store, parents, "checkpoint")
+    MB.land(src["payments"], f"{root}/landing", "part=1")
+    _stream_once(spark, root, "landing", store, parents, "checkpoint")
+    return store
+
+
+def _stream_late_parent(spark, d):
+    """Half of the loans come after the first batch; the parents are read anew for each batch."""
+    from ..streaming import microbatch as MB
+    root, src = _folder(spark, "stream"), _op(spark, d)
+    store = TableStore(spark, f"{root}/warehouse")
+    early, late = src["loans"].where("loan_id % 2 = 0"), src["loans"].where("loan_id % 2 = 1")
+    first, second = _halves(src["payments"])
+    early.write.parquet(f"{root}/loans/part=0")
+
+    def parents():
+        loans = spark.read.schema(src["loans"].schema).parquet(f"{root}/loans")
+        return {**{k: v for k, v in src.items() if k != "payments"}, "loans": loans.select(*src["loans"].columns)}
+    MB.land(first, f"{root}/landing", "part=0")
+    _stream_once(spark, root, "landing", store, parents, "checkpoint")
+    late.write.parquet(f"{root}/loans/part=1")
+    MB.land(second, f"{root}/landing", "part=1")
+    _stream_once(spark, root, "landing", store, parents, "checkpoint")
+    return store
+
+
+def _load_after_failed_run(spark, d):
+    """A run fails on a doubled loan after it has written tables; the corrected one succeeds."""
+    src, store = _op(spark, d), TableStore(spark, f"{_folder(spark, 'retry')}/warehouse")
+    try:
+        WH.load(spark, store, {**src, "loans": src["loans"].unionByName(src["loans"])}, WH.FIXED_RUN_TS)
+    except UP.DuplicateKeyError:
+        WH.load(spark, store, src, WH.FIXED_RUN_TS)
+    return store
+
+
+def _backfill_then_increment(spark, d):
+    """One half of the payments as a full load, the other as an increment."""
+    src, store = _op(spark, d), TableStore(spark, f"{_folder(spark, 'mixed')}/warehouse")
+    first, second = _halves(src["payments"])
+    WH.load(spark, store, {**src, "payments": first}, WH.FIXED_RUN_TS)
+    WH.load(spark, store, {**src, "payments": second}, WH.FIXED_RUN_TS, increment=True)
+    return store
+
+
+def _increment_then_backfill(spark, d):
+    src, store = _op(spark, d), TableStore(spark, f"{_folder(spark, 'mixed')}/warehouse")
+    first, _ = _halves(src["payments"])
+    WH.load(spark, store, {**src, "payments": first}, WH.FIXED_RUN_TS, increment=True)
+    WH.load(spark, store, src, WH.FIXED_RUN_TS)
+    return store
+
+
+def _restore_then_load(spark, d):
+    """One half loaded, exported and restored elsewhere; the other half as an increment there."""
+    from ..sources import snapshot as SN
+    root, src = _folder(spark, "restore"), _op(spark, d)
+    first, second = _halves(src["payments"])
+    store, again = TableStore(spark, f"{root}/warehouse"), TableStore(spark, f"{root}/restored")
+    WH.load(spark, store, {**src, "payments": first}, WH.FIXED_RUN_TS)
+    SN.export(spark, store.read_all(), f"{root}/snapshots", "s", "resumable")
+    SN.restore(spark, f"{root}/snapshots", "s", again)
+    WH.load(spark, again, {**src, "payments": second}, WH.FIXED_RUN_TS, increment=True)
+    return again
+
+
+def _once(build):
+    """The store of a scenario, built once per session for the queries on it."""
+    def get(spark, d):
+        k = (spark.sparkContext.applicationId, d, build.__name__)
+        if k not in _STREAMS:
+            _STREAMS[k] = build(spark, d)
+        return _STREAMS[k]
+    return get
+
+
+# surrogate keys follow the order of arrival; everything else equals one full load, and keys are unique
+FP_BY_ID = ("payment_id, date_sk, method_sk, payment_amount, principal_portion, interest_portion, penalty_portion, loan_amount, "
+            "interest_rate, customer_segment, loan_status, branch_code")
+FL_BY_ID = ("loan_id, disbursement_date_sk, maturity_date_sk, principal_amount, interest_rate, tenure_months, outstanding_balance, "
+            "total_paid, payment_count, is_active, is_defaulted, is_repaid, customer_segment, branch_code")
+
+
+def _facts(store, table, key, cols):
+    t = store.read(table)
+    sharing = t.groupBy(key).agg(F.count("*").alias("rows_of_key"))
+    return t.join(sharing, key).select(*cols.split(", "), "rows_of_key")
+
+
+for _name, _build in (("stream_new_checkpoint", _stream_new_checkpoint), ("stream_duplicate_delivery", _stream_duplicate_delivery),
+                      ("stream_late_parent", _stream_late_parent), ("load_after_failed_run", _load_after_failed_run),
+                      ("backfill_then_increment", _backfill_then_increment), ("increment_then_backfill", _increment_then_backfill),
+                      ("restore_then_load", _restore_then_load)):
+    for _t, _k, _cols in (("fact_payments", "payment_sk", FP_BY_ID), ("fact_loans", "loan_fact_sk", FL_BY_ID)):
+        register(f"{_name}_{_t}", O.with_full(f"SELECT {_cols}, CAST(1 AS BIGINT) AS rows_of_key FROM {_t}"))(
+            (lambda get, t, k, cols: lambda s, d: _facts(get(s, d), t, k, cols))(_once(_build), _t, _k, _cols))
+
+# the failed run keeps a row of its own, with the whole error text
+register("load_after_failed_run_history", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'failed', TRUE), (CAST(2 AS BIGINT), 'success', FALSE)) "
+         "AS t(run_id, status, has_error) WHERE (SELECT COUNT(*) FROM orders) > 0")(
+    lambda s, d: RunLog(s, _once(_load_after_failed_run)(s, d).root).runs().select(
+        "run_id", "status", F.col("error_message").isNotNull().alias("has_error")))
 
 
 # ------------------------------------------- snapshots, run log, freshness
@@ -515,23 +659,23 @@ def _snapshot_list(spark, d):
     SN.export(spark, tables, root, "operational", "operational", "gzip")
     SN.export(spark, tables, root, "warehouse", "warehouse", "gzip")
     SN.max_compression_export(spark, tables, root, "all_zstd")
-    return SN.list_snapshots(spark, root).select("snapshot", "tables", "total_rows")
+    return SN.list_snapshots(spark, root).select("snapshot", "tables", "total_rows", (F.col("total_bytes") > 0).alias("has_bytes"))
 
 
 register("snapshot_list", O.with_full("""
 SELECT 'operational' AS snapshot, CAST(4 AS BIGINT) AS tables,
        (SELECT COUNT(*) FROM src_customers) + (SELECT COUNT(*) FROM loan_products) + (SELECT COUNT(*) FROM src_loans)
-       + (SELECT COUNT(*) FROM src_payments) AS total_rows
+       + (SELECT COUNT(*) FROM src_payments) AS total_rows, TRUE AS has_bytes
 UNION ALL
 SELECT 'warehouse', CAST(7 AS BIGINT), (SELECT COUNT(*) FROM dim_customer) + (SELECT COUNT(*) FROM dim_loan)
        + (SELECT COUNT(*) FROM dim_date) + (SELECT COUNT(*) FROM dim_product) + (SELECT COUNT(*) FROM dim_payment_method)
-       + (SELECT COUNT(*) FROM fact_payments) + (SELECT COUNT(*) FROM fact_loans)
+       + (SELECT COUNT(*) FROM fact_payments) + (SELECT COUNT(*) FROM fact_loans), TRUE
 UNION ALL
 SELECT 'all_zstd', CAST(11 AS BIGINT), (SELECT COUNT(*) FROM src_customers) + (SELECT COUNT(*) FROM loan_products)
        + (SELECT COUNT(*) FROM src_loans) + (SELECT COUNT(*) FROM src_payments) + (SELECT COUNT(*) FROM dim_customer)
        + (SELECT COUNT(*) FROM dim_loan) + (SELECT COUNT(*) FROM dim_date) + (SELECT COUNT(*) FROM dim_product)
        + (SELECT COUNT(*) FROM dim_payment_method) + (SELECT COUNT(*) FROM fact_payments)
-       + (SELECT COUNT(*) FROM fact_loans)"""))(_snapshot_list)
+       + (SELECT COUNT(*) FROM fact_loans), TRUE"""))(_snapshot_list)
 
 
 def _run_history(spark, d):
@@ -551,8 +695,11 @@ SELECT CAST(2 AS BIGINT), (SELECT COUNT(*) FROM r2_fp_new) + (SELECT COUNT(*) FR
        (SELECT COUNT(*) FROM r2_stg_customers) + (SELECT COUNT(*) FROM r2_stg_loans), 'success', NULL
 ORDER BY run_id DESC LIMIT 10"""))(_run_history)
 
-# wall-clock dependent: rows-only check
-register("freshness", None)(lambda s, d: V.freshness(_w(s, d)))
+register("freshness", O.with_full("\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, CASE WHEN COUNT(*) > 0 THEN {O.RUN1} END AS last_loaded_at, "
+    f"CASE WHEN COUNT(*) > 0 THEN CAST(86400 AS DOUBLE) END AS lag_seconds FROM {t}"
+    for t in ("fact_payments", "fact_loans", "stg_customers", "stg_loans", "stg_payments"))))(
+    lambda s, d: V.freshness(_w(s, d), F.lit(WH.SECOND_RUN_TS).cast("timestamp_ntz")))
 
 
 # ------------------------------------------------ previews (F4: sample rows)

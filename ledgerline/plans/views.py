@@ -9,10 +9,11 @@ Results are exact (sums of sums, counts of counts, max of max).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.calendar import calendar_size
 from ..functions.exprs import mean_of, money_sum, pct
 from ..sources import schemas as S
 
@@ -20,9 +21,8 @@ W = dict[str, DataFrame]
 
 
 def _bcast_dates(w: W, *cols: str) -> DataFrame:
-    # calendar rows are fixed by its range -> bounded broadcast
-    assert calendar_size() < 100_000
-    return F.broadcast(w["dim_date"].select(*cols))
+    # no hint: Spark broadcasts the calendar by its measured size
+    return w["dim_date"].select(*cols)
 
 
 def _desc(c: str) -> Column:
@@ -90,8 +90,7 @@ def loan_status_distribution_by_loan(w: W) -> DataFrame:
 
 
 def payment_by_method(w: W) -> DataFrame:
-    # method dimension is a fixed five-row table
-    pm = F.broadcast(w["dim_payment_method"].select("method_sk", "method_name"))
+    pm = w["dim_payment_method"].select("method_sk", "method_name")
     agg = (w["fact_payments"].join(pm, "method_sk").groupBy("method_name")
            .agg(F.count("payment_sk").alias("payment_count"),
                 money_sum("payment_amount").alias("total_amount")))
@@ -251,10 +250,10 @@ def freshness(w: W, now: Column | None = None) -> DataFrame:
     """Time since the latest load, per warehouse table."""
     now = now if now is not None else F.current_timestamp().cast(S.TS)
     parts = []
-    for n in ("fact_payments", "fact_loans"):
+    for n in [t for t in w if "etl_loaded_at" in w[t].columns]:
         parts.append(w[n].agg(F.max("etl_loaded_at").alias("last_loaded_at"))
                      .select(F.lit(n).alias("table_name"), "last_loaded_at"))
-    out = parts[0].unionByName(parts[1])
+    out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("lag_seconds",
                           (F.unix_micros(now.cast("timestamp")) -
                            F.unix_micros(F.col("last_loaded_at").cast("timestamp"))) / 1e6)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.runlog import RunLog
 from ..operators.upsert import DuplicateKeyError, insert_absent
 from ..session import scratch_path
+from ..sources import schemas as S
 from ..sources import testdata
 from ..sources.store import TableStore
 from .etl import SK_COLS, merge_totals, payment_totals, run_load
@@ -37,6 +38,9 @@ def _now():
 
 
 APPEND_TABLES = ("fact_payments", "src_payments")
+#: What increments keep between runs.  A load of whole snapshots drops them: its staged payments
+#: are the accumulated source from which the next increment starts.
+INCREMENT_TABLES = ("src_payments", "payment_totals", "pending_payments")
 
 
 def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_ts: str | None = None,
@@ -53,7 +57,9 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
     source rows.  They are appended to ``src_payments`` (insert-if-absent
     by id), their per-loan totals are folded into ``payment_totals``, and
     the run stages the batch plus the payments still pending from earlier
-    runs (parent not seen yet).  Every table of the step commits in the
+    runs (parent not seen yet).  Payments that come twice, in one batch or
+    again later, count once.  The first increment after a load of whole
+    snapshots takes that load's staged payments as its start.  Every table of the step commits in the
     same manifest, so the cost per batch is O(batch + loan grain) and the
     result equals a full re-extract.
     """
@@ -62,12 +68,13 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
     version = store.current_version() + 1
     started = _now()
     run_ts = run_ts or started.strftime("%Y-%m-%d %H:%M:%S")
-    log.open(version, started, batch_id)
+    run_id = log.next_run_id()                  # its own: a failed run leaves the version as it was
+    log.open(run_id, started, batch_id)
     entries: dict[str, dict] = {}
     ops: dict[str, dict] = {}
 
     def sink(name: str, df: DataFrame) -> DataFrame:
-        append = prev.get(name) if name in APPEND_TABLES else None
+        append = entries.get(name) or prev.get(name) if name in APPEND_TABLES else None
         partition_by = None
         if name in PARTITIONED:
             col, expr = PARTITIONED[name]
@@ -97,10 +104,17 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
         totals = None
         if increment:
             cur = current or {}
-            _, fresh = insert_absent(cur.get("src_payments"), src["payments"], "payment_id")
+            known, paid, pending = (cur.get(t) for t in INCREMENT_TABLES)
+            if known is None and "fact_payments" in cur and "stg_payments" not in cur:
+                raise ValueError("the store holds facts but no payments to add to: load whole snapshots first")
+            if known is None and "stg_payments" in cur:
+                known = sink("src_payments", cur["stg_payments"].select(*S.STG_PAYMENT_COLS))
+                paid = merge_totals(None, payment_totals(known))
+                pending = known.join(cur["fact_payments"].select("payment_id"), "payment_id", "left_anti")
+            batch = src["payments"].select(*S.STG_PAYMENT_COLS).dropDuplicates(["payment_id"])
+            _, fresh = insert_absent(known, batch, "payment_id")
             fresh = sink("src_payments", fresh)
-            totals = sink("payment_totals", merge_totals(cur.get("payment_totals"), payment_totals(fresh)))
-            pending = cur.get("pending_payments")
+            totals = sink("payment_totals", merge_totals(paid, payment_totals(fresh)))
             staged = fresh if pending is None else fresh.unionByName(pending.select(*fresh.columns))
             src = {**src, "payments": staged}
         res = run_load(spark, current, src, run_ts, sink, starts if prev else None, pay_totals=totals,
@@ -109,24 +123,25 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
             # still waiting for their loan / customer: retried next batch
             sink("pending_payments",
                  src["payments"].join(res.new_payments.select("payment_id"), "payment_id", "left_anti"))
-        store.commit(list(entries.values()), version, keep=prev)
         new_pay = entries["fact_payments"]["new_rows"]
         fl = ops["fact_loans"]
         metrics = {
             "payments_inserted": new_pay,
             # rows_inserted / rows_updated keep the source system's definitions:
             # new payments + every upserted loan row; extracted customers + loans.
-            "rows_inserted": new_pay + int(fl["insert"]) + int(fl["update"]),
+            "rows_inserted": new_pay + int(fl["insert"] or 0) + int(fl["update"] or 0),
             "rows_updated": entries["stg_customers"]["row_count"] + entries["stg_loans"]["row_count"],
-            "loans_inserted": int(fl["insert"]),
-            "loans_updated": int(fl["update"]),
+            "loans_inserted": int(fl["insert"] or 0),
+            "loans_updated": int(fl["update"] or 0),
             "version": version,
         }
-        log.close(version, started, _now(), "success", metrics, batch_id=batch_id)
-        return metrics
+        keep = prev if increment else {t: e for t, e in prev.items() if t not in INCREMENT_TABLES}
+        store.commit(list(entries.values()), version, keep=keep)
     except Exception as exc:  # record, then re-raise
-        log.close(version, started, _now(), "failed", error=str(exc)[:2000], batch_id=batch_id)
+        log.close(run_id, started, _now(), "failed", error=str(exc), batch_id=batch_id)
         raise
+    log.close(run_id, started, _now(), "success", metrics, batch_id=batch_id)
+    return metrics
 
 
 # ------------------------------------------------- per-session warehouses

@@ -7,7 +7,6 @@ tests, the bench and command-line use.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,8 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` (or the context's checkpoint dir) as the
-    cluster names it.  Only when nothing is configured (tests, local runs)
-    a private folder is created and registered.
+    cluster names it.  Only in local mode, where there are no other machines,
+    a private folder is created and registered when nothing is configured.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
@@ -59,6 +58,8 @@ def shared_dir(spark: SparkSession) -> str:
         conf = spark.conf.get("spark.checkpoint.dir", None)
         if conf:
             sc.setCheckpointDir(conf)
+        elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         else:
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-ckpt-"))
         cur = sc.getCheckpointDir()
@@ -73,8 +74,3 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     base = shared_dir(spark)
     return "/".join([base, "ledgerline", *parts])
 
-
-def ensure_local_dir(path: str) -> None:
-    p = to_local_path(path)
-    if "://" not in p:
-        os.makedirs(p, exist_ok=True)

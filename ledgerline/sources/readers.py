@@ -3,7 +3,7 @@
 * ``read_typed``   Parquet / JSON / CSV with an explicit StructType, cast
                    to the declared types (decimal money, NTZ timestamps)
 * ``jdbc_options`` connection options from the session conf or the
-                   environment (``ledgerline.source.*`` / ``LEDGERLINE_SRC_*``),
+                   environment (``spark.ledgerline.source.*`` / ``LEDGERLINE_SOURCE_*``),
                    never spliced into SQL text
 * ``read_jdbc``    partitioned JDBC extract on a numeric key (parallel
                    range reads), projection and filter pushed to the source
@@ -21,10 +21,16 @@ from pyspark.sql import types as T
 from . import schemas as S
 
 
+class MissingColumnError(ValueError):
+    pass
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select and cast to the declared schema (missing columns -> NULL)."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                       for f in schema.fields])
+    """Select and cast to the declared schema; a missing declared column is an error."""
+    missing = [f.name for f in schema.fields if f.name not in df.columns]
+    if missing:
+        raise MissingColumnError(f"the source lacks {', '.join(missing)}")
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def read_typed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
@@ -58,8 +64,10 @@ def read_jdbc(spark: SparkSession, table: str, schema: T.StructType, options: di
     r = (spark.read.format("jdbc").options(**options).option("dbtable", table)
          .option("customSchema", custom_schema(schema)))
     if partition_column:
+        if lower is None or upper is None or num_partitions is None:
+            raise ValueError("a partitioned read needs lower, upper and num_partitions")
         r = (r.option("partitionColumn", partition_column).option("lowerBound", str(lower))
-             .option("upperBound", str(upper)).option("numPartitions", str(num_partitions or 8)))
+             .option("upperBound", str(upper)).option("numPartitions", str(num_partitions)))
     return conform(r.load(), schema)
 
 

@@ -2,8 +2,9 @@
 
 ``export`` writes each table of a target set (operational / warehouse /
 all) as compressed Parquet under ``<root>/<label>/<table>`` plus a
-manifest row per table (rows, schema, content checksum); the manifest is
-written last.  ``restore`` refuses a snapshot whose manifest or table
+manifest row per table (rows, bytes, schema, content checksum, largest surrogate
+key, partitioning); the manifest is written last.  The target ``resumable`` adds what
+the next load or increment reads besides the warehouse's own tables.  ``restore`` refuses a snapshot whose manifest or table
 files are missing, re-checks rows and checksums, and writes the tables
 as a new version of a store.  ``list_snapshots`` reads every manifest
 and reports tables, rows and bytes per snapshot.
@@ -21,10 +22,12 @@ TARGETS = {
     "warehouse": ("dim_customer", "dim_loan", "dim_date", "dim_product", "dim_payment_method",
                   "fact_payments", "fact_loans"),
 }
+TARGETS["resumable"] = TARGETS["warehouse"] + ("stg_customers", "stg_loans", "stg_payments", "src_payments",
+                                               "payment_totals", "pending_payments")
 TARGETS["all"] = TARGETS["operational"] + TARGETS["warehouse"]
 
 MANIFEST = ("table_name string, row_count long, checksum long, schema_json string, compression string, "
-            "path string")
+            "path string, bytes long, max_key long, partition_by string")
 
 
 class SnapshotError(RuntimeError):
@@ -34,6 +37,8 @@ class SnapshotError(RuntimeError):
 def export(spark: SparkSession, tables: dict[str, DataFrame], root: str, label: str,
            target: str = "all", compression: str = "gzip") -> DataFrame:
     """Export ``target`` tables; returns the manifest rows."""
+    from ..plans.etl import SK_COLS
+    from ..plans.warehouse import PARTITIONED
     names = [t for t in TARGETS[target] if t in tables]
     rows = []
     for t in names:
@@ -41,7 +46,10 @@ def export(spark: SparkSession, tables: dict[str, DataFrame], root: str, label:
         tables[t].write.mode("errorifexists").option("compression", compression).parquet(path)
         back = spark.read.parquet(path)
         ck = table_checksum(back).first()
-        rows.append((t, int(ck["rows"]), int(ck["checksum"]), back.schema.json(), compression, path))
+        key = back.agg(F.max(SK_COLS[t])).first()[0] if t in SK_COLS else None
+        layout = PARTITIONED[t][0] if t in PARTITIONED and PARTITIONED[t][0] in back.columns else None
+        rows.append((t, int(ck["rows"]), int(ck["checksum"]), back.schema.json(), compression, path,
+                     _bytes(spark, path), key, layout))
     man = spark.createDataFrame(rows, MANIFEST)
     man.coalesce(1).write.mode("errorifexists").json(f"{root}/{label}/_manifest")
     return man
@@ -63,6 +71,7 @@ def restore(spark: SparkSession, root: str, label: str, into: TableStore) -> Dat
     """Restore a snapshot into a new store version after verifying it.
     Returns table_name, rows_exported, rows_restored, checksum_match."""
     man = read_manifest(spark, root, label).collect()  # one row per table
+    from ..plans.etl import SK_COLS
     out, entries = [], []
     version = into.current_version() + 1
     prev = into.manifest()
@@ -70,8 +79,13 @@ def restore(spark: SparkSession, root: str, label: str, into: TableStore) -> Dat
         if not path_exists(spark, m.path):
             raise SnapshotError(f"snapshot {label!r}: table {m.table_name} is missing")
         df = spark.read.parquet(m.path)
-        entries.append(into.write_table(m.table_name, df, version))
-        ck = table_checksum(spark.read.parquet(entries[-1]["new_path"])).first()
+        e = into.write_table(m.table_name, df, version, partition_by=[m.partition_by] if m.partition_by else None,
+                             key_col=SK_COLS.get(m.table_name))
+        if e["max_key"] != m.max_key:
+            raise SnapshotError(f"snapshot {label!r}: the largest key of {m.table_name} is not that of its manifest")
+        entries.append(e)
+        back = into.read_paths(e["new_path"], e["schema_json"]).select(*df.columns)
+        ck = table_checksum(back).first()
         out.append((m.table_name, m.row_count, int(ck["rows"]), int(ck["checksum"]) == m.checksum))
     bad = [o for o in out if not o[3] or o[1] != o[2]]
     if bad:
@@ -87,9 +101,7 @@ def list_snapshots(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], "snapshot string, tables long, total_rows long, total_bytes long")
     man = spark.read.schema(MANIFEST).json(f"{root}/*/_manifest").withColumn(
         "snapshot", F.regexp_extract(F.input_file_name(), r"/([^/]+)/_manifest/", 1))
-    sizes = [(r.path, _bytes(spark, r.path)) for r in man.select("path").collect()]  # one row per table
-    sz = spark.createDataFrame(sizes, "path string, bytes long")
-    return (man.join(sz, "path").groupBy("snapshot")
+    return (man.groupBy("snapshot")
             .agg(F.count(F.lit(1)).alias("tables"), F.sum("row_count").alias("total_rows"),
                  F.sum("bytes").alias("total_bytes")))
 

@@ -2,12 +2,14 @@
 
 Layout under ``root``::
 
-    tables/<table>/v=<version>/part-*.parquet   one directory per written version
+    tables/<table>/v=<version>-<attempt>/part-*.parquet   one directory per write
     _manifests/version=<version>/part-*.json    one row per table of the version
 
 A version becomes visible only when its manifest is written, after every
 table of the run is on storage, so a run that fails half-way leaves the
-previous version current (multi-table atomic commit).  Paths being read
+previous version current (multi-table atomic commit).  Every write has a
+directory of its own, so the run after a failed one never meets its files;
+``vacuum`` removes what no kept version lists.  Paths being read
 are never overwritten.  Everything goes through Spark's own readers and
 writers, so the root may be any Hadoop-compatible shared filesystem.
 """
@@ -15,6 +17,7 @@ writers, so the root may be any Hadoop-compatible shared filesystem.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +50,8 @@ class TableStore:
 
     # ----------------------------------------------------------- paths
     def table_path(self, table: str, version: int) -> str:
-        return f"{self.root}/tables/{table}/v={version}"
+        """A directory that no other write uses, also not a failed attempt at the same version."""
+        return f"{self.root}/tables/{table}/v={version}-{uuid.uuid4().hex[:12]}"
 
     @property
     def manifest_root(self) -> str:
@@ -57,12 +61,9 @@ class TableStore:
     def manifests(self) -> DataFrame | None:
         if not path_exists(self.spark, self.manifest_root):
             return None
-        try:
-            return self.spark.read.schema(MANIFEST_SCHEMA.replace(", committed_at timestamp_ntz",
-                                                                  ", committed_at string")) \
-                .json(self.manifest_root)
-        except Exception:  # no version committed yet
-            return None
+        return self.spark.read.schema(MANIFEST_SCHEMA.replace(", committed_at timestamp_ntz",
+                                                              ", committed_at string")) \
+            .json(self.manifest_root)
 
     def current_version(self) -> int:
         if self._current is not None:
@@ -203,6 +204,23 @@ class TableStore:
         new = dict(entry, path=path)
         return self.commit([new], version, keep=prev)
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete table directories that none of the newest ``keep`` versions lists; returns how many.
+
+        No load may run meanwhile: its directories are not listed yet.
+        """
+        newest = range(max(1, self.current_version() - keep + 1), self.current_version() + 1)
+        listed = {p.rpartition("/tables/")[2] for v in newest for e in self.manifest(v).values() for p in e["path"].split(",")}
+        jvm = self.spark.sparkContext._jvm
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/tables/*/v=*")
+        fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        gone = 0
+        for status in fs.globStatus(pattern):
+            if status.getPath().toString().rpartition("/tables/")[2] not in listed:
+                fs.delete(status.getPath(), True)
+                gone += 1
+        return gone
+
     def write_version(self, tables: dict[str, DataFrame], compression: str = "snappy",
                       partition_by: dict[str, list[str]] | None = None,
                       checksums: bool = False) -> int:

@@ -62,11 +62,9 @@ def shift(ts: Column) -> Column:
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer")
-    # nation/region are fixed 25/5-row reference tables: broadcast is bounded.
     n = read_table(spark, sf_dir, "nation")
     r = read_table(spark, sf_dir, "region")
-    geo = F.broadcast(n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey, "left")
-                      .select("n_nationkey", "n_name", "r_name"))
+    geo = n.join(r, n.n_regionkey == r.r_regionkey, "left").select("n_nationkey", "n_name", "r_name")
     return (
         c.join(geo, c.c_nationkey == geo.n_nationkey, "left")
         .select(

@@ -8,10 +8,11 @@ as the batch path, so every micro-batch is idempotent by key:
   appended to the accumulated source (insert-if-absent by
   ``payment_id``), per-loan totals are folded in, and only the batch plus
   still-pending payments are staged; a replayed batch inserts nothing;
-* changes: each batch of change rows is folded into the state table.
+* changes: each batch of change rows is folded into the state table, which
+  keeps each key's log id and delete marker; only a greater log id counts.
 
-The batch id goes into the run log; a batch id that already succeeded
-is skipped, so a restart after a crash never applies a batch twice.
+No batch is skipped by its number: numbers start again with each checkpoint,
+and the keys alone say what is new.  The batch id goes into the run log.
 Production uses ``trigger(processingTime='15 minutes')``; tests use
 ``availableNow``.
 """
@@ -21,69 +22,61 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import apply_changes
+from ..operators.changes import fold_changes, live_state
 from ..operators.runlog import RunLog
 from ..plans.warehouse import load
 from ..sources.store import TableStore
 
+Sources = dict[str, DataFrame]
 
-def _trigger(writer, trigger: dict | None):
-    t = trigger or {"availableNow": True}
-    return writer.trigger(**t)
 
-
-def batch_done(log: RunLog, batch_id: int) -> bool:
-    runs = log.runs()
-    return runs.where((F.col("batch_id") == batch_id) & (F.col("status") == "success")).limit(1).count() > 0
+def _started(spark: SparkSession, landing: str, schema, run_batch, checkpoint: str, trigger: dict | None,
+             files_per_trigger: int | None) -> StreamingQuery:
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    w = reader.parquet(landing).writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
+    return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def payment_stream(spark: SparkSession, landing: str, schema, warehouse: TableStore,
-                   static_src: dict[str, DataFrame], checkpoint: str,
+                   parents: Sources | Callable[[], Sources], checkpoint: str,
                    run_ts_of: Callable[[int], str | None] = lambda b: None,
-                   trigger: dict | None = None, files_per_trigger: int = 1) -> StreamingQuery:
-    """Start the payment micro-batch load (L1-L3)."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(landing))
+                   trigger: dict | None = None, files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start the payment micro-batch load (L1-L3).
+
+    ``parents``: the tables besides payments, or a function that reads them
+    anew for each batch, so that loans and customers that come after the
+    start are seen.  ``files_per_trigger``: None takes all files that are there.
+    """
     log = RunLog(spark, warehouse.root)
 
     def run_batch(df: DataFrame, batch_id: int) -> None:
-        if batch_done(log, batch_id):
-            return  # replay of a committed batch
-        load(spark, warehouse, {**static_src, "payments": df}, run_ts_of(batch_id), batch_id=batch_id,
+        src = parents() if callable(parents) else parents
+        load(spark, warehouse, {**src, "payments": df}, run_ts_of(batch_id), batch_id=batch_id,
              log=log, increment=True)
-
-    w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
-    return _trigger(w, trigger).start()
+    return _started(spark, landing, schema, run_batch, checkpoint, trigger, files_per_trigger)
 
 
 def change_stream(spark: SparkSession, landing: str, schema, state: TableStore, key: str,
                   attrs: list[str], to_log: Callable[[DataFrame], DataFrame], checkpoint: str,
-                  trigger: dict | None = None, files_per_trigger: int = 1) -> StreamingQuery:
-    """Continuously fold change rows into a state table (L4)."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(landing))
+                  trigger: dict | None = None, files_per_trigger: int | None = None) -> StreamingQuery:
+    """Continuously fold change rows into a state table (L4); ``read_state`` gives the live rows."""
 
     def run_batch(df: DataFrame, batch_id: int) -> None:
-        # one state version per batch: a replayed batch id is already applied
-        if state.current_version() >= batch_id + 1:
-            return
         prev = state.manifest()
-        base = state.read("state") if prev else None
-        log = to_log(df)
-        if base is None:
-            base = log.limit(0).select(key, *attrs)
-        nxt = apply_changes(base, log, key, attrs)
         version = state.current_version() + 1
-        e = state.write_table("state", nxt, version)
+        e = state.write_table("state", fold_changes(state.read("state") if prev else None, to_log(df), key, attrs), version)
         state.commit([e], version, keep=prev)
+    return _started(spark, landing, schema, run_batch, checkpoint, trigger, files_per_trigger)
+
 
-    w = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
-    return _trigger(w, trigger).start()
+def read_state(state: TableStore) -> DataFrame:
+    return live_state(state.read("state"))
 
 
 def land(df: DataFrame, landing: str, name: str) -> None:
-    """Land one file of source rows (what an upstream extract would drop)."""
-    df.coalesce(1).write.mode("errorifexists").parquet(f"{landing}/{name}")
+    """Land source rows (what an upstream extract would drop), in as many files as ``df`` has partitions."""
+    df.write.mode("errorifexists").parquet(f"{landing}/{name}")

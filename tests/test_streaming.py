@@ -15,12 +15,11 @@ def test_payment_stream_is_replay_safe(spark, tmp_root):
     root = f"{tmp_root}/{uuid.uuid4().hex}"
     src = testdata.source_tables(spark, SF_SMALL)
     cut = F.lit(testdata.SNAPSHOT_CUTOFF).cast("date")
-    MB.land(src["payments"].where(F.col("payment_date") < cut), f"{root}/landing", "part=0")
-    MB.land(src["payments"].where(F.col("payment_date") >= cut), f"{root}/landing", "part=1")
     wh = TableStore(spark, f"{root}/wh")
     static = {k: v for k, v in src.items() if k != "payments"}
-    q = MB.payment_stream(spark, f"{root}/landing", S.PAYMENTS, wh, static, f"{root}/ckpt")
-    q.awaitTermination()
+    for i, part in enumerate((F.col("payment_date") < cut, F.col("payment_date") >= cut)):
+        MB.land(src["payments"].where(part), f"{root}/landing", f"part={i}")
+        MB.payment_stream(spark, f"{root}/landing", S.PAYMENTS, wh, static, f"{root}/ckpt").awaitTermination()
     assert wh.read("fact_payments").count() == 5572
     runs = RunLog(spark, wh.root).runs().orderBy("run_id").collect()
     assert [(r.batch_id, r.status) for r in runs] == [(0, "success"), (1, "success")]
