@@ -14,8 +14,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import row_json
+from .keys import assign_dense_keys
 
 OPS = ("INSERT", "UPDATE", "DELETE")
 
@@ -46,6 +48,22 @@ def diff(old: DataFrame, new: DataFrame, key: str, compare: list[str] | None = N
                     F.when(F.col("operation") != "DELETE", new_img).alias("new_values")))
 
 
+def audit_log(old: DataFrame | None, new: DataFrame, key: str, at: Column, by: str, start: int = 0,
+              compare: list[str] | None = None, table_name: str = "loans") -> DataFrame:
+    """The changes from ``old`` (None: empty) to ``new`` as log rows: dense ids after ``start``, time, author, images."""
+    log = diff(old if old is not None else new.limit(0), new, key, compare, table_name).drop("changed_columns")
+    log = assign_dense_keys(log, ["record_id"], "log_id", start)
+    return log.select("log_id", "table_name", "operation", F.col("record_id").cast("long").alias("record_id"),
+                      F.lit(by).alias("changed_by"), at.cast("timestamp_ntz").alias("change_time"), "old_values", "new_values")
+
+
+def state_from_images(log: DataFrame, at: Column, schema: T.StructType) -> DataFrame:
+    """The table at time ``at``, read back from the after-images of its log."""
+    last = latest_per_key(log.where(F.col("change_time") <= at).select("record_id", "log_id", "operation", "new_values"))
+    row = F.from_json("new_values", schema).alias("row")
+    return last.where(F.col("operation") != "DELETE").select(row).select("row.*")
+
+
 def touch_updated(old: DataFrame, new: DataFrame, key: str, at: Column,
                   col: str = "updated_at") -> DataFrame:
     """``new`` with ``updated_at`` = ``at`` where the row changed, else the old value."""

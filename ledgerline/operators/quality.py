@@ -193,6 +193,10 @@ NOT_NULL = (
     + _nn("fact_payments", "payment_id", "customer_sk", "loan_sk", "date_sk", "payment_amount",
           key=("payment_sk",))
     + _nn("fact_loans", "loan_id", "customer_sk", "loan_sk", key=("loan_fact_sk",))
+    + _nn("dim_customer", "customer_id", "full_name", "effective_date", "is_current", key=("customer_sk",))
+    + _nn("dim_loan", "loan_id", "customer_id", "amount", "interest_rate", "tenure_months", "status", key=("loan_sk",))
+    + _nn("dim_date", "full_date", "day", "month", "year", key=("date_sk",))
+    + _nn("dim_payment_method", "method_code", "method_name", key=("method_sk",))
 )
 UNIQUE = [
     Rule("uq_customers_customer_id", "unique", "customers", ("customer_id",)),
@@ -206,6 +210,12 @@ UNIQUE = [
     Rule("uq_dim_loan_loan_sk", "unique", "dim_loan", ("loan_sk",)),
     Rule("uq_fact_loans_loan_id", "unique", "fact_loans", ("loan_id",)),
     Rule("uq_dim_date_full_date", "unique", "dim_date", ("full_date",)),
+    Rule("uq_dim_date_date_sk", "unique", "dim_date", ("date_sk",)),
+    Rule("uq_loan_products_product_id", "unique", "loan_products", ("product_id",)),
+    Rule("uq_dim_product_product_id", "unique", "dim_product", ("product_id",)),
+    Rule("uq_dim_payment_method_code", "unique", "dim_payment_method", ("method_code",)),
+    Rule("uq_fact_payments_payment_id", "unique", "fact_payments", ("payment_id",)),
+    Rule("uq_audit_log_log_id", "unique", "audit_log", ("log_id",)),
 ]
 DOMAIN = [
     Rule("dom_customers_segment", "domain", "customers", ("segment",), tuple(S.SEGMENTS), ("customer_id",)),
@@ -214,6 +224,7 @@ DOMAIN = [
     Rule("dom_loans_status", "domain", "loans", ("status",), tuple(S.LOAN_STATUSES), ("loan_id",)),
     Rule("dom_payments_method", "domain", "payments", ("payment_method",), tuple(S.PAYMENT_METHODS),
          ("payment_id",)),
+    Rule("dom_audit_log_operation", "domain", "audit_log", ("operation",), ("INSERT", "UPDATE", "DELETE"), ("log_id",)),
 ]
 FOREIGN_KEY = [
     Rule("fk_loans_customer", "foreign_key", "loans", ("customer_id",), ("customers", ("customer_id",)),
@@ -230,6 +241,9 @@ FOREIGN_KEY = [
          ("payment_sk",)),
     Rule("fk_fact_payments_method", "foreign_key", "fact_payments", ("method_sk",),
          ("dim_payment_method", ("method_sk",)), ("payment_sk",)),
+    Rule("fk_fact_loans_customer", "foreign_key", "fact_loans", ("customer_sk",), ("dim_customer", ("customer_sk",)),
+         ("loan_fact_sk",)),
+    Rule("fk_fact_loans_loan", "foreign_key", "fact_loans", ("loan_sk",), ("dim_loan", ("loan_sk",)), ("loan_fact_sk",)),
     Rule("fk_fact_loans_disbursement", "foreign_key", "fact_loans", ("disbursement_date_sk",),
          ("dim_date", ("date_sk",)), ("loan_fact_sk",)),
     Rule("fk_fact_loans_maturity", "foreign_key", "fact_loans", ("maturity_date_sk",),

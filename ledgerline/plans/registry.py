@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,10 @@ from . import views as V
 from ..operators import changes as CH
 from ..operators import posting as PO
 from ..operators import quality as DQ
+from ..functions import exprs as EX
 from ..operators import upsert as UP
 from ..operators.runlog import RunLog
+from ..sources import spoiled as SP
 from ..sources import testdata as TD
 from ..sources.store import TableStore
 from . import warehouse as WH
@@ -29,6 +32,25 @@ def register(name: str, sql: str | None):
     return deco
 
 
+_STREAMS: dict = {}
+
+
+def _folder(spark, what):
+    import uuid
+    from ..session import scratch_path
+    return scratch_path(spark, what, uuid.uuid4().hex)
+
+
+def _once(build):
+    """The store of a scenario, built once per session for the queries on it."""
+    def get(spark, d):
+        k = (spark.sparkContext.applicationId, d, build.__name__)
+        if k not in _STREAMS:
+            _STREAMS[k] = build(spark, d)
+        return _STREAMS[k]
+    return get
+
+
 def _w(spark, d):
     return WH.tables(spark, d, "full")
 
@@ -270,7 +292,19 @@ ORDER BY p.loan_id, p.payment_id"""))(lambda s, d: V.loan_points(_op(s, d)))
 # ------------------------------------------------------- quality J1-J8, G6
 def _dq_tables(spark, d):
     raw = {t: TD.read_table(spark, d, t) for t in ("orders", "lineitem")}
-    return {**raw, **_op(spark, d), **_w(spark, d)}
+    return {**raw, **_op(spark, d), **_w(spark, d), "audit_log": _log(spark, d)}
+
+
+def _spoiled(spark, d, rules):
+    """The rules' tables with faults; parents of foreign keys stay sound."""
+    sound = _dq_tables(spark, d)
+    tables = {t: SP.spoil(t, sound[t], rules) for t in dict.fromkeys(r.table for r in rules)}
+    parents = {r.arg[0]: sound[r.arg[0]] for r in rules if r.kind == "foreign_key"}
+    if not parents:
+        return DQ.summary(rules, tables)
+    # each child is counted against sound parents
+    return reduce(DataFrame.unionByName, [DQ.summary([r], {**parents, r.table: tables[r.table]} if r.arg[0] != r.table else tables)
+                                          for r in rules])
 
 
 for _name, _rules in (("dq_not_null", DQ.NOT_NULL), ("dq_unique", DQ.UNIQUE), ("dq_domain", DQ.DOMAIN),
@@ -278,6 +312,8 @@ for _name, _rules in (("dq_not_null", DQ.NOT_NULL), ("dq_unique", DQ.UNIQUE), ("
                       ("dq_precision", DQ.PRECISION)):
     register(_name, O.rules_summary_sql(_rules))(
         (lambda rules: lambda s, d: DQ.summary(rules, _dq_tables(s, d)))(_rules))
+    register(f"{_name}_faults", O.spoiled_summary_sql(_rules))(
+        (lambda rules: lambda s, d: _spoiled(s, d, rules).select("rule_id", "violations"))(_rules))
 
 register("dq_populated", O.with_full("\nUNION ALL\n".join(
     f"SELECT '{r.table}' AS table_name, COUNT(*) AS row_count, CAST({r.arg} AS BIGINT) AS min_rows, "
@@ -310,6 +346,47 @@ FROM src_payments p GROUP BY p.payment_date"""))(
     lambda s, d: DQ.batch_gate(_op(s, d)["payments"], BATCH_RULES, ["payment_date"], _op(s, d), "payments"))
 
 
+register("accepted_payments", O.with_source("""
+SELECT payment_id, payment_date FROM src_payments WHERE payment_date NOT IN (
+  SELECT payment_date FROM src_payments WHERE ifnull(payment_method, 'cash') NOT IN ('mpesa', 'bank_transfer', 'cash', 'cheque', 'online')
+     OR amount <= 0 OR loan_id NOT IN (SELECT loan_id FROM src_loans))"""))(
+    lambda s, d: DQ.accepted_rows(_op(s, d)["payments"], DQ.batch_gate(
+        _op(s, d)["payments"], BATCH_RULES, ["payment_date"], _op(s, d), "payments"), ["payment_date"]).select("payment_id", "payment_date"))
+
+
+# ------------------------------------------------- small operators on the tables
+register("dim_customer_second_run", O.with_incremental(f"SELECT {DIM_C} FROM r2_dim_customer"))(
+    lambda s, d: _inc(s, d)["dim_customer"].select(*DIM_C.split(", ")))
+
+# H14: keyed update and delete as new versions
+register("loans_updated_deleted", O.with_source("""
+SELECT loan_id, customer_id, CASE WHEN status = 'defaulted' THEN 'COLLECT' ELSE branch_code END AS branch_code, status
+FROM src_loans SEMI JOIN (SELECT customer_id FROM src_customers WHERE is_active) USING (customer_id)"""))(
+    lambda s, d: UP.delete_keys(
+        UP.update_where(_op(s, d)["loans"], F.col("status") == "defaulted", {"branch_code": F.lit("COLLECT")}),
+        _op(s, d)["customers"].where("NOT is_active"), "customer_id").select("loan_id", "customer_id", "branch_code", "status"))
+
+# K20: how often a loan was paid the same amount
+register("payments_by_loan_amount", O.with_source(
+    "SELECT loan_id, amount, COUNT(*) AS payments FROM src_payments GROUP BY ALL"))(
+    lambda s, d: _op(s, d)["payments"].groupBy("loan_id", "amount").agg(F.count("*").alias("payments")))
+
+# newest first, open ends last
+register("loans_by_maturity", O.with_source("""
+SELECT loan_id, status, CASE WHEN status = 'active' THEN maturity_date END AS due FROM src_loans
+ORDER BY due DESC NULLS LAST, loan_id LIMIT 50"""))(
+    lambda s, d: _op(s, d)["loans"].select("loan_id", "status", F.when(F.col("status") == "active", F.col("maturity_date")).alias("due"))
+    .orderBy(F.col("due").desc_nulls_last(), "loan_id").limit(50))
+
+# I12, I15, I18: epoch seconds, cut text, literals with an offset
+register("event_clock", """
+SELECT event_id, epoch_us(ts) / 1000000 AS epoch, substr(event_type, 1, 3) AS kind, ts - INTERVAL 3 HOUR AS utc
+FROM (SELECT event_id, event_type, date_trunc('second', ts) AS ts FROM events)""")(
+    lambda s, d: TD.read_table(s, d, "events").withColumn("ts", F.date_trunc("second", "ts").cast("timestamp_ntz")).select(
+        "event_id", EX.epoch_seconds("ts").alias("epoch"), EX.truncate_text("event_type", 3).alias("kind"),
+        EX.utc_from_offset_text(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+03"))).alias("utc")))
+
+
 # ----------------------------------------------- changes G1-G4 G8, posting
 LOAN_DIFF_COLS = ["customer_id", "product_id", "amount", "interest_rate", "tenure_months", "status",
                   "disbursed_at", "maturity_date", "outstanding_balance", "loan_officer", "branch_code",
@@ -338,6 +415,57 @@ SELECT 'loans' AS table_name,
 FROM s1_loans o FULL OUTER JOIN s2_loans n ON o.loan_id = n.loan_id
 WHERE o.loan_id IS NULL OR n.loan_id IS NULL OR {_distinct}"""))(_loan_changes)
 
+# the loans' audit log over two versions, the second without some loans, stored as an appended table
+def _loan_audit(spark, d):
+    src, root = _op(spark, d), _folder(spark, "audit")
+    cols = ["loan_id", *LOAN_DIFF_COLS]
+    one = TD.first_snapshot(src)["loans"].select(*cols)
+    two = TD.second_snapshot(src)["loans"].select(*cols).where("loan_id % 17 != 0")
+    t = [F.lit(x).cast("timestamp_ntz") for x in (WH.FIXED_RUN_TS, WH.SECOND_RUN_TS)]
+    store = TableStore(spark, root)
+    e = store.write_table("audit_log", CH.audit_log(None, one, "loan_id", t[0], "load", 0, LOAN_DIFF_COLS), 1, key_col="log_id")
+    store.commit([e], 1)
+    log = CH.audit_log(one, two, "loan_id", t[1], "load", e["max_key"] or 0, LOAN_DIFF_COLS)
+    store.commit([store.write_table("audit_log", log, 2, append_to=e, key_col="log_id")], 2)
+    return store
+
+
+def _loan_state(spark, d, at):
+    log = _once(_loan_audit)(spark, d).read("audit_log")
+    schema = _op(spark, d)["loans"].select("loan_id", *LOAN_DIFF_COLS).schema
+    return CH.state_from_images(log, F.lit(at).cast("timestamp_ntz"), schema)
+
+
+_COLS = ", ".join(["loan_id", *LOAN_DIFF_COLS])
+register("loan_audit_log", O.with_incremental(f"""
+, two AS (SELECT {_COLS} FROM s2_loans WHERE loan_id % 17 != 0),
+changes AS (SELECT coalesce(n.loan_id, o.loan_id) AS record_id,
+              CASE WHEN o.loan_id IS NULL THEN 'INSERT' WHEN n.loan_id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS operation,
+              o.status AS old_status, n.status AS new_status
+            FROM s1_loans o FULL JOIN two n ON o.loan_id = n.loan_id
+            WHERE o.loan_id IS NULL OR n.loan_id IS NULL OR {_distinct})
+SELECT row_number() OVER (ORDER BY loan_id) AS log_id, 'loans' AS table_name, 'INSERT' AS operation, loan_id AS record_id,
+       'load' AS changed_by, {O.RUN1} AS change_time, NULL::VARCHAR AS old_status, status AS new_status FROM s1_loans
+UNION ALL
+SELECT (SELECT COUNT(*) FROM s1_loans) + row_number() OVER (ORDER BY record_id), 'loans', operation, record_id, 'load', {O.RUN2},
+       old_status, new_status FROM changes"""))(
+    lambda s, d: _once(_loan_audit)(s, d).read("audit_log").select(
+        "log_id", "table_name", "operation", "record_id", "changed_by", "change_time",
+        F.get_json_object("old_values", "$.status").alias("old_status"), F.get_json_object("new_values", "$.status").alias("new_status")))
+register("loan_state_as_of_first", O.with_incremental(f"SELECT {_COLS} FROM s1_loans"))(lambda s, d: _loan_state(s, d, WH.FIXED_RUN_TS))
+register("loan_state_as_of_second", O.with_incremental(f"SELECT {_COLS} FROM s2_loans WHERE loan_id % 17 != 0"))(
+    lambda s, d: _loan_state(s, d, WH.SECOND_RUN_TS))
+register("loan_changes_latest", O.with_incremental(f"""
+, two AS (SELECT {_COLS} FROM s2_loans WHERE loan_id % 17 != 0),
+changes AS (SELECT coalesce(n.loan_id, o.loan_id) AS record_id, o.amount AS old_amount, n.amount AS new_amount
+            FROM s1_loans o FULL JOIN two n ON o.loan_id = n.loan_id
+            WHERE o.loan_id IS NULL OR n.loan_id IS NULL OR {_distinct})
+SELECT (SELECT COUNT(*) FROM s1_loans) + row_number() OVER (ORDER BY record_id) AS log_id, record_id, old_amount, new_amount
+FROM changes ORDER BY log_id DESC LIMIT 20"""))(
+    lambda s, d: CH.latest_changes(_once(_loan_audit)(s, d).read("audit_log"), 20).select(
+        "log_id", "record_id", F.get_json_object("old_values", "$.amount").cast("decimal(14,2)").alias("old_amount"),
+        F.get_json_object("new_values", "$.amount").cast("decimal(14,2)").alias("new_amount")))
+
 EVENT_ATTRS = ["event_type", "value", "props", "change_time"]
 
 
@@ -382,6 +510,11 @@ SELECT payment_id, loan_id, payment_date, amount, CAST(applied AS DECIMAL(14,2))
        CAST(round(applied * 0.25, 2) AS DECIMAL(14,2)) AS interest_portion,
        CAST(before - applied AS DECIMAL(14,2)) AS balance_after
 FROM z WHERE applied > 0"""))(lambda s, d: PO.post_payments(_op(s, d)["loans"], _op(s, d)["payments"])[0])
+register("payment_rejects", O.with_source("," + POST_SQL + """
+SELECT payment_id, loan_id, amount, 'nothing_to_apply' AS reason FROM z WHERE applied <= 0
+UNION ALL
+SELECT payment_id, loan_id, amount, 'unknown_loan' FROM src_payments ANTI JOIN src_loans USING (loan_id)"""))(
+    lambda s, d: PO.post_payments(_op(s, d)["loans"], _op(s, d)["payments"])[2])
 register("balance_deltas", O.with_source("," + POST_SQL + """,
 d AS (SELECT loan_id, SUM(applied) AS delta, COUNT(*) AS n FROM z WHERE applied > 0 GROUP BY loan_id)
 SELECT l.loan_id, CAST(l.outstanding_balance - COALESCE(d.delta, 0) AS DECIMAL(14,2)) AS outstanding_balance,
@@ -428,7 +561,6 @@ FROM c2 WHERE customer_id IN (SELECT customer_id FROM chg)"""))(_scd2)
 
 
 # -------------------------------------------------------------- streaming
-_STREAMS: dict = {}
 
 
 def _payment_stream_store(spark, d):
@@ -491,12 +623,6 @@ register("stream_changes_out_of_order", _LATEST.format(where=""))(lambda s, d: _
 
 
 # ------------------------------------------ loads that are interrupted, repeated or mixed
-def _folder(spark, what):
-    import uuid
-    from ..session import scratch_path
-    return scratch_path(spark, what, uuid.uuid4().hex)
-
-
 def _halves(payments):
     """Payments by a hash of their id: both halves have payments of most loans."""
     even = F.pmod(F.xxhash64("payment_id"), F.lit(2)) == 0
@@ -593,16 +719,6 @@ def _restore_then_load(spark, d):
     return again
 
 
-def _once(build):
-    """The store of a scenario, built once per session for the queries on it."""
-    def get(spark, d):
-        k = (spark.sparkContext.applicationId, d, build.__name__)
-        if k not in _STREAMS:
-            _STREAMS[k] = build(spark, d)
-        return _STREAMS[k]
-    return get
-
-
 # surrogate keys follow the order of arrival; everything else equals one full load, and keys are unique
 FP_BY_ID = ("payment_id, date_sk, method_sk, payment_amount, principal_portion, interest_portion, penalty_portion, loan_amount, "
             "interest_rate, customer_segment, loan_status, branch_code")
@@ -624,6 +740,17 @@ for _name, _build in (("stream_new_checkpoint", _stream_new_checkpoint), ("strea
         register(f"{_name}_{_t}", O.with_full(f"SELECT {_cols}, CAST(1 AS BIGINT) AS rows_of_key FROM {_t}"))(
             (lambda get, t, k, cols: lambda s, d: _facts(get(s, d), t, k, cols))(_once(_build), _t, _k, _cols))
 
+# H15: a rerun of the same sources inserts nothing and leaves the facts with their first load stamp
+def _rerun(spark, d):
+    src, store = _op(spark, d), TableStore(spark, f"{_folder(spark, 'rerun')}/warehouse")
+    WH.load(spark, store, src, WH.FIXED_RUN_TS)
+    WH.load(spark, store, src, WH.SECOND_RUN_TS)
+    return store
+
+
+register("rerun_fact_payments", O.with_full(f"SELECT {FP}, {O.RUN1} AS etl_loaded_at FROM fact_payments"))(
+    lambda s, d: _once(_rerun)(s, d).read("fact_payments").select(*FP.split(", "), "etl_loaded_at"))
+
 # the failed run keeps a row of its own, with the whole error text
 register("load_after_failed_run_history", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'failed', TRUE), (CAST(2 AS BIGINT), 'success', FALSE)) "
          "AS t(run_id, status, has_error) WHERE (SELECT COUNT(*) FROM orders) > 0")(

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from ledgerline.plans import registry
 from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -38,7 +39,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF_SMALL)
     got = _rows(sdf.toPandas())
@@ -48,9 +49,15 @@ def test_query_matches_oracle(spark, con, name):
 
 
 def test_every_query_runs(spark):
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing <= {"freshness"}
-    assert E.queries()["freshness"](spark, SF_SMALL).count() == 2
+    assert set(registry.queries()) <= set(E.queries())
+    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert E.queries()["freshness"](spark, SF_SMALL).count() == 5
+
+
+def test_every_rule_finds_the_faults(spark):
+    for name in registry.queries():
+        if name.endswith("_faults"):
+            assert all(r.violations > 0 for r in registry.queries()[name](spark, SF_SMALL).collect()), name
 
 
 def test_entry(spark):
