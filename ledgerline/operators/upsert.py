@@ -108,6 +108,19 @@ def upsert(existing: DataFrame | None, staged: DataFrame, key: str,
     return old.unionByName(new)
 
 
+def absent(existing: DataFrame, staged: DataFrame, key: str) -> DataFrame:
+    """Staged rows whose key ``existing`` lacks.
+
+    Only existing keys inside the batch's key range can match: the range
+    filter runs at the scan (Parquet min/max stats skip older files when
+    keys grow over time), so the anti-join shuffles O(batch range), not
+    the whole history.
+    """
+    bounds = staged.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+    inside = existing.select(key).where((F.col(key) >= bounds["lo"]) & (F.col(key) <= bounds["hi"]))
+    return staged.join(inside, key, "left_anti")
+
+
 def insert_absent(existing: DataFrame | None, staged: DataFrame, key: str,
                   sk_col: str | None = None, key_start: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(next version, inserted rows): append staged rows whose key is new."""
@@ -115,13 +128,7 @@ def insert_absent(existing: DataFrame | None, staged: DataFrame, key: str,
         new = staged
         start = 0
     else:
-        # Only existing keys inside the batch's key range can match: the range
-        # filter runs at the scan (Parquet min/max stats skip older files when
-        # keys grow over time), so the anti-join shuffles O(batch range), not
-        # the whole history.
-        bounds = staged.agg(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
-        candidates = existing.select(key).where((F.col(key) >= bounds["lo"]) & (F.col(key) <= bounds["hi"]))
-        new = staged.join(candidates, key, "left_anti")
+        new = absent(existing, staged, key)
         start = (key_start if key_start is not None else next_key_start(existing, sk_col)) if sk_col else 0
     if sk_col:
         new = assign_dense_keys(new, [key], sk_col, start)

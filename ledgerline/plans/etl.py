@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import dim_date
-from ..operators.upsert import insert_absent, scd2, upsert, with_dup_count
+from ..operators.keys import assign_dense_keys, next_key_start
+from ..operators.upsert import absent, scd2, upsert, with_dup_count
 from ..sources import schemas as S
 from ..sources.readers import extract_customers, extract_loans, extract_payments
 
@@ -50,7 +51,7 @@ def stage(src: dict[str, DataFrame], run_ts: str) -> dict[str, DataFrame]:
     return {
         "stg_customers": extract_customers(src["customers"]).withColumn("etl_loaded_at", t),
         "stg_loans": extract_loans(src["loans"]).withColumn("etl_loaded_at", t),
-        "stg_payments": extract_payments(src["payments"]).withColumn("etl_loaded_at", t),
+        "stg_payments": extract_payments(src["payments"]).dropDuplicates(["payment_id"]).withColumn("etl_loaded_at", t),
     }
 
 
@@ -155,11 +156,15 @@ def fact_payment_candidates(spark: SparkSession, stg: dict[str, DataFrame], ctx:
     )
 
 
-def load_fact_payments(existing: DataFrame | None, candidates: DataFrame,
-                       key_start: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Insert-only by payment_id; returns (next version, inserted rows)."""
-    nxt, new = insert_absent(existing, candidates, "payment_id", sk_col="payment_sk", key_start=key_start)
-    return nxt.select(*FACT_PAYMENT_COLS), new.select(*FACT_PAYMENT_COLS)
+def new_fact_payments(existing: DataFrame | None, spark: SparkSession, stg: dict[str, DataFrame], ctx: DataFrame, run_ts: str,
+                      dd: DataFrame | None = None, methods: DataFrame | None = None, key_start: int | None = None) -> DataFrame:
+    """Rows to insert (insert-only by payment_id): known payments drop out before the star join."""
+    fresh = stg["stg_payments"]
+    if existing is not None:
+        fresh = absent(existing, fresh, "payment_id")
+    rows = fact_payment_candidates(spark, {**stg, "stg_payments": fresh}, ctx, run_ts, dd, methods)
+    start = key_start if key_start is not None else next_key_start(existing, "payment_sk")
+    return assign_dense_keys(rows, ["payment_id"], "payment_sk", start).select(*FACT_PAYMENT_COLS)
 
 
 def fact_loan_rows(spark: SparkSession, stg: dict[str, DataFrame], ctx: DataFrame, run_ts: str,
@@ -284,9 +289,7 @@ def run_load(spark: SparkSession, current: dict[str, DataFrame] | None,
         pm = sink("dim_payment_method", dim_payment_method(spark))
     # loan-grain context feeds both facts: materialised once (scratch table)
     ctx = sink("_loan_context", loan_context(stg, dim_c, dim_l))
-    cand = fact_payment_candidates(spark, stg, ctx, run_ts, dd, pm)
-    fp, new_pay = load_fact_payments(cur.get("fact_payments"), cand, ks.get("fact_payments"))
-    new_pay = sink("fact_payments", new_pay)
+    new_pay = sink("fact_payments", new_fact_payments(cur.get("fact_payments"), spark, stg, ctx, run_ts, dd, pm, ks.get("fact_payments")))
     rows = fact_loan_rows(spark, stg, ctx, run_ts, dd, pay_totals)
     fl = sink("fact_loans", load_fact_loans(cur.get("fact_loans"), rows, run_ts, ks.get("fact_loans")))
     if cur.get("fact_payments") is not None:

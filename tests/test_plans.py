@@ -1,5 +1,7 @@
 """Plan checks: pushdown, pruning, bounded broadcasts, no cartesian products."""
 
+from pyspark.sql import functions as F
+
 from ledgerline.plans import views as V
 from ledgerline.plans import warehouse as WH
 from ledgerline.plans.etl import stage
@@ -58,6 +60,21 @@ def test_payment_grain_shuffled_once(spark, tmp_root):
             spark.conf.set(k, v)
 
 
+def test_known_payments_drop_out_before_the_star_join(spark, monkeypatch):
+    from ledgerline.plans import etl
+    w = WH.tables(spark, SF_SMALL, "full")
+    stg = {k: w[k] for k in ("stg_customers", "stg_loans", "stg_payments")}
+    ctx = etl.loan_context(stg, w["dim_customer"], w["dim_loan"])
+    seen = []
+    monkeypatch.setattr(etl, "assign_dense_keys", lambda df, *a: seen.append(df) or df.withColumn("payment_sk", F.lit(1)))
+    etl.new_fact_payments(w["fact_payments"], spark, stg, ctx, WH.FIXED_RUN_TS, w["dim_date"], w["dim_payment_method"], 1)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    anti = [i for i, x in enumerate(plan) if "Join LeftAnti" in x]
+    star = [i for i, x in enumerate(plan) if "Join Inner" in x]
+    assert len(anti) == 1 and star and min(star) < anti[0]                # the anti-join is below the joins with the context
+    assert sum("Join LeftAnti" in x for x in plan) == 1
+
+
 def test_no_cartesian_or_nested_loop_join_in_any_query(spark):
     import __spark_entry__ as E
     bad = {}
