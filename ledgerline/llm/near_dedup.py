@@ -9,12 +9,14 @@ that share a band are candidates, and a pair is a link if its weighted Jaccard
 similarity, computed from all shingles, reaches the threshold.  Classes are
 the connected components of the links, over one representative of each exact text.
 
-No bucket is expanded into all its pairs.  In small ones every pair is
-checked; in a large one every member against the smallest.  Members of a large
-bucket that are then still in different classes are dealt anew by bands with
-other hashes, within their bucket, level by level; after the last level the
-members of different classes that are left are compared with each other, if
-their total weights allow the similarity.  So no size of bucket ends the search.
+No bucket is joined into all its pairs.  In small ones every pair is checked; in
+a large one every member is checked against its most central text, the one
+whose other buckets are the fullest, which of edited copies is the one they were
+copied from.  While members are left in other classes than that text's, the
+most central of them is next, ROUNDS times.  Buckets that are then still split
+(texts that share a passage, or copies without their source) are cut into blocks of BLOCK texts, and
+each pair of blocks is one row, in which a task compares the texts of different
+classes whose total weights allow the similarity.  So no size of bucket ends the search.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ BANDS = PERMUTATIONS * BINS // BAND
 IDF_BUCKETS = 1 << 18
 #: Buckets of up to so many texts are checked pair by pair.
 SMALL = 6
-LEVELS = 3
+ROUNDS = 1
+#: Texts of one block of a bucket that stays split.
+BLOCK = 64
 #: Members that meet one copy of the text they are compared with.
 SHARE = 128
 CHUNK = 2 << 20
@@ -139,11 +143,11 @@ def samples(text: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: in
     return out
 
 
-def band_keys(signature: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
-    """(texts, BANDS): the hash of each band's samples, its number and the bucket it is dealt from."""
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """(texts, BANDS): the hash of each band's samples and its number."""
     keys = np.zeros((len(signature), BANDS), U)
     for b in range(BANDS):
-        h = np.full(len(signature), b + 1, U) if prefix is None else mixed(prefix + U(b + 1))
+        h = np.full(len(signature), b + 1, U)
         for i in range(BAND):
             h = mixed(h * U(0x9E3779B97F4A7C15) + signature[:, b * BAND + i])
         keys[:, b] = h
@@ -187,20 +191,6 @@ def shingle_sets(idf):
     return task
 
 
-def deeper_bands(level: int):
-    """(key, doc) of (key, doc, data): bands within each bucket."""
-    def task(batches):
-        for batch in batches:
-            keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo in range(0, len(docs), 256):
-                sets = [np.frombuffer(d, SET) for d in batch.column(2)[lo:lo + 256].to_pylist()]
-                text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-                both = np.concatenate(sets)
-                signature = samples(text, both["shingle"], both["weight"].astype(float), len(sets), level)
-                yield key_rows(docs[lo:lo + 256], band_keys(signature, keys[lo:lo + 256].astype(np.int64).view(U)))
-    return task
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted sets."""
     at = np.searchsorted(a["shingle"], b["shingle"])
@@ -270,17 +260,114 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
 
 def buckets_of(keys: DataFrame) -> DataFrame:
-    """(key, doc, n, least) of the texts that share a key with others."""
-    shared = materialise(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("least")).filter("n > 1"), "buckets")
-    return materialise(keys.join(shared, "key"), "members")
+    """(key, doc, n, central, leader) of the texts that share a key with others.
+
+    ``central``: how many texts are in the text's buckets; ``leader``: the most central of the bucket, then the smallest.
+    """
+    shared = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = materialise(keys.join(shared, "key"), "members")
+    central = materialise(members.groupBy("doc").agg(F.sum("n").alias("central")), "central")
+    members = materialise(members.join(central, "doc"), "members")
+    leaders = members.groupBy("key").agg(F.min(F.struct((-F.col("central")).alias("less"), "doc"))["doc"].alias("leader"))
+    return materialise(members.join(materialise(leaders, "leaders"), "key"), "members")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) once each; the first stays the text that meets the others."""
+    return pairs.select("a", "b").filter("a != b").distinct()
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    star = members.filter("doc > least").select(F.col("least").alias("a"), F.col("doc").alias("b"))
-    small = members.filter(f"n BETWEEN 3 AND {SMALL} AND doc > least").select("key", "doc")
+    star = members.select(F.col("leader").alias("a"), F.col("doc").alias("b"))
+    small = members.filter(f"n BETWEEN 3 AND {SMALL} AND doc != leader").select("key", "doc")
     pairs = small.alias("x").join(small.alias("y"), "key").filter("x.doc < y.doc").select(
         F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    return star.unionByName(pairs).distinct()
+    return ordered(star.unionByName(pairs))
+
+
+def split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, doc, n, central, leader, class) of the large buckets whose members are in several classes."""
+    large = members.filter(f"n > {SMALL}").join(labels, "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+    large = materialise(large, "large")
+    split = large.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("key")
+    return materialise(large.join(materialise(split, "split"), "key"), "open")
+
+
+def next_round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their next leader, pairs with it): the most central member outside the class of the last leader."""
+    last = open_.filter("doc = leader").select("key", F.col("class").alias("last_class"))
+    rest = open_.join(materialise(last, "last"), "key").filter("class != last_class")
+    nxt = rest.groupBy("key").agg(F.min(F.struct((-F.col("central")).alias("less"), "doc", "class")).alias("next"))
+    nxt = materialise(nxt.select("key", F.col("next.doc").alias("next"), F.col("next.class").alias("next_class")), "next")
+    members = materialise(open_.join(nxt, "key"), "members")
+    pairs = members.filter("class != next_class").select(F.col("next").alias("a"), F.col("doc").alias("b"))
+    return members.select("key", "doc", "n", "central", F.col("next").alias("leader")), ordered(pairs)
+
+
+def packed_blocks(batches):
+    """One row per (key, block): sorted rows in, the block's texts as one Arrow stream out."""
+    at, rows = None, []
+
+    def block():
+        columns = list(zip(*rows, strict=True))
+        table = pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
+             pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.binary())], names=["doc", "class", "total", "keys", "data"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_batch(table)
+        rows.clear()
+        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int64()),
+                                           pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["key", "block", "texts"])
+    for batch in batches:
+        for key, number, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if rows and (key, number) != at:
+                yield block()
+            at = key, number
+            rows.append(row)
+    if rows:
+        yield block()
+
+
+def check_blocks(threshold: float):
+    """Links among rows (key, x, y): two blocks of a bucket.  A pair counts in the first bucket that both texts are in."""
+
+    def texts(block: bytes) -> list[tuple]:
+        t = pa.ipc.open_stream(block).read_all()
+        return list(zip(*[c.to_pylist() for c in t.columns[:4]], [np.frombuffer(d, SET) for d in t.column(4).to_pylist()], strict=True))
+
+    def task(batches):
+        for batch in batches:
+            found: list[tuple] = []
+            for key, one, two in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                xs, ys = texts(one), texts(two)
+                for a, class_a, total_a, keys_a, data_a in xs:
+                    mine = set(keys_a)
+                    for b, class_b, total_b, keys_b, data_b in ys:
+                        if class_a == class_b or a == b or one == two and a > b:
+                            continue
+                        if min(total_a, total_b) < (threshold - 1e-6) * max(total_a, total_b) or min(mine.intersection(keys_b)) != key:
+                            continue
+                        s = similarity(data_a, data_b)
+                        if s >= threshold:
+                            found.append((min(a, b), max(a, b), s))
+            a, b, s = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())],
+                                             names=["a", "b", "similarity"])
+    return task
+
+
+def links_in_blocks(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    keys = open_.groupBy("doc").agg(F.collect_list("key").alias("keys"))              # at most BANDS of them
+    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
+    texts = open_.select("key", "doc", "class", block.alias("block")).join(sets.join(keys, "doc"), "doc").select(
+        "key", "block", "doc", "class", "total", "keys", "data")
+    blocks = materialise(texts.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(
+        packed_blocks, "key long, block long, texts binary"), "blocks")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.block <= y.block").select(
+        F.col("x.key").alias("key"), F.col("x.texts").alias("one"), F.col("y.texts").alias("two"))
+    return materialise(pairs.mapInArrow(check_blocks(threshold), "a long, b long, similarity double"), "links")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -297,36 +384,24 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     later = copies.filter("doc != rep").select("doc")
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs.select("text")))          # IDF_BUCKETS numbers
     keys = docs.select("doc", "text").mapInArrow(first_bands(idf), "key long, doc long")
-    keys = materialise(keys, "bands").join(later, "doc", "left_anti")
-    sets, links, labels = None, None, None
-    for level in range(LEVELS + 1):
-        members = buckets_of(keys)
-        if sets is None:
-            wanted = members.select("doc").distinct()
-            sets = materialise(docs.select("doc", "text").join(wanted, "doc").mapInArrow(
-                shingle_sets(idf), "doc long, data binary, total double"), "sets")
-        if level < LEVELS:
-            pairs = candidates(members)
-        else:                                  # what no level has told apart: members of different classes
-            open_ = members.join(labels, "doc", "left").select("key", "doc", F.coalesce("class", "doc").alias("class")).join(
-                sets.select("doc", "total"), "doc")
-            x, y = open_.alias("x"), open_.alias("y")
-            pairs = x.join(y, F.col("x.key") == F.col("y.key")).filter(
-                f"x.doc < y.doc AND x.class != y.class AND least(x.total, y.total) >= {threshold - 1e-6} * greatest(x.total, y.total)").select(
-                F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
-        found = links_of(materialise(pairs, "candidates"), sets, threshold)
-        links = found if links is None else links.unionByName(found)
-        labels = components(found, labels)
-        large = members.filter(f"n > {SMALL}")
-        classes = large.join(labels, "doc", "left").select("key", "doc", F.coalesce("class", "doc").alias("class"))
-        split = classes.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo != hi").select("key")
-        keys = materialise(large.select("key", "doc").join(materialise(split, "split"), "key"), "open")
-        if level == LEVELS or keys.isEmpty():
+    members = buckets_of(materialise(keys, "bands").join(later, "doc", "left_anti"))
+    wanted = members.select("doc").distinct()
+    sets = materialise(docs.select("doc", "text").join(wanted, "doc").mapInArrow(
+        shingle_sets(idf), "doc long, data binary, total double"), "sets")
+    links = links_of(materialise(candidates(members), "candidates"), sets, threshold)
+    labels = components(links)
+    open_ = split_buckets(members, labels)
+    for _ in range(ROUNDS):
+        if open_.isEmpty():
             break
-        if level < LEVELS - 1:
-            keys = materialise(keys.join(sets.select("doc", "data"), "doc").select("key", "doc", "data").mapInArrow(
-                deeper_bands(level + 1), "key long, doc long"), "bands")
-    pairs = links.select("a", "b").distinct()
+        members, pairs = next_round(open_)
+        found = links_of(materialise(pairs, "candidates"), sets, threshold)
+        links, labels = links.unionByName(found), components(found, labels)
+        open_ = split_buckets(members, labels)
+    if not open_.isEmpty():
+        found = links_in_blocks(open_, sets, threshold)
+        links, labels = links.unionByName(found), components(found, labels)
+    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("text_doc")).agg(F.count("*").alias("links"))
     reps = docs.select("doc").join(copies, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("text_doc"))
     known = materialise(labels.withColumnRenamed("doc", "text_doc").join(degree, "text_doc", "left"), "classes")

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from conftest import SF_SMALL
 from ledgerline.llm import near_dedup as N
 
@@ -76,10 +77,12 @@ def test_classes_against_plain_version(spark):
     assert sorted(r.doc_id for r in out.collect()) == sorted({r.class_id for r in got})
 
 
-def test_every_level_and_the_last_comparison(spark, monkeypatch):
-    """With one sample a band and buckets that are all large, classes come from the later levels."""
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_large_buckets_by_rounds_and_blocks(spark, monkeypatch, rounds):
+    """Where every bucket counts as large, classes come from the rounds and from blocks."""
     monkeypatch.setattr(N, "SMALL", 1)
-    monkeypatch.setattr(N, "LEVELS", 1)
+    monkeypatch.setattr(N, "ROUNDS", rounds)
+    monkeypatch.setattr(N, "BLOCK", 8)
     rows = made()
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).repartition(5)
     want = plain_classes(spark, rows)
