@@ -29,17 +29,21 @@ from .sources import snapshot as SN
 from .sources.readers import jdbc_options, read_jdbc, read_typed
 from .sources.store import TableStore
 
+SOURCE_DEFAULTS = {"customers": S.CUSTOMER_DEFAULTS, "loans": S.LOAN_DEFAULTS, "payments": S.PAYMENT_DEFAULTS,
+                   "loan_products": S.PRODUCT_DEFAULTS}
 SOURCE_SCHEMAS = {"customers": S.CUSTOMERS, "loan_products": S.LOAN_PRODUCTS, "loans": S.LOANS,
                   "payments": S.PAYMENTS}
 
 
 def read_sources(spark: SparkSession, root: str) -> dict:
-    return {t: read_typed(spark, f"{root.rstrip('/')}/{t}", sch) for t, sch in SOURCE_SCHEMAS.items()}
+    return {t: read_typed(spark, f"{root.rstrip('/')}/{t}", sch, defaults=SOURCE_DEFAULTS[t])
+            for t, sch in SOURCE_SCHEMAS.items()}
 
 
 def parents(spark: SparkSession, root: str) -> dict:
     """The tables besides payments, as they are now."""
-    return {t: read_typed(spark, f"{root.rstrip('/')}/{t}", sch) for t, sch in SOURCE_SCHEMAS.items() if t != "payments"}
+    return {t: read_typed(spark, f"{root.rstrip('/')}/{t}", sch, defaults=SOURCE_DEFAULTS[t])
+            for t, sch in SOURCE_SCHEMAS.items() if t != "payments"}
 
 
 def read_database(spark: SparkSession, bounds: list[str]) -> dict:
@@ -69,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--source", help="folder with a Parquet table each; without it the source is the JDBC database")
     p.add_argument("--bounds", action="append", default=[], help="JDBC: table=column:lower:upper:partitions")
     p.add_argument("--store", required=True)
+    p.add_argument("--gate", action="store_true", help="refuse the run if a payment breaks a declared rule")
     p.add_argument("--run-ts")
     p = sub.add_parser("stream")
     p.add_argument("--landing", required=True)
@@ -104,7 +109,7 @@ def main(argv: list[str] | None = None) -> int:
         spark.sparkContext.setCheckpointDir(a.store.rstrip("/") + "/_scratch")       # the store is on shared storage
     if a.cmd == "load":
         src = read_sources(spark, a.source) if a.source else read_database(spark, a.bounds)
-        print(WH.load(spark, TableStore(spark, a.store), src, a.run_ts))
+        print(WH.load(spark, TableStore(spark, a.store), src, a.run_ts, gate=a.gate))
     elif a.cmd == "stream":
         from .streaming.microbatch import payment_stream
         trigger = {"processingTime": a.every} if a.every else {"availableNow": True}

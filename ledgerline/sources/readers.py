@@ -25,20 +25,23 @@ class MissingColumnError(ValueError):
     pass
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select and cast to the declared schema; a missing declared column is an error."""
-    missing = [f.name for f in schema.fields if f.name not in df.columns]
+def conform(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
+    """Select and cast to the declared schema; a missing declared column without a default is an error."""
+    defaults = defaults or {}
+    missing = [f.name for f in schema.fields if f.name not in df.columns and f.name not in defaults]
     if missing:
         raise MissingColumnError(f"the source lacks {', '.join(missing)}")
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                     for f in schema.fields])
+    return apply_defaults(df, defaults)
 
 
 def read_typed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet",
-               **options) -> DataFrame:
+               defaults: dict | None = None, **options) -> DataFrame:
     reader = spark.read.format(fmt).options(**options)
     if fmt != "parquet":
         reader = reader.schema(schema)
-    return conform(reader.load(path), schema)
+    return conform(reader.load(path), schema, defaults)
 
 
 def jdbc_options(spark: SparkSession, prefix: str = "source") -> dict[str, str]:

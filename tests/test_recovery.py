@@ -85,3 +85,20 @@ def test_change_batches_in_any_order(spark):
         for i in order:
             state = fold_changes(state, frames[i], "id", ["v"])
         assert [tuple(r) for r in live_state(state).collect()] == [(10, "d")]
+
+
+def test_defaults_fill_missing_columns_and_nulls(spark):
+    schema = T.StructType().add("a", T.IntegerType()).add("s", T.StringType())
+    df = spark.createDataFrame([(1,)], "a int")
+    assert [tuple(r) for r in conform(df, schema, {"s": "retail"}).collect()] == [(1, "retail")]
+
+
+def test_gate_refuses_the_whole_batch(spark, tmp_root):
+    src = testdata.source_tables(spark, SF_SMALL)
+    sound = src["payments"].where("payment_method IN ('mpesa', 'bank_transfer', 'cash', 'cheque', 'online') OR payment_method IS NULL")
+    store = TableStore(spark, f"{tmp_root}/wh")
+    with pytest.raises(WH.BatchRejected, match="^1 payments"):
+        one = sound.limit(1).withColumn("amount", F.lit(-1).cast(src["payments"].schema["amount"].dataType))
+        WH.load(spark, store, {**src, "payments": sound.unionByName(one)}, WH.FIXED_RUN_TS, gate=True)
+    assert store.current_version() == 0
+    assert WH.load(spark, store, {**src, "payments": sound}, WH.FIXED_RUN_TS, gate=True)["version"] == 1
