@@ -385,8 +385,9 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs.select("text")))          # IDF_BUCKETS numbers
     keys = docs.select("doc", "text").mapInArrow(first_bands(idf), "key long, doc long")
     members = buckets_of(materialise(keys, "bands").join(later, "doc", "left_anti"))
+    # the wanted documents grow with the corpus: never a broadcast, also where they are still few
     wanted = members.select("doc").distinct()
-    sets = materialise(docs.select("doc", "text").join(wanted, "doc").mapInArrow(
+    sets = materialise(docs.select("doc", "text").hint("merge").join(wanted, "doc").mapInArrow(
         shingle_sets(idf), "doc long, data binary, total double"), "sets")
     links = links_of(materialise(candidates(members), "candidates"), sets, threshold)
     labels = components(links)
