@@ -29,15 +29,20 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def payload_digest(html_col: str) -> Column:
+    """SHA-256 of the payload: with the id it tells which rows are revisits."""
+    return F.unhex(F.sha2(F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def revisits(pages: DataFrame, id_col: str, html_col: str, least: int) -> DataFrame:
-    """(rev_id, refers_to) of the pages that repeat the payload of a page with a smaller id."""
+    """(rev_id, rev_digest, refers_to), once each, of the payloads that a page with a smaller id has too."""
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     slim = materialise(pages.filter(F.col(f"`{id_col}`").isNotNull()).filter(F.length(payload) >= least)
-                       .select(F.col(f"`{id_col}`").alias("rev_id"), F.unhex(F.sha2(payload, 256)).alias("digest")), "payloads")
-    first = (slim.groupBy("digest").agg(F.min("rev_id").alias("refers_to"), F.max("rev_id").alias("last"))
+                       .select(F.col(f"`{id_col}`").alias("rev_id"), payload_digest(html_col).alias("rev_digest")), "payloads")
+    first = (slim.groupBy("rev_digest").agg(F.min("rev_id").alias("refers_to"), F.max("rev_id").alias("last"))
              .filter("last > refers_to").drop("last"))
-    out = materialise(slim.join(materialise(first, "repeated"), "digest").filter("rev_id > refers_to")
-                      .select("rev_id", "refers_to").distinct(), "revisits")
+    out = materialise(slim.join(materialise(first, "repeated"), "rev_digest").filter("rev_id > refers_to")
+                      .select("rev_id", "rev_digest", "refers_to").distinct(), "revisits")
     discard(slim)
     return out
 
@@ -48,12 +53,14 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
     A payload of at least ``least`` bytes that a page with a smaller id has too
     is written once, by the page with the smallest id (ties: by each of them);
-    the others are revisit records.  Null payloads are empty; pages with a null
+    the others are revisit records.  Rows that share an id are pages each, judged by
+    their own payload.  Null payloads are empty; pages with a null
     id are responses; line breaks in a url become spaces.
     """
     seen = revisits(pages, id_col, html_col, least)
-    rev, ref = free_name(pages, "rev_id"), free_name(pages, "refers_to")
-    seen = seen.withColumnsRenamed({"rev_id": rev, "refers_to": ref})
+    rev, ref, digest = (free_name(pages, c) for c in ("rev_id", "refers_to", "rev_digest"))
+    own = free_name(pages, "own_digest")
+    seen = seen.withColumnsRenamed({"rev_id": rev, "refers_to": ref, "rev_digest": digest})
     html = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     url = F.regexp_replace(F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")), r"[\r\n]", " ")
     again = F.col(ref).isNotNull()
@@ -67,7 +74,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
         F.when(again, F.concat(F.lit("\r\nX-Payload-Bytes: "), F.octet_length(html).cast("string"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Length: "), F.when(again, F.lit(0)).otherwise(F.octet_length(html)).cast("string"),
         F.lit(BLANK), F.when(again, F.lit("")).otherwise(html))
-    (pages.join(seen, F.col(f"`{id_col}`") == F.col(rev), "left")
+    (pages.withColumn(own, payload_digest(html_col))
+     .join(seen, (F.col(f"`{id_col}`") == F.col(rev)) & (F.col(own) == F.col(digest)), "left")
      .select(record.alias("value")).write.option("lineSep", BLANK).text(path))
 
 

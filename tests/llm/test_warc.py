@@ -72,3 +72,13 @@ def test_damaged_record_ends_its_file(spark, tmp_root):
     with open(f"{tmp_root}/d/one.warc", "w", newline="") as f:
         f.write(good + good.replace("page:1", "page:2").replace("Length: 2", "Length: 7") + good)
     assert [r.i for r in back(spark, f"{tmp_root}/d").collect()] == [1]
+
+
+def test_rows_that_share_an_id_but_not_the_payload(spark, tmp_root):
+    rows = [(5, "u", "A", "f", "r"), (7, "u", "A", "f", "r"), (7, "u", "B", "f", "r"),         # B is in no other page
+            (6, "u", "C", "f", "r"), (8, "u", "C", "f", "r"), (8, "u", "A", "f", "r"), (8, "u", "A", "f", "r"),    # two repeated payloads
+            (None, "u", "A", "f", "r")]
+    W.write(spark.createDataFrame(rows, SCHEMA).repartition(3), f"{tmp_root}/e")
+    got = back(spark, f"{tmp_root}/e").collect()
+    assert sorted(str(tuple(r)[:5]) for r in got) == expected(rows)
+    assert sorted(bytes(r.payload) for r in got if r.record_type == "response") == [b"A", b"A", b"B", b"C"]
