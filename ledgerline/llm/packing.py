@@ -34,8 +34,8 @@ class Ids:
 
     Texts go through a second encoder of the same vocabulary, several times as
     fast; those with a very long stretch without a space, where its time grows
-    with the square, go through the file's own tokenizer.  Both give the same
-    ids.  Strings of special tokens count as ordinary text.
+    with the square, and those that hold the string of an added token go through
+    the file's own tokenizer, as it is loaded.  Both give the ids of that tokenizer.
     """
 
     STRETCH = 1000
@@ -45,18 +45,17 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
-        special = {t.content for t in self.own.get_added_tokens_decoder().values()}
+        self.added = {t.content for t in self.own.get_added_tokens_decoder().values()}
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]     # bytes that stand for themselves
         moved = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
-        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.own.get_vocab().items() if t not in special}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.own.get_vocab().items() if t not in self.added}
         # a run of letters, of digits or of other signs, each with one space before it; else white space
         words = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("same", pat_str=words, mergeable_ranks=ranks, special_tokens={})
 
     def of(self, text: str) -> bytes:
-        if max(map(len, text.split()), default=0) > self.STRETCH:
+        if any(t in text for t in self.added) or max(map(len, text.split()), default=0) > self.STRETCH:
             ids = self.own.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)

@@ -83,3 +83,12 @@ def test_pieces_are_gapless_and_match_the_texts(spark, ids):
 
 def test_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string"), FILE).count() == 0
+
+
+def test_strings_of_added_tokens_give_the_ids_of_a_fresh_tokenizer(ids):
+    from tokenizers import Tokenizer
+    fresh, end = Tokenizer.from_file(FILE), "<|endoftext|>"
+    texts = [end, f"hello {end} x", f"a{end}b", f" {end}  {end}{end}\n", "y" * 3000 + end, end[:-1], end[1:], "<| endoftext |>", f"{end[:5]}{end}{end[5:]}"]
+    assert fresh.encode(texts[1], add_special_tokens=False).ids == [31373, 220, 50256, 2124]
+    for t in texts:
+        assert ids.of(t) == array("I", fresh.encode(t, add_special_tokens=False).ids).tobytes(), t
