@@ -81,13 +81,20 @@ class Hashes:
         self.block, self.length = h, length
 
     def strings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of a string's first and last 64 bytes."""
-        return self.block[at], self.block[at + self.length - BLOCK]
+        """The hashes of a string's first and last 64 bytes; those of one longer than both also hold its middle."""
+        first, last = self.block[at], self.block[at + self.length - BLOCK]
+        if self.length > 2 * BLOCK:                                                   # at most 3 * BLOCK
+            first = mixed(first) * U(3) + mixed(self.block[at + BLOCK]) * U(5)
+        return first, last
 
     def contexts(self, lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-        """Of the bytes from lo to the end of the string at hi: three blocks that cover them."""
+        """Of the bytes from lo to the end of the string at hi: blocks that cover them."""
         last = hi + self.length - BLOCK
         out = mixed(self.block[lo]) * U(3) + mixed(self.block[(lo + last) // 2]) * U(5) + mixed(self.block[last]) * U(7)
+        # a run has at most length - GRAM + 1 strings; from some length on, three blocks leave gaps around the middle one
+        if 2 * self.length - GRAM > 3 * BLOCK:
+            for i, by in ((1, U(11)), (3, U(13))):
+                out += mixed(self.block[lo + (last - lo) * i // 4]) * by
         return mixed(out + (hi - lo).astype(U) * U(257) + (anchor - lo).astype(U))
 
 

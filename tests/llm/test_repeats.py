@@ -72,3 +72,36 @@ def test_null_and_repeated_ids(spark):
 def test_given_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     check(spark, rows)
+
+
+def covered(n, length, places_of):
+    """Whether a change of any one of the first ``n`` bytes changes the hash."""
+    data = np.frombuffer(random.Random(length).randbytes(n), np.uint8)
+    was = places_of(R.Hashes(data, length))
+    for i in range(n):
+        other = data.copy()
+        other[i] ^= 1
+        if places_of(R.Hashes(other, length)) == was:
+            return False
+    return True
+
+
+@pytest.mark.parametrize("length", [96, 100, 112, 113, 128, 129, 160])
+def test_hashes_cover_every_byte(length):
+    at = np.array([0])
+    assert covered(length, length, lambda h: [int(x[0]) for x in h.strings(at)])
+    for n in (1, 2, length // 2, length - R.GRAM, length - R.GRAM + 1):             # strings of a run
+        assert covered(length + n - 1, length, lambda h: int(h.contexts(at, at + n - 1, at)[0])), n
+
+
+@pytest.mark.parametrize("many", [8, 0])
+@pytest.mark.parametrize("length", [113, 160])
+def test_longest_strings_against_plain_version(spark, length, many, monkeypatch):
+    monkeypatch.setattr(R, "MANY", many)
+    rng = random.Random(length)
+    rows = made(rng, 60)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    for i in range(60, 70):                                                         # copies that differ in one byte each
+        at = rng.randrange(300)
+        rows.append((2000 + i, base[:at] + "#" + base[at + 1:]))
+    check(spark, rows, length)
