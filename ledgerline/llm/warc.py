@@ -183,7 +183,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     itself holds.  A record that does not end where a record or the file's end
     follows is damaged: it is left out, with what comes after it in its file.
     """
-    pieces = pieces_of(spark, path)
+    # stored once: byte ranges follow the number of live cores, so a second scan could number the pieces otherwise
+    pieces = materialise(pieces_of(spark, path), "archive-pieces")
     chain = candidates(pieces)
     on_chain = reachable(chain)
     ends = chain.groupBy("file").agg(F.max("end").alias("file_end"))

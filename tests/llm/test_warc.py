@@ -82,3 +82,16 @@ def test_rows_that_share_an_id_but_not_the_payload(spark, tmp_root):
     got = back(spark, f"{tmp_root}/e").collect()
     assert sorted(str(tuple(r)[:5]) for r in got) == expected(rows)
     assert sorted(bytes(r.payload) for r in got if r.record_type == "response") == [b"A", b"A", b"B", b"C"]
+
+
+def test_byte_ranges_that_change_after_the_chain_is_known(spark, tmp_root):
+    rows = rows_of()
+    W.write(spark.createDataFrame(rows, SCHEMA).repartition(3), f"{tmp_root}/f")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        table = back(spark, f"{tmp_root}/f")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")                # as if cores came or went between the scans
+        assert sorted(str(tuple(r)[:5]) for r in table.collect()) == expected(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
