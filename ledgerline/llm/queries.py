@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: each operator over its whole table."""
+"""The registered queries op1 to op13: each operator over its whole table."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import scratch_path
 
-from . import ann, exact_dedup, mixing, near_dedup, packing, quality, repeats, sharding, url_filter, warc
+from . import ann, exact_dedup, fingerprints, mixing, near_dedup, packing, quality, repeats, sharding, url_filter, warc
 
 #: The rules of the url query.
 URL_RULES = [
@@ -89,6 +89,10 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_rules": url_rules,
     "op2_packing": packing_query,
@@ -100,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": near_dedup_query,
     "op9_repeats": repeats_query,
     "op10_exact_dedup": exact_dedup_query,
+    "op11_fingerprints": fingerprints_query,
 }
 
 
