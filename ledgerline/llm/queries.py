@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.session import scratch_path
 
-from . import ann, exact_dedup, fingerprints, hard_negatives, mixing, near_dedup, packing, quality, repeats, sharding, url_filter, warc
+from . import ann, exact_dedup, fingerprints, hard_negatives, mixing, near_dedup, packing, quality, repeats, sharding, url_filter, warc, whitening
 
 #: The rules of the url query.
 URL_RULES = [
@@ -93,6 +93,10 @@ def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": repeats_query,
     "op10_exact_dedup": exact_dedup_query,
     "op11_fingerprints": fingerprints_query,
+    "op12_whitening": whitening_query,
     "op13_hard_negatives": hard_negatives_query,
 }
 
