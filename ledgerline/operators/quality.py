@@ -83,37 +83,77 @@ def violations(rule: Rule, tables: dict[str, DataFrame]) -> DataFrame:
 
 
 ROW_KINDS = ("not_null", "domain", "range", "length", "precision")
-
-
-def summary(rules: list[Rule], tables: dict[str, DataFrame]) -> DataFrame:
+SET_KINDS = ("unique", "foreign_key")
+
+
+def _set_key(columns: tuple[str, ...]) -> tuple[Column, Column]:
+    """The columns as one string key, the same for any integer width, and whether all are present."""
+    cols = [F.col(c) for c in columns]
+    present = reduce(lambda a, b: a & b, [c.isNotNull() for c in cols])
+    text = [c.cast("string") for c in cols]
+    return text[0] if len(text) == 1 else F.to_json(F.array(*text)), present
+
+
+def _set_counts(rules: list[Rule], tables: dict[str, DataFrame], parents: dict[str, DataFrame]) -> DataFrame:
+    """One row with the violations of each unique and foreign-key rule as column ``c<i>``, each table scanned once.
+
+    A row yields one (rule, key) for every rule that it takes part in, as child or as parent.  They are counted
+    by (rule, key) before the shuffle, so a key that a third of the rows hold travels once a task; one
+    grouping of all tables then tells the keys held twice and the children without parent.
+    """
+    roles: dict[tuple[bool, str], list[tuple[int, tuple[str, ...], int]]] = {}
+    for i, r in enumerate(rules):
+        roles.setdefault((False, r.table), []).append((i, r.columns, 1))
+        if r.kind == "foreign_key":
+            parent, columns = r.arg
+            roles.setdefault((tables is not parents, parent), []).append((i, columns, 0))
+    keyed = []
+    for (of_parents, t), entries in roles.items():
+        found = []
+        for i, columns, child in entries:
+            key, present = _set_key(columns)
+            found.append(F.when(present, F.struct(F.lit(i).alias("rule"), key.alias("key"), F.lit(child).cast("long").alias("rows"),
+                                                  F.lit(1 - child).alias("parent"))))
+        df = (parents if of_parents else tables)[t]
+        keyed.append(df.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*")
+                     .groupBy("rule", "key").agg(F.sum("rows").alias("rows"), F.max("parent").alias("parent")))
+    held = reduce(DataFrame.unionByName, keyed).groupBy("rule", "key").agg(F.sum("rows").alias("rows"), F.max("parent").alias("parent"))
+    return held.agg(*[F.coalesce(F.sum(
+        F.when((F.col("rule") == i) & (F.col("rows") > 1), 1) if r.kind == "unique"
+        else F.when((F.col("rule") == i) & (F.col("parent") == 0), F.col("rows"))), F.lit(0)).cast("long").alias(f"c{i}")
+        for i, r in enumerate(rules)])
+
+
+def _by_rule(counts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The columns ``c<i>`` of one row as one row a rule, with what the rule says of itself."""
+    rows = F.explode(F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.kind).alias("kind"), F.lit(r.table).alias("table_name"),
+                                        F.lit(r.column).alias("column_name"), F.col(f"c{i}").alias("violations"))
+                               for i, r in enumerate(rules)])).alias("x")
+    return counts.select(rows).select("x.*")
+
+
+def summary(rules: list[Rule], tables: dict[str, DataFrame], parents: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row per rule: kind, table, column(s), number of violations.
 
     Row-level rules of one table are counted in a single aggregation pass
-    over that table (one scan, partial aggregation), then unpivoted; set
-    rules (unique, foreign key, populated) run as their own grouped /
-    anti-join jobs."""
+    over that table, unique and foreign-key rules of all tables in one pass a table and
+    one grouping (``_set_counts``).  ``parents``: the tables in which foreign keys are looked up, if not ``tables``."""
     parts = []
     by_table: dict[str, list[Rule]] = {}
     for r in rules:
         if r.kind in ROW_KINDS:
             by_table.setdefault(r.table, []).append(r)
     for t, rs in by_table.items():
-        counts = tables[t].agg(*[F.sum(F.when(_bad_condition(r), 1).otherwise(0)).cast("long").alias(f"c{i}")
+        counts = tables[t].agg(*[F.coalesce(F.sum(F.when(_bad_condition(r), 1).otherwise(0)), F.lit(0)).cast("long").alias(f"c{i}")
                                  for i, r in enumerate(rs)])
-        rows = F.explode(F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"c{i}").alias("violations"))
-                                   for i, r in enumerate(rs)])).alias("x")
-        parts.append(counts.select(rows).select("x.rule_id", "x.violations"))
+        parts.append(_by_rule(counts, rs))
+    sets = [r for r in rules if r.kind in SET_KINDS]
+    if sets:
+        parts.append(_by_rule(_set_counts(sets, tables, tables if parents is None else parents), sets))
     for r in rules:
-        if r.kind not in ROW_KINDS:
-            parts.append(violations(r, tables).agg(F.count(F.lit(1)).alias("violations"))
-                         .select(F.lit(r.rule_id).alias("rule_id"), "violations"))
-    meta = tables[rules[0].table].sparkSession.createDataFrame(
-        [(r.rule_id, r.kind, r.table, r.column) for r in rules],
-        "rule_id string, kind string, table_name string, column_name string")
-    counted = reduce(DataFrame.unionByName, parts)
-    # rule metadata is one row per declared rule: a small, fixed-size side
-    return F.broadcast(meta).join(counted, "rule_id").select("rule_id", "kind", "table_name", "column_name",
-                                                             "violations")
+        if r.kind not in ROW_KINDS and r.kind not in SET_KINDS:
+            parts.append(_by_rule(violations(r, tables).agg(F.count(F.lit(1)).alias("c0")), [r]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def flag(df: DataFrame, rules: list[Rule], tables: dict[str, DataFrame] | None = None,

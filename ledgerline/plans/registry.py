@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -298,13 +297,7 @@ def _dq_tables(spark, d):
 def _spoiled(spark, d, rules):
     """The rules' tables with faults; parents of foreign keys stay sound."""
     sound = _dq_tables(spark, d)
-    tables = {t: SP.spoil(t, sound[t], rules) for t in dict.fromkeys(r.table for r in rules)}
-    parents = {r.arg[0]: sound[r.arg[0]] for r in rules if r.kind == "foreign_key"}
-    if not parents:
-        return DQ.summary(rules, tables)
-    # each child is counted against sound parents
-    return reduce(DataFrame.unionByName, [DQ.summary([r], {**parents, r.table: tables[r.table]} if r.arg[0] != r.table else tables)
-                                          for r in rules])
+    return DQ.summary(rules, {t: SP.spoil(t, sound[t], rules) for t in dict.fromkeys(r.table for r in rules)}, parents=sound)
 
 
 for _name, _rules in (("dq_not_null", DQ.NOT_NULL), ("dq_unique", DQ.UNIQUE), ("dq_domain", DQ.DOMAIN),

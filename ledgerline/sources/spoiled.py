@@ -1,8 +1,8 @@
 """Tables with known faults: what every declared rule is held against.
 
 ``spoil`` changes the column of each rule in the rows whose key has the rule's
-residue, and repeats some rows for the unique rules, so that each rule finds
-violations in tables that are otherwise sound.  ``spoil_sql`` states the same
+residue, and repeats some rows for the unique rules (where the column may be null, equal
+values are put there besides), so that each rule finds violations in tables that are otherwise sound.  ``spoil_sql`` states the same
 in SQL.
 """
 
@@ -18,6 +18,8 @@ KEYS = {"customers": "customer_id", "loan_products": "product_id", "loans": "loa
         "dim_customer": "customer_sk", "dim_loan": "loan_sk", "dim_product": "product_sk", "dim_payment_method": "method_sk",
         "dim_date": "date_sk", "fact_payments": "payment_sk", "fact_loans": "loan_fact_sk", "orders": "o_orderkey",
         "lineitem": "l_orderkey", "audit_log": "log_id"}
+#: Unique columns that may be null: the value that rows of residue 0 share.
+SHARED = {("customers", "national_id"): "'shared'"}
 SMALL = {"loan_products": 5, "dim_product": 5, "dim_payment_method": 5}
 MODULUS = 41
 
@@ -40,6 +42,9 @@ def _faults(table: str, rules: list[Rule]) -> dict[str, list[tuple[int, str]]]:
         else:
             value = "-7"
         out.setdefault(r.columns[0], []).append((i % SMALL.get(table, MODULUS), value))
+    for r in rules:
+        if r.kind == "unique" and (table, r.columns[0]) in SHARED and r.table == table:
+            out.setdefault(r.columns[0], []).append((0, SHARED[table, r.columns[0]]))
     return out
 
 

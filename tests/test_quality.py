@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from ledgerline.operators import quality as Q
 
 
@@ -39,3 +41,22 @@ def test_precision_rule(spark):
     df = spark.createDataFrame([(1, 12.5), (2, 1e15)], "id int, v double")
     r = Q.Rule("p", "precision", "t", ("v",), (14, 2), ("id",))
     assert [x.record_key for x in Q.violations(r, {"t": df}).collect()] == ["2"]
+
+
+def test_set_rules_scan_each_table_once(spark):
+    from conftest import SF_SMALL
+    from ledgerline.plans import registry
+    plan = registry.queries()["dq_fk"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    facts = [x for x in plan.splitlines() if "Relation" in x and "payment_year" in x]
+    assert len(facts) == 1 and "Join" not in plan
+
+
+def test_set_rules_on_empty_tables_and_several_columns(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, None), (2, "y"), (3, "z")], "k int, t string")
+    p = spark.createDataFrame([(1, "x"), (3, "z")], "k long, t string")
+    rules = [Q.Rule("uq", "unique", "a", ("k", "t")), Q.Rule("fk", "foreign_key", "a", ("k", "t"), ("p", ("k", "t"))),
+             Q.Rule("none", "unique", "e", ("k",))]
+    tables = {"a": a, "p": p, "e": a.limit(0)}
+    assert {r.rule_id: r.violations for r in Q.summary(rules, tables).collect()} == {"uq": 1, "fk": 1, "none": 0}
+    sound = {"p": a.select(F.col("k").cast("long"), "t")}
+    assert {r.rule_id: r.violations for r in Q.summary(rules, tables, sound).collect()} == {"uq": 1, "fk": 0, "none": 0}
