@@ -5,6 +5,8 @@ version and the staged batch and returns the next version as a
 DataFrame, which the caller writes to a fresh directory and commits.
 
 * ``upsert``         insert new keys, refresh ``update_cols`` of matched keys
+* ``one_per_key``    rows that repeat count once, rows of one key that differ are marked
+* ``conflicts``      the keys whose rows differ, with both images
 * ``insert_absent``  append rows whose key is not present yet
 * ``scd2``           close changed rows, open new versions
 """
@@ -23,6 +25,10 @@ class DuplicateKeyError(ValueError):
     pass
 
 
+class ConflictingRowsError(DuplicateKeyError):
+    pass
+
+
 def assert_unique_keys(df: DataFrame, key: str | list[str], what: str = "batch") -> None:
     """Fail fast when one batch holds a key twice (a keyed upsert cannot
     decide which row wins)."""
@@ -41,6 +47,23 @@ def with_dup_count(staged: DataFrame, key: str) -> DataFrame:
     return staged.withColumn("_dup", F.count(F.lit(1)).over(Window.partitionBy(key)))
 
 
+def one_per_key(df: DataFrame, key: str) -> DataFrame:
+    """One row per key: equal rows count once.  ``_conflict`` is 1 where rows of the key differ (the least of
+    them is shown), so that the writer can refuse the batch.  Least and greatest image are combined before the
+    shuffle; no key gathers its rows in one task."""
+    image = F.struct(*[c for c in df.columns if c != key])
+    held = df.groupBy(key).agg(F.min(image).alias("_least"), F.max(image).alias("_most"))
+    return held.select(key, "_least.*", (~F.col("_least").eqNullSafe(F.col("_most"))).cast("long").alias("_conflict")) \
+        .select(*df.columns, "_conflict")
+
+
+def conflicts(df: DataFrame, key: str) -> DataFrame:
+    """The keys whose rows differ: number of rows, and the least and the greatest row as structs."""
+    image = F.struct(*[c for c in df.columns if c != key])
+    held = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.min(image).alias("least"), F.max(image).alias("most"))
+    return held.where(~F.col("least").eqNullSafe(F.col("most")))
+
+
 def upsert(existing: DataFrame | None, staged: DataFrame, key: str,
            update_cols: list[str], sk_col: str | None = None,
            on_update: Mapping[str, Column] | None = None,

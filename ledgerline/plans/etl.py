@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import dim_date
 from ..operators.keys import assign_dense_keys, next_key_start
-from ..operators.upsert import absent, scd2, upsert, with_dup_count
+from ..operators.upsert import absent, one_per_key, scd2, upsert, with_dup_count
 from ..sources import schemas as S
 from ..sources.readers import extract_customers, extract_loans, extract_payments
 
@@ -51,7 +51,7 @@ def stage(src: dict[str, DataFrame], run_ts: str) -> dict[str, DataFrame]:
     return {
         "stg_customers": extract_customers(src["customers"]).withColumn("etl_loaded_at", t),
         "stg_loans": extract_loans(src["loans"]).withColumn("etl_loaded_at", t),
-        "stg_payments": extract_payments(src["payments"]).dropDuplicates(["payment_id"]).withColumn("etl_loaded_at", t),
+        "stg_payments": one_per_key(extract_payments(src["payments"]), "payment_id").withColumn("etl_loaded_at", t),
     }
 
 

@@ -249,16 +249,13 @@ SELECT loan_id, holder.full_name AS customer_name, holder.email, holder.segment,
 FROM (FROM src_loans WHERE status = 'active') AS open_loan
 JOIN src_customers AS holder USING (customer_id)"""))(lambda s, d: V.active_loans(_op(s, d)))
 
+# the joined rows themselves: a loan's amount stands beside each of its payments
 CPS = """
-SELECT customer_id, full_name, segment, COUNT(loan_id) AS total_loans,
-       CAST(SUM(amount * greatest(n, 1)) AS DECIMAL(38,2)) AS total_loan_amount,
-       CAST(ifnull(SUM(n), 0) AS BIGINT) AS total_payments, CAST(ifnull(SUM(paid), 0) AS DECIMAL(38,2)) AS total_paid,
-       MAX(last_date) AS last_payment_date
-FROM (SELECT customer_id, full_name, segment FROM src_customers)
-LEFT JOIN (SELECT loan_id, customer_id, amount, ifnull(n, 0) AS n, paid, last_date FROM src_loans
-           LEFT JOIN (SELECT loan_id, COUNT(*) AS n, SUM(amount) AS paid, MAX(payment_date) AS last_date
-                      FROM src_payments GROUP BY ALL) USING (loan_id)) USING (customer_id)
-GROUP BY ALL"""
+SELECT h.customer_id, any_value(h.full_name) AS full_name, any_value(h.segment) AS segment, COUNT(DISTINCT loan.loan_id) AS total_loans,
+       CAST(SUM(loan.amount) AS DECIMAL(38,2)) AS total_loan_amount, COUNT(pay.payment_id) AS total_payments,
+       CAST(ifnull(SUM(pay.amount), 0) AS DECIMAL(38,2)) AS total_paid, MAX(pay.payment_date) AS last_payment_date
+FROM src_payments pay RIGHT JOIN src_loans loan USING (loan_id) RIGHT JOIN src_customers h USING (customer_id)
+GROUP BY h.customer_id"""
 register("customer_payment_summary", O.with_source(CPS))(
     lambda s, d: V.customer_payment_summary(_op(s, d), fan_out=True))
 register("customer_payment_summary_exact", O.with_source("""
@@ -744,6 +741,19 @@ def _rerun(spark, d):
 register("rerun_fact_payments", O.with_full(f"SELECT {FP}, {O.RUN1} AS etl_loaded_at FROM fact_payments"))(
     lambda s, d: _once(_rerun)(s, d).read("fact_payments").select(*FP.split(", "), "etl_loaded_at"))
 
+# payments of one id that differ: some amounts changed, some rows repeated as they are
+def _payment_conflicts(spark, d):
+    pays = _op(spark, d)["payments"]
+    again = pays.where("payment_id % 41 = 0").withColumn("amount", (F.col("amount") + 1).cast(pays.schema["amount"].dataType))
+    found = UP.conflicts(pays.unionByName(again).unionByName(pays.where("payment_id % 43 = 0")), "payment_id")
+    return found.select("payment_id", "rows", F.col("least.amount").alias("least_amount"), F.col("most.amount").alias("most_amount"))
+
+
+register("payment_conflicts", O.with_source("""
+SELECT payment_id, CASE WHEN payment_id % 43 = 0 THEN 3 ELSE 2 END::BIGINT AS rows, amount AS least_amount,
+       CAST(amount + 1 AS DECIMAL(14,2)) AS most_amount
+FROM src_payments WHERE payment_id % 41 = 0"""))(_payment_conflicts)
+
 # the failed run keeps a row of its own, with the whole error text
 register("load_after_failed_run_history", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'failed', TRUE), (CAST(2 AS BIGINT), 'success', FALSE)) "
          "AS t(run_id, status, has_error) WHERE (SELECT COUNT(*) FROM orders) > 0")(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as DQ
 from ..operators.runlog import RunLog
-from ..operators.upsert import DuplicateKeyError, insert_absent
+from ..operators.upsert import ConflictingRowsError, DuplicateKeyError, insert_absent, one_per_key
 from ..session import scratch_path
 from ..sources import schemas as S
 from ..sources import testdata
@@ -67,7 +67,7 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
     by id), their per-loan totals are folded into ``payment_totals``, and
     the run stages the batch plus the payments still pending from earlier
     runs (parent not seen yet).  Payments that come twice, in one batch or
-    again later, count once.  The first increment after a load of whole
+    again later, count once; new payments of one id that differ refuse the batch.  The first increment after a load of whole
     snapshots takes that load's staged payments as its start.  Every table of the step commits in the
     same manifest, so the cost per batch is O(batch + loan grain) and the
     result equals a full re-extract.
@@ -95,11 +95,16 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
                 metrics[op] = F.sum(F.when(F.col("_op") == op, 1).otherwise(0))
         if "_dup" in df.columns:
             metrics["max_dup"] = F.max("_dup")
-        e = store.write_table(name, df, version, append_to=append, metrics=metrics, drop=["_op", "_dup"],
+        if "_conflict" in df.columns:
+            metrics["conflicts"] = F.sum("_conflict")
+        e = store.write_table(name, df, version, append_to=append, metrics=metrics, drop=["_op", "_dup", "_conflict"],
                               key_col=SK_COLS.get(name), partition_by=partition_by)
         if check_keys and (e["metrics"].get("max_dup") or 0) > 1:
             # an upsert batch may not hold one key twice: refuse before commit
             raise DuplicateKeyError(f"{name}: the batch holds a key more than once")
+        if e["metrics"].get("conflicts"):
+            # a primary key would refuse the second of two rows that differ; which of them is right is not known here
+            raise ConflictingRowsError(f"{name}: {e['metrics']['conflicts']} keys have rows that differ")
         if not name.startswith("_"):  # '_' tables are run scratch, not committed
             entries[name] = e
         ops[name] = e.get("metrics", {})
@@ -124,7 +129,7 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
                 known = sink("src_payments", cur["stg_payments"].select(*S.STG_PAYMENT_COLS))
                 paid = merge_totals(None, payment_totals(known))
                 pending = known.join(cur["fact_payments"].select("payment_id"), "payment_id", "left_anti")
-            batch = src["payments"].select(*S.STG_PAYMENT_COLS).dropDuplicates(["payment_id"])
+            batch = one_per_key(src["payments"].select(*S.STG_PAYMENT_COLS), "payment_id")
             _, fresh = insert_absent(known, batch, "payment_id")
             fresh = sink("src_payments", fresh)
             totals = sink("payment_totals", merge_totals(paid, payment_totals(fresh)))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.operators.changes import fold_changes, live_state, touch_updated
-from ledgerline.operators.upsert import scd2
+from ledgerline.operators.runlog import RunLog
+from ledgerline.operators.upsert import ConflictingRowsError, scd2
 from ledgerline.plans import warehouse as WH
 from ledgerline.sources import testdata
 from ledgerline.sources.readers import MissingColumnError, conform, read_jdbc
@@ -102,3 +103,18 @@ def test_gate_refuses_the_whole_batch(spark, tmp_root):
         WH.load(spark, store, {**src, "payments": sound.unionByName(one)}, WH.FIXED_RUN_TS, gate=True)
     assert store.current_version() == 0
     assert WH.load(spark, store, {**src, "payments": sound}, WH.FIXED_RUN_TS, gate=True)["version"] == 1
+
+
+def test_payments_that_differ_refuse_the_run_and_equal_ones_count_once(spark, tmp_root):
+    src = testdata.source_tables(spark, SF_SMALL)
+    pays = src["payments"]
+    one = pays.orderBy("payment_id").limit(1)
+    other = one.withColumn("amount", (F.col("amount") + 1).cast(pays.schema["amount"].dataType))
+    for increment in (False, True):
+        store = TableStore(spark, f"{tmp_root}/wh{increment}")
+        with pytest.raises(ConflictingRowsError, match="1 keys"):
+            WH.load(spark, store, {**src, "payments": pays.unionByName(other)}, WH.FIXED_RUN_TS, increment=increment)
+        assert store.current_version() == 0
+        WH.load(spark, store, {**src, "payments": pays.unionByName(one)}, WH.FIXED_RUN_TS, increment=increment)
+        assert store.read("src_payments" if increment else "stg_payments").count() == pays.count()
+        assert [r.status for r in RunLog(spark, store.root).runs().orderBy("run_id").collect()] == ["failed", "success"]
