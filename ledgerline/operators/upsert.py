@@ -99,35 +99,23 @@ def upsert(existing: DataFrame | None, staged: DataFrame, key: str,
             new = assign_dense_keys(new, [key], sk_col, 0)
         return new
 
-    e = existing.withColumn("_in_e", F.lit(True)).alias("e")
+    # matched rows and new keys by a join each: neither result is computed twice, and only new rows are checkpointed
+    staged_cols = set(staged.columns)
+    e = existing.alias("e")
     s = staged.withColumn("_in_s", F.lit(True)).alias("s")
-    j = e.join(s, F.col(f"e.{key}") == F.col(f"s.{key}"), "full_outer")
-    in_e = F.col("e._in_e").isNotNull()
     in_s = F.col("s._in_s").isNotNull()
-    staged_cols = set(staged.columns)
-    out = []
+    out, ins = [], []
     for c in columns:
-        if c == key:
-            v = F.coalesce(F.col(f"e.{c}"), F.col(f"s.{c}"))
-        else:
-            ins = on_insert[c] if c in on_insert else (F.col(f"s.{c}") if c in staged_cols else F.lit(None))
-            if c in on_update:
-                upd = on_update[c]
-            elif c in update_cols:
-                upd = F.col(f"s.{c}")
-            else:
-                upd = F.col(f"e.{c}")
-            v = F.when(in_e & in_s, upd).when(in_e, F.col(f"e.{c}")).otherwise(ins)
-        out.append(v.alias(c))
-    op = F.when(in_e & in_s, "update").when(in_e, "keep").otherwise("insert").alias("_op")
+        upd = on_update[c] if c in on_update else F.col(f"s.{c}") if c in update_cols and c != key else None
+        out.append((F.col(f"e.{c}") if upd is None else F.when(in_s, upd).otherwise(F.col(f"e.{c}"))).alias(c))
+        ins.append((on_insert[c] if c in on_insert else F.col(c) if c in staged_cols else F.lit(None)).cast(existing.schema[c].dataType).alias(c))
     if sk_col:
         out.append(F.col(f"e.{sk_col}").alias(sk_col))
-    nxt = j.select(*out, op, *[F.col(f"s.{c}").alias(c) for c in extra])
-    if not sk_col:
-        return nxt
-    start = key_start if key_start is not None else next_key_start(existing, sk_col)
-    old = nxt.where(F.col("_op") != "insert")
-    new = assign_dense_keys(nxt.where(F.col("_op") == "insert").drop(sk_col), [key], sk_col, start)
+    old = e.join(s, F.col(f"e.{key}") == F.col(f"s.{key}"), "left").select(
+        *out, F.when(in_s, "update").otherwise("keep").alias("_op"), *[F.col(f"s.{c}").alias(c) for c in extra])
+    new = staged.join(existing.select(key), key, "left_anti").select(*ins, F.lit("insert").alias("_op"), *extra)
+    if sk_col:
+        new = assign_dense_keys(new, [key], sk_col, key_start if key_start is not None else next_key_start(existing, sk_col))
     return old.unionByName(new)
 
 

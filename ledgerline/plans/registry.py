@@ -730,6 +730,43 @@ for _name, _build in (("stream_new_checkpoint", _stream_new_checkpoint), ("strea
         register(f"{_name}_{_t}", O.with_full(f"SELECT {_cols}, CAST(1 AS BIGINT) AS rows_of_key FROM {_t}"))(
             (lambda get, t, k, cols: lambda s, d: _facts(get(s, d), t, k, cols))(_once(_build), _t, _k, _cols))
 
+# changes of customers, loans and payments as one stream: the tables end as after two loads of whole snapshots
+def _changed_loans(src):
+    one, two = TD.first_snapshot(src)["loans"], TD.second_snapshot(src)["loans"]
+    return two.exceptAll(one.select(*two.columns))
+
+
+def _parent_changes(spark, d):
+    from ..streaming import microbatch as MB
+    root, src = _folder(spark, "feed"), _op(spark, d)
+    one = TD.first_snapshot(src)
+    later = src["payments"].where(F.col("payment_date") >= F.lit(TD.SNAPSHOT_CUTOFF).cast("date"))
+    store = TableStore(spark, f"{root}/warehouse")
+    for i, part in enumerate(({t: one[t] for t in ("customers", "loans", "payments")}, {"loans": _changed_loans(src), "payments": later})):
+        MB.land(MB.feed(spark, i, **part), f"{root}/landing", f"part={i}")
+        MB.feed_stream(spark, f"{root}/landing", store, src["loan_products"], f"{root}/_checkpoint",
+                       run_ts_of=lambda b: [WH.FIXED_RUN_TS, WH.SECOND_RUN_TS][min(b, 1)]).awaitTermination()
+    return store
+
+
+for _t, _cols in (("dim_customer", DIM_C), ("dim_loan", DIM_L), ("fact_payments", FP), ("fact_loans", FL)):
+    register(f"stream_parent_changes_{_t}", O.with_incremental(f"SELECT {_cols} FROM r2_{_t}"))(
+        (lambda t, cols: lambda s, d: _once(_parent_changes)(s, d).read(t).select(*cols.split(", ")))(_t, _cols))
+
+
+# a store of whole-snapshot loads, laid out by bucket; the changed loans rewrite the buckets that they lie in
+def _touched_buckets(spark, d):
+    from . import delta as DL
+    src, store = _op(spark, d), TableStore(spark, f"{_folder(spark, 'buckets')}/warehouse")
+    WH.load(spark, store, TD.first_snapshot(src), WH.FIXED_RUN_TS)
+    DL.adopt(spark, store)
+    DL.load_changes(spark, store, {"loans": _changed_loans(src)}, WH.SECOND_RUN_TS)
+    return store
+
+
+register("upsert_touched_buckets", O.with_incremental(f"SELECT {DIM_L} FROM r2_dim_loan"))(
+    lambda s, d: _once(_touched_buckets)(s, d).read("dim_loan").select(*DIM_L.split(", ")))
+
 # H15: a rerun of the same sources inserts nothing and leaves the facts with their first load stamp
 def _rerun(spark, d):
     src, store = _op(spark, d), TableStore(spark, f"{_folder(spark, 'rerun')}/warehouse")

@@ -42,6 +42,8 @@ APPEND_TABLES = ("fact_payments", "src_payments")
 #: What increments keep between runs.  A load of whole snapshots drops them: its staged payments
 #: are the accumulated source from which the next increment starts.
 INCREMENT_TABLES = ("src_payments", "payment_totals", "pending_payments")
+#: What the load of changes (``plans.delta``) keeps besides; a load of whole snapshots drops them.
+CHANGE_TABLES = ("waiting_payments", "loans_by_holder")
 
 
 #: Row rules of a payment batch; a loan that is not there yet is no fault, the payment waits for it.
@@ -120,6 +122,8 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
         starts = {t: (int(e["max_key"]) if e.get("max_key") is not None else 0)
                   for t, e in prev.items() if t in SK_COLS}
         totals = None
+        if increment and any(t in prev for t in CHANGE_TABLES):
+            raise ValueError("the store is loaded by changes: go on with load_changes, or load whole snapshots")
         if increment:
             cur = current or {}
             known, paid, pending = (cur.get(t) for t in INCREMENT_TABLES)
@@ -153,7 +157,7 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
             "loans_updated": int(fl["update"] or 0),
             "version": version,
         }
-        keep = prev if increment else {t: e for t, e in prev.items() if t not in INCREMENT_TABLES}
+        keep = prev if increment else {t: e for t, e in prev.items() if t not in INCREMENT_TABLES + CHANGE_TABLES}
         store.commit(list(entries.values()), version, keep=keep)
     except Exception as exc:  # record, then re-raise
         log.close(run_id, started, _now(), "failed", error=str(exc), batch_id=batch_id)

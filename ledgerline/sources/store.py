@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST_SCHEMA = ("version long, table_name string, path string, row_count long, "
-                   "schema_json string, checksum long, max_key long, committed_at timestamp_ntz")
+                   "schema_json string, checksum long, max_key long, layout string, committed_at timestamp_ntz")
+#: The partition column of tables laid out by hash bucket.
+BUCKET = "_bucket"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -105,14 +107,60 @@ class TableStore:
         df = reader.option("basePath", base).parquet(*paths)
         return df.drop("v") if "v" in df.columns else df
 
+    def read_entry(self, entry: dict) -> DataFrame:
+        return self.read_buckets(entry) if entry.get("layout") else self.read_paths(entry["path"], entry.get("schema_json"))
+
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
         entry = self.manifest(version).get(table)
         if entry is None:
             return None
-        return self.read_paths(entry["path"], entry.get("schema_json"))
+        return self.read_entry(entry)
 
     def read_all(self, version: int | None = None) -> dict[str, DataFrame]:
-        return {t: self.read_paths(e["path"], e.get("schema_json")) for t, e in self.manifest(version).items()}
+        return {t: self.read_entry(e) for t, e in self.manifest(version).items()}
+
+    # --------------------------------------------- tables by hash bucket
+    def read_buckets(self, entry: dict, only: list[int] | None = None) -> DataFrame:
+        """A table by hash bucket, or the buckets ``only`` of it: no other directory is listed or read."""
+        layout, schema = json.loads(entry["layout"]), schema_of(entry)
+        paths = [p for b, (p, _) in layout["buckets"].items() if only is None or int(b) in set(only)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.root}/tables/{entry['table_name']}"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*paths).select(*schema.names)
+
+    def write_buckets(self, table: str, df: DataFrame, version: int, key: str, buckets: int, into: dict | None = None,
+                      touched: list[int] | None = None, metrics: dict | None = None, drop: list[str] | None = None,
+                      key_col: str | None = None) -> dict:
+        """Write the rows of the ``touched`` buckets (None: of all) and carry the others of ``into`` over.
+
+        A row's bucket is a hash of ``key``.  The manifest entry lists one directory and its rows per bucket, so
+        a write costs the buckets it touches and the entry's size is bounded by their number.  ``df`` holds
+        all rows that the touched buckets have from now on.
+        """
+        path = self.table_path(table, version)
+        obs, metrics = Observation(f"b_{table}_{uuid.uuid4().hex[:8]}"), dict(metrics or {})
+        if key_col:
+            metrics["max_key"] = F.max(key_col)
+        observed = df.observe(obs, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()])
+        observed = observed.drop(*[c for c in (drop or []) if c in df.columns])
+        schema = observed.schema
+        # a rebalance by bucket makes few files a bucket, and splits a large one
+        observed.withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", F.col(BUCKET)).write.mode("errorifexists") \
+            .partitionBy(BUCKET).parquet(path)
+        got = obs.get
+        held = {}
+        if got["rows"]:
+            held = {str(r[BUCKET]): [f"{path}/{BUCKET}={r[BUCKET]}", r["n"]] for r in self.spark.read.schema(schema).parquet(path)
+                    .groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).collect()}               # one row per bucket
+        if into is not None and touched is not None:
+            gone = {str(b) for b in touched}
+            held |= {b: e for b, e in json.loads(into["layout"])["buckets"].items() if b not in gone}
+        extra = {k: got.get(k) for k in metrics}
+        keys = [k for k in (extra.get("max_key"), (into or {}).get("max_key")) if k is not None]
+        return {"table_name": table, "path": ",".join(p for p, _ in held.values()), "new_path": path, "new_rows": int(got["rows"]),
+                "row_count": sum(n for _, n in held.values()), "schema_json": schema.json(), "metrics": extra,
+                "max_key": max(keys) if keys else None, "layout": json.dumps({"key": key, "count": buckets, "buckets": held})}
 
     # ----------------------------------------------------------- write
     def write_table(self, table: str, df: DataFrame, version: int, compression: str = "snappy",
@@ -163,13 +211,13 @@ class TableStore:
         for t, e in sorted(rows.items()):
             ck = e.get("checksum")
             if checksums and ck is None:
-                ck = table_checksum(self.spark.read.parquet(*e["path"].split(","))).first()["checksum"]
+                ck = table_checksum(self.read_entry(e)).first()["checksum"]
             mk = e.get("max_key")
             out.append((version, t, e["path"], int(e["row_count"]), e["schema_json"],
-                        None if ck is None else int(ck), None if mk is None else int(mk)))
+                        None if ck is None else int(ck), None if mk is None else int(mk), e.get("layout")))
         df = self.spark.createDataFrame(
             out, "version long, table_name string, path string, row_count long, schema_json string, "
-                 "checksum long, max_key long").withColumn("committed_at",
+                 "checksum long, max_key long, layout string").withColumn("committed_at",
                                                            F.current_timestamp().cast("timestamp_ntz"))
         # the version is the directory's partition value, not a field
         df.drop("version").coalesce(1).write.mode("errorifexists") \
@@ -177,7 +225,7 @@ class TableStore:
         self._current = version
         self._manifest_cache[version] = {
             r[1]: {"version": r[0], "table_name": r[1], "path": r[2], "row_count": r[3], "schema_json": r[4],
-                   "checksum": r[5], "max_key": r[6], "committed_at": None} for r in out}
+                   "checksum": r[5], "max_key": r[6], "layout": r[7], "committed_at": None} for r in out}
         return version
 
     def compact(self, table: str, partition_by: list[str] | None = None,
@@ -188,7 +236,7 @@ class TableStore:
         overwritten)."""
         prev = self.manifest()
         entry = prev[table]
-        if "," not in entry["path"]:
+        if entry.get("layout") or "," not in entry["path"]:
             return self.current_version()
         df = self.read_paths(entry["path"], entry.get("schema_json"))
         version = self.current_version() + 1
@@ -205,12 +253,14 @@ class TableStore:
         return self.commit([new], version, keep=prev)
 
     def vacuum(self, keep: int = 2) -> int:
-        """Delete table directories that none of the newest ``keep`` versions lists; returns how many.
+        """Delete table directories that none of the newest ``keep`` versions lists, and the older versions'
+        manifests; returns how many table directories.
 
         No load may run meanwhile: its directories are not listed yet.
         """
         newest = range(max(1, self.current_version() - keep + 1), self.current_version() + 1)
-        listed = {p.rpartition("/tables/")[2] for v in newest for e in self.manifest(v).values() for p in e["path"].split(",")}
+        listed = {p.rpartition("/tables/")[2].partition(f"/{BUCKET}=")[0]
+                  for v in newest for e in self.manifest(v).values() for p in e["path"].split(",")}
         jvm = self.spark.sparkContext._jvm
         pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/tables/*/v=*")
         fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
@@ -219,6 +269,11 @@ class TableStore:
             if status.getPath().toString().rpartition("/tables/")[2] not in listed:
                 fs.delete(status.getPath(), True)
                 gone += 1
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.manifest_root}/version=*")):
+            v = int(status.getPath().getName().partition("=")[2])
+            if v < newest.start:
+                fs.delete(status.getPath(), True)
+                self._manifest_cache.pop(v, None)
         return gone
 
     def write_version(self, tables: dict[str, DataFrame], compression: str = "snappy",
@@ -231,6 +286,16 @@ class TableStore:
         return self.commit(entries, version, keep=prev, checksums=checksums)
 
 
+def bucket_of(key: str, buckets: int):
+    """The hash bucket of a key column."""
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def touched_buckets(keys: DataFrame, key: str, buckets: int) -> list[int]:
+    """The buckets that hold the keys: at most ``buckets`` numbers."""
+    return sorted(r[0] for r in keys.select(bucket_of(key, buckets)).distinct().collect())
+
+
 def schema_of(entry: dict):
     from pyspark.sql.types import StructType
     return StructType.fromJson(json.loads(entry["schema_json"]))

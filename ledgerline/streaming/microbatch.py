@@ -8,6 +8,8 @@ as the batch path, so every micro-batch is idempotent by key:
   appended to the accumulated source (insert-if-absent by
   ``payment_id``), per-loan totals are folded in, and only the batch plus
   still-pending payments are staged; a replayed batch inserts nothing;
+* the feed: changed customers, loans and payments in one stream of tagged rows;
+  each batch runs the load of changes, whose cost follows the batch;
 * changes: each batch of change rows is folded into the state table, which
   keeps each key's log id and delete marker; only a greater log id counts.
 
@@ -22,11 +24,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.changes import fold_changes, live_state
+from ..operators.changes import fold_changes, latest_per_key, live_state
 from ..operators.runlog import RunLog
+from ..plans.delta import load_changes
 from ..plans.warehouse import load
+from ..sources import schemas as S
 from ..sources.store import TableStore
 
 Sources = dict[str, DataFrame]
@@ -60,6 +66,48 @@ def payment_stream(spark: SparkSession, landing: str, schema, warehouse: TableSt
     return _started(spark, landing, schema, run_batch, checkpoint, trigger, files_per_trigger)
 
 
+#: What a row of the feed may be of, and its key.
+FEED = {"customers": ("customer_id", S.CUSTOMERS), "loans": ("loan_id", S.LOANS), "payments": ("payment_id", S.PAYMENTS)}
+FEED_SCHEMA = T.StructType([T.StructField("seq", T.LongType()), T.StructField("of", T.StringType()), T.StructField("deleted", T.BooleanType()),
+                            *[T.StructField(t, s) for t, (_, s) in FEED.items()]])
+
+
+def feed(spark: SparkSession, seq: int, **changed: DataFrame) -> DataFrame:
+    """Changed rows of several tables as one: the row stands in the column named like its table."""
+    out = spark.createDataFrame([], FEED_SCHEMA)
+    for t, df in changed.items():
+        row = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in FEED[t][1].fields])
+        out = out.unionByName(df.select(F.lit(seq).cast("long").alias("seq"), F.lit(t).alias("of"), F.lit(False).alias("deleted"), row.alias(t)),
+                              allowMissingColumns=True)
+    return out
+
+
+def of_feed(batch: DataFrame) -> Sources:
+    """The changed rows of each table that a batch of the feed holds; of a row's states the one of the greatest ``seq``.
+
+    Payments are insert-only: all their rows are kept, so that rows of one id that differ are seen.
+    """
+    out = {}
+    held = [r["of"] for r in batch.select("of").distinct().collect()]                       # table names
+    for t, (key, _) in FEED.items():
+        if t in held:
+            rows = batch.where((F.col("of") == t) & F.col(f"{t}.{key}").isNotNull()).select("seq", F.col("deleted").alias("_deleted"), f"{t}.*")
+            out[t] = rows.where("NOT coalesce(_deleted, false)").drop("seq", "_deleted") if t == "payments" else latest_per_key(rows, key, "seq").drop("seq")
+    return out
+
+
+def feed_stream(spark: SparkSession, landing: str, warehouse: TableStore, products: DataFrame, checkpoint: str,
+                run_ts_of: Callable[[int], str | None] = lambda b: None, trigger: dict | None = None,
+                files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start the micro-batch load of a feed: each batch costs the buckets that its rows touch (L1-L3)."""
+    log = RunLog(spark, warehouse.root)
+
+    def run_batch(df: DataFrame, batch_id: int) -> None:
+        load_changes(spark, warehouse, {**of_feed(df), "loan_products": products}, run_ts_of(batch_id), batch_id, log)
+    return _started(spark, landing, FEED_SCHEMA, run_batch, checkpoint, trigger, files_per_trigger)
+
+
 def change_stream(spark: SparkSession, landing: str, schema, state: TableStore, key: str,
                   attrs: list[str], to_log: Callable[[DataFrame], DataFrame], checkpoint: str,
                   trigger: dict | None = None, files_per_trigger: int | None = None) -> StreamingQuery:
