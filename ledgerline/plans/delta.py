@@ -29,11 +29,14 @@ from ..sources import schemas as S
 from ..sources.readers import extract_payments
 from ..sources.store import TableStore, touched_buckets
 from . import etl
-from .warehouse import FIXED_RUN_TS, PARTITIONED, _now
+from .warehouse import FIXED_RUN_TS, PARTITIONED, _now, fold_reports
 
 #: The bucket key of each table.
 KEYS = {"stg_customers": "customer_id", "stg_loans": "loan_id", "dim_customer": "customer_id", "dim_loan": "loan_id",
-        "fact_loans": "loan_id", "payment_totals": "loan_id", "waiting_payments": "loan_id", "loans_by_holder": "customer_id"}
+        "fact_loans": "loan_id", "payment_totals": "loan_id", "waiting_payments": "loan_id", "loans_by_holder": "customer_id",
+        "loan_support": "loan_sk", "sum_customer": "customer_sk"}
+#: Those of stored reports (``plans.maintained``).
+REPORT_TABLES = ("loan_support", "sum_customer")
 #: Rows of a bucket when a table is laid out, and the least and most buckets of a table.
 BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 8, 65_536
 #: Marks a changed row whose source row is gone.
@@ -128,6 +131,7 @@ def load_changes(spark: SparkSession, store: TableStore, changes: dict[str, Data
         log.close(run_id, started, _now(), "failed", error=str(exc), batch_id=batch_id)
         raise
     log.close(run_id, started, _now(), "success", metrics, batch_id=batch_id)
+    fold_reports(spark, store)
     return metrics
 
 

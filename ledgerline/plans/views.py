@@ -34,12 +34,15 @@ def _desc(c: str) -> Column:
 def monthly_revenue(w: W) -> DataFrame:
     fp = w["fact_payments"]
     dd = _bcast_dates(w, "date_sk", "year", "month", "month_name")
-    return (fp.join(dd, "date_sk")
+    # a row per day before the calendar comes in
+    days = fp.groupBy("date_sk").agg(F.sum("payment_amount").alias("_paid"), F.sum("principal_portion").alias("_principal"),
+                                     F.sum("interest_portion").alias("_interest"), F.count("payment_sk").alias("_n"))
+    return (days.join(dd, "date_sk")
             .groupBy("year", "month", "month_name")
-            .agg(money_sum("payment_amount").alias("total_revenue"),
-                 money_sum("principal_portion").alias("total_principal"),
-                 money_sum("interest_portion").alias("total_interest"),
-                 F.count("payment_sk").alias("payment_count"))
+            .agg(money_sum("_paid").alias("total_revenue"),
+                 money_sum("_principal").alias("total_principal"),
+                 money_sum("_interest").alias("total_interest"),
+                 F.sum("_n").alias("payment_count"))
             .orderBy("year", "month"))
 
 
@@ -143,8 +146,13 @@ def revenue_month_branch(w: W, years: int = 3) -> DataFrame:
     """Revenue per month and branch over the last ``years`` years of data."""
     fp = w["fact_payments"]
     dd = _bcast_dates(w, "date_sk", "full_date", "year", "month")
+    newest = fp
+    if "payment_year" in fp.columns:
+        # the newest day lies in the newest partition: no other year is read for it
+        newest = fp.where(F.col("payment_year") == fp.agg(F.max("payment_year")).scalar())
+    # scalar subquery, evaluated once; every key is a calendar day
+    anchor = newest.agg(F.to_date(F.max("date_sk").cast("string"), "yyyyMMdd")).scalar()
     j = fp.join(dd, "date_sk")
-    anchor = j.agg(F.max("full_date")).scalar()  # scalar subquery, evaluated once
     if "payment_year" in fp.columns:
         # implied by the date bound; on the partition column it prunes years
         j = j.where(F.col("payment_year") >= F.year(anchor) - years)

@@ -163,9 +163,17 @@ def load(spark: SparkSession, store: TableStore, src: dict[str, DataFrame], run_
         log.close(run_id, started, _now(), "failed", error=str(exc), batch_id=batch_id)
         raise
     log.close(run_id, started, _now(), "success", metrics, batch_id=batch_id)
+    fold_reports(spark, store)
     return metrics
 
 
+def fold_reports(spark: SparkSession, store: TableStore) -> None:
+    """Carry the stored reports forward, where the store keeps any (``maintained.refresh`` starts them)."""
+    from . import maintained
+    if maintained.SUPPORT in store.manifest():
+        maintained.refresh(spark, store)
+
+
 # ------------------------------------------------- per-session warehouses
 _CACHE: dict[tuple, TableStore] = {}
 
