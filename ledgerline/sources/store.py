@@ -2,7 +2,7 @@
 
 Layout under ``root``::
 
-    tables/<table>/v=<version>-<attempt>/part-*.parquet   one directory per write
+    tables/<table>/store_version=<version>-<attempt>/part-*.parquet   one directory per write
     _manifests/version=<version>/part-*.json    one row per table of the version
 
 A version becomes visible only when its manifest is written, after every
@@ -53,7 +53,7 @@ class TableStore:
     # ----------------------------------------------------------- paths
     def table_path(self, table: str, version: int) -> str:
         """A directory that no other write uses, also not a failed attempt at the same version."""
-        return f"{self.root}/tables/{table}/v={version}-{uuid.uuid4().hex[:12]}"
+        return f"{self.root}/tables/{table}/store_version={version}-{uuid.uuid4().hex[:12]}"
 
     @property
     def manifest_root(self) -> str:
@@ -105,10 +105,11 @@ class TableStore:
             return reader.parquet(paths[0])
         base = paths[0].rsplit("/", 1)[0]
         df = reader.option("basePath", base).parquet(*paths)
-        return df.drop("v") if "v" in df.columns else df
+        return df.drop("store_version")
 
     def read_entry(self, entry: dict) -> DataFrame:
-        return self.read_buckets(entry) if entry.get("layout") else self.read_paths(entry["path"], entry.get("schema_json"))
+        by_bucket = entry.get("layout") and "buckets" in json.loads(entry["layout"])
+        return self.read_buckets(entry) if by_bucket else self.read_paths(entry["path"], entry.get("schema_json"))
 
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
         entry = self.manifest(version).get(table)
@@ -262,7 +263,7 @@ class TableStore:
         listed = {p.rpartition("/tables/")[2].partition(f"/{BUCKET}=")[0]
                   for v in newest for e in self.manifest(v).values() for p in e["path"].split(",")}
         jvm = self.spark.sparkContext._jvm
-        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/tables/*/v=*")
+        pattern = jvm.org.apache.hadoop.fs.Path(f"{self.root}/tables/*/store_version=*")
         fs = pattern.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         gone = 0
         for status in fs.globStatus(pattern):
