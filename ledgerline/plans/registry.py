@@ -457,6 +457,25 @@ FROM changes ORDER BY log_id DESC LIMIT 20"""))(
         "log_id", "record_id", F.get_json_object("old_values", "$.amount").cast("decimal(14,2)").alias("old_amount"),
         F.get_json_object("new_values", "$.amount").cast("decimal(14,2)").alias("new_amount")))
 
+# the same log with VARIANT images
+def _variant_audit(spark, d):
+    store = TableStore(spark, _folder(spark, "audit_variant"))
+    store.write_version({"audit_log": CH.as_variant(_once(_loan_audit)(spark, d).read("audit_log"))})
+    return store
+
+
+register("loan_audit_log_variant", REGISTRY["loan_audit_log"][1])(
+    lambda s, d: _once(_variant_audit)(s, d).read("audit_log").select(
+        "log_id", "table_name", "operation", "record_id", "changed_by", "change_time",
+        CH.image_field("old_values", "status").alias("old_status"), CH.image_field("new_values", "status").alias("new_status")))
+register("loan_changes_latest_variant", REGISTRY["loan_changes_latest"][1])(
+    lambda s, d: CH.latest_changes(_once(_variant_audit)(s, d).read("audit_log"), 20).select(
+        "log_id", "record_id", CH.image_field("old_values", "amount", "decimal(14,2)").alias("old_amount"),
+        CH.image_field("new_values", "amount", "decimal(14,2)").alias("new_amount")))
+register("loan_state_as_of_variant", REGISTRY["loan_state_as_of_second"][1])(
+    lambda s, d: CH.state_from_variant(_once(_variant_audit)(s, d).read("audit_log"), F.lit(WH.SECOND_RUN_TS).cast("timestamp_ntz"),
+                                       _op(s, d)["loans"].select("loan_id", *LOAN_DIFF_COLS).schema))
+
 EVENT_ATTRS = ["event_type", "value", "props", "change_time"]
 
 

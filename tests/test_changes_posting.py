@@ -76,3 +76,16 @@ def test_posting_caps_and_splits(spark):
     assert {r.payment_id: r.reason for r in rejects.collect()} == {14: "nothing_to_apply", 31: "unknown_loan"}
     st = {r.loan_id: (r.outstanding_balance, r.status) for r in new_loans.collect()}
     assert st[1] == (Decimal("0.00"), "repaid") and st[2] == (Decimal("87800.00"), "active")
+
+
+def test_variant_images_keep_null_fields(spark):
+    from ledgerline.operators import changes as CH
+    from pyspark.sql import types as T
+    old = spark.createDataFrame([(1, "a", 1.5, None), (2, "b", None, None)], "id long, s string, m double, t timestamp_ntz")
+    new = spark.createDataFrame([(1, None, 2.5, None), (3, "c", None, None)], "id long, s string, m double, t timestamp_ntz")
+    log = CH.as_variant(CH.audit_log(old, new, "id", F.lit("2030-01-01").cast("timestamp_ntz"), "x"))
+    texts = {r.record_id: r.n for r in log.select("record_id", F.to_json("new_values").alias("n")).collect()}
+    assert texts == {1: '{"id":1,"m":2.5,"s":null,"t":null}', 2: None, 3: '{"id":3,"m":null,"s":"c","t":null}'}
+    got = CH.state_from_variant(log, F.lit("2030-01-02").cast("timestamp_ntz"), new.schema)
+    assert sorted(map(tuple, got.collect())) == [(1, None, 2.5, None), (3, "c", None, None)]
+    assert [f.dataType for f in got.schema][:3] == [T.LongType(), T.StringType(), T.DoubleType()]
