@@ -406,6 +406,28 @@ SELECT 'loans' AS table_name,
 FROM s1_loans o FULL OUTER JOIN s2_loans n ON o.loan_id = n.loan_id
 WHERE o.loan_id IS NULL OR n.loan_id IS NULL OR {_distinct}"""))(_loan_changes)
 
+# the same changes, looked for only in key ranges whose digests differ
+def _ranged_loans(spark, d):
+    from ..operators import digests as D
+    from ..sources import ranged as RG
+    src, store = _op(spark, d), TableStore(spark, _folder(spark, "ranged"))
+    versions = [TD.first_snapshot(src)["loans"], TD.second_snapshot(src)["loans"]]
+    width = D.width_for(versions[1], "loan_id", 4096)
+    for v in versions:
+        RG.write(store, {"loans": (v.select("loan_id", *LOAN_DIFF_COLS), "loan_id")}, width)
+    return store
+
+
+def _changes_by_digest(spark, d):
+    from ..sources import ranged as RG
+    return RG.diff(_once(_ranged_loans)(spark, d), "loans", 1, 2, LOAN_DIFF_COLS).select(
+        "table_name", "operation", "record_id", "changed_columns", F.get_json_object("old_values", "$.status").alias("old_status"),
+        F.get_json_object("new_values", "$.status").alias("new_status"))
+
+
+register("loan_changes_by_digest", REGISTRY["loan_changes"][1])(_changes_by_digest)
+
+
 # the loans' audit log over two versions, the second without some loans, stored as an appended table
 def _loan_audit(spark, d):
     src, root = _op(spark, d), _folder(spark, "audit")

@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST_SCHEMA = ("version long, table_name string, path string, row_count long, "
@@ -132,10 +132,10 @@ class TableStore:
 
     def write_buckets(self, table: str, df: DataFrame, version: int, key: str, buckets: int, into: dict | None = None,
                       touched: list[int] | None = None, metrics: dict | None = None, drop: list[str] | None = None,
-                      key_col: str | None = None) -> dict:
+                      key_col: str | None = None, by: Column | None = None) -> dict:
         """Write the rows of the ``touched`` buckets (None: of all) and carry the others of ``into`` over.
 
-        A row's bucket is a hash of ``key``.  The manifest entry lists one directory and its rows per bucket, so
+        A row's bucket is a hash of ``key``, or ``by`` (an integer).  The manifest entry lists one directory and its rows per bucket, so
         a write costs the buckets it touches and the entry's size is bounded by their number.  ``df`` holds
         all rows that the touched buckets have from now on.
         """
@@ -147,12 +147,13 @@ class TableStore:
         observed = observed.drop(*[c for c in (drop or []) if c in df.columns])
         schema = observed.schema
         # a rebalance by bucket makes few files a bucket, and splits a large one
-        observed.withColumn(BUCKET, bucket_of(key, buckets)).hint("rebalance", F.col(BUCKET)).write.mode("errorifexists") \
+        observed.withColumn(BUCKET, bucket_of(key, buckets) if by is None else by).hint("rebalance", F.col(BUCKET)).write.mode("errorifexists") \
             .partitionBy(BUCKET).parquet(path)
         got = obs.get
         held = {}
         if got["rows"]:
-            held = {str(r[BUCKET]): [f"{path}/{BUCKET}={r[BUCKET]}", r["n"]] for r in self.spark.read.schema(schema).parquet(path)
+            folder = lambda b: "__HIVE_DEFAULT_PARTITION__" if b is None else b
+            held = {str(r[BUCKET]): [f"{path}/{BUCKET}={folder(r[BUCKET])}", r["n"]] for r in self.spark.read.schema(schema).parquet(path)
                     .groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).collect()}               # one row per bucket
         if into is not None and touched is not None:
             gone = {str(b) for b in touched}
