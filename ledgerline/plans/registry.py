@@ -306,6 +306,68 @@ for _name, _rules in (("dq_not_null", DQ.NOT_NULL), ("dq_unique", DQ.UNIQUE), ("
     register(f"{_name}_faults", O.spoiled_summary_sql(_rules))(
         (lambda rules: lambda s, d: _spoiled(s, d, rules).select("rule_id", "violations"))(_rules))
 
+# A4: typed rows and rejects of payments that come as text, some of them spoiled
+def _text_payments(spark, d):
+    from ..sources import schemas as S
+    k, p = F.col("payment_id"), _op(spark, d)["payments"]
+    text = {c: F.col(c).cast("string") for c in S.PAYMENTS.names}
+    text["amount"] = F.when(k % 41 == 0, F.concat(text["amount"], F.lit("x"))).otherwise(text["amount"])
+    text["payment_date"] = F.when(k % 43 == 0, F.lit("2030-02-30")).otherwise(text["payment_date"])
+    text["loan_id"] = F.when(k % 47 == 0, F.lit(None)).otherwise(text["loan_id"])
+    text["payment_method"] = F.when(k % 53 == 0, F.lit("m" * 31)).otherwise(text["payment_method"])
+    return p.select(*[v.alias(c) for c, v in text.items()])
+
+
+def _ingest_rejects(spark, d):
+    from ..sources import readers as R
+    from ..sources import schemas as S
+    good, bad = R.ingest_into(_text_payments(spark, d), S.PAYMENTS, _folder(spark, "ingest"), S.PAYMENT_DEFAULTS, S.PAYMENT_LENGTHS)
+    rows = bad.select(F.get_json_object("raw", "$.payment_id").cast("long").alias("payment_id"), F.concat_ws(", ", "reasons").alias("reasons"))
+    return rows.unionByName(good.select("payment_id", F.lit("").alias("reasons")))
+
+
+register("ingest_rejects", O.with_source("""
+SELECT payment_id, concat_ws(', ', CASE WHEN payment_id % 47 = 0 THEN 'loan_id: missing' END,
+       CASE WHEN payment_id % 41 = 0 THEN 'amount: not decimal(14,2)' END,
+       CASE WHEN payment_id % 53 = 0 THEN 'payment_method: longer than 30' END,
+       CASE WHEN payment_id % 43 = 0 THEN 'payment_date: not date' END) AS reasons
+FROM src_payments"""))(_ingest_rejects)
+
+# A1-A3: splits of a parallel extract by the quantiles of a sparse, unevenly spaced key, null keys included
+EXTRACT_SPLITS = 8
+
+
+def _extract_splits(spark, d):
+    from ..sources import readers as R
+    k = F.col("payment_id")
+    # powers of the id crowd the low end; some keys are null
+    keys = _op(spark, d)["payments"].select("payment_id", F.when(k % 100 == 99, F.lit(None)).otherwise(F.pow(k / 1000, 3).cast("long")).alias("key"))
+    predicates = R.split_predicates("key", R.split_points(keys, "key", EXTRACT_SPLITS))
+    hits = keys.select("key", *[F.when(F.expr(p), 1).otherwise(0).alias(f"s{i}") for i, p in enumerate(predicates)])
+    in_one = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(len(predicates))])
+    sizes = hits.agg(F.count("*").alias("rows"), F.sum((in_one == 1).cast("long")).alias("in_one_split"), F.count("key").alias("keys"),
+                     *[F.sum(F.when(F.col("key").isNotNull(), F.col(f"s{i}")).otherwise(0)).alias(f"n{i}") for i in range(len(predicates))])
+    share = F.col("keys") / EXTRACT_SPLITS
+    return sizes.select(F.lit(len(predicates)).alias("splits"), "rows", "in_one_split",
+                        reduce(lambda a, b: a & b, [F.abs(F.col(f"n{i}") / share - 1) <= 0.1 for i in range(len(predicates))]).alias("even"))
+
+
+register("extract_splits", O.with_source(
+    f"SELECT CAST({EXTRACT_SPLITS} AS INTEGER) AS splits, COUNT(*) AS rows, COUNT(*) AS in_one_split, TRUE AS even FROM src_payments"))(_extract_splits)
+
+# I19: defaults of columns that a source leaves out or null
+def _stage_defaults(spark, d):
+    from ..sources import readers as R
+    from ..sources import schemas as S
+    bare = _op(spark, d)["customers"].drop("country", "is_active").withColumn(
+        "segment", F.when(F.col("customer_id") % 5 != 0, F.col("segment")))
+    return R.conform(bare, S.CUSTOMERS, S.CUSTOMER_DEFAULTS).select("customer_id", "city", "country", "segment", "is_active")
+
+
+register("stage_defaults", O.with_source("""
+SELECT customer_id, city, 'Kenya' AS country, ifnull(CASE WHEN customer_id % 5 <> 0 THEN segment END, 'retail') AS segment, TRUE AS is_active
+FROM src_customers"""))(_stage_defaults)
+
 register("dq_populated", O.with_full("\nUNION ALL\n".join(
     f"SELECT '{r.table}' AS table_name, COUNT(*) AS row_count, CAST({r.arg} AS BIGINT) AS min_rows, "
     f"COUNT(*) >= {r.arg} AS passed FROM {O._t(r.table)}" for r in DQ.POPULATED)))(
@@ -917,6 +979,36 @@ register("snapshot_roundtrip", O.with_full("\nUNION ALL\n".join(
                                 "fact_loans"))))(_snapshot_roundtrip)
 
 
+# three exports of a chain: after the first run, after the second, and again; and what each one restores
+def _snapshot_chain(spark, d):
+    from ..sources.chain import SnapshotChain
+    from ..sources.snapshot import TARGETS
+    root, store = _folder(spark, "chain"), WH.built(spark, d, "incremental")
+    chain, parts = SnapshotChain(spark, root), []
+    for label, version in (("first", 1), ("second", 2), ("again", 2)):
+        chain.export(store, label, TARGETS["warehouse"], version)
+    for label in chain.snapshots():
+        back = chain.restore(label, TableStore(spark, f"{root}/restored_{label}"))
+        parts.append(chain.summary(label).join(back, "table_name").select(F.lit(label).alias("snapshot"), "table_name", "copied_rows", "rows_restored"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _chain_sql() -> str:
+    n = lambda t: f"(SELECT COUNT(*) FROM {t})"
+    rows = []
+    for t in ("dim_customer", "dim_loan", "fact_loans", "fact_payments"):
+        new = n("r2_" + t) + (" - " + n("r1_" + t) if t == "fact_payments" else "")
+        rows += [("first", t, n("r1_" + t), n("r1_" + t)), ("second", t, new, n("r2_" + t)), ("again", t, "0", n("r2_" + t))]
+    for t, again in (("loan_products", True), ("dim_date", False), ("dim_payment_method", False)):
+        name = "dim_product" if t == "loan_products" else t
+        rows += [("first", name, n(t), n(t)), ("second", name, n(t) if again else "0", n(t)), ("again", name, "0", n(t))]
+    return O.with_incremental("\nUNION ALL\n".join(
+        f"SELECT '{a}' AS snapshot, '{t}' AS table_name, CAST({c} AS BIGINT) AS copied_rows, CAST({r} AS BIGINT) AS rows_restored" for a, t, c, r in rows))
+
+
+register("snapshot_chain", _chain_sql())(_snapshot_chain)
+
+
 def _snapshot_list(spark, d):
     import uuid
     from ..session import scratch_path
@@ -962,6 +1054,13 @@ SELECT CAST(2 AS BIGINT), (SELECT COUNT(*) FROM r2_fp_new) + (SELECT COUNT(*) FR
        (SELECT COUNT(*) FROM r2_stg_customers) + (SELECT COUNT(*) FROM r2_stg_loans), 'success', NULL
 ORDER BY run_id DESC LIMIT 10"""))(_run_history)
 
+# I16: runs are stamped with the clock, not with the run's parameter
+register("run_clock", O.with_source("""
+SELECT CAST(run AS BIGINT) AS run_id, TRUE AS in_order, TRUE AS before_now FROM range(1, 3) t(run) WHERE (SELECT COUNT(*) FROM src_payments) > 0"""))(
+    lambda s, d: RunLog(s, WH.built(s, d, "incremental").root).runs().select(
+        "run_id", (F.col("run_started_at") <= F.col("run_finished_at")).alias("in_order"),
+        (F.col("run_finished_at") <= F.current_timestamp().cast("timestamp_ntz")).alias("before_now")))
+
 register("freshness", O.with_full("\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, CASE WHEN COUNT(*) > 0 THEN {O.RUN1} END AS last_loaded_at, "
     f"CASE WHEN COUNT(*) > 0 THEN CAST(86400 AS DOUBLE) END AS lag_seconds FROM {t}"
