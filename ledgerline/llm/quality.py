@@ -2,12 +2,15 @@
 
 Two generative models are counts of hashed n-grams: the target model over
 labelled good documents (a bounded sample), the raw model over all documents.
-A document's log weight is the sum over its n-grams of the log ratio of the
-two, over the square root of their number (n-grams of one text are not
-independent, and long texts would drown in chance); adding Gumbel noise and taking the k largest keys draws k documents
-without replacement, each in proportion to its weight.  k is the number of
-documents whose log weight reaches a cut that separates good from bad best on
-labelled documents that the target model has not seen.
+A document's log weight is the logarithm of the ratio of the probabilities that the
+two give it: the sum over its n-grams of the log ratios.  Adding Gumbel noise and taking the k
+largest keys draws k documents without replacement, each in proportion to its
+weight.  k is the number of documents whose log weight reaches a cut that
+separates good from bad best on labelled documents that the target model has not seen.
+
+``Shaping`` is an option for small corpora, in which groups of copies shift the counts of
+either model: it sets small log ratios to 0 and divides the sum by the square root
+of the n-grams.  Shaped draws are no longer in proportion to the ratio of the models.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +30,18 @@ from .common import discard, free_name, materialise, summed_vectors, text_of
 GRAM = 5
 BUCKETS = 1 << 17
 SMOOTHING = 0.5
-#: Log ratios this close to 0 count as 0: groups of copies shift the counts of either model by so much.
-DEAD_ZONE = 0.3
-#: Times the sum over the square root of the n-grams, so that Gumbel noise matters only close to the cut.
-SHARPNESS = 8.0
 #: At most so many labelled rows fit the target model and the cut.
 MOST_LABELLED = 20_000
 CHUNK = 4 << 20
 
 
+@dataclass(frozen=True)
+class Shaping:
+    """Log ratios within ``dead_zone`` of 0 count as 0; sums are divided by the square root of the n-grams and multiplied by ``sharpness``."""
+    dead_zone: float = 0.3
+    sharpness: float = 8.0
+
+
 def grams(texts: list[bytes], n: int = GRAM, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text number) of every n-gram of bytes within a text."""
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -49,16 +56,23 @@ def grams(texts: list[bytes], n: int = GRAM, buckets: int = BUCKETS) -> tuple[np
     return bucket[inside], owner[:len(key)][inside]
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK bytes; a longer text is a range of its own."""
-    lo, size = 0, 0
+def chunks(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(text numbers, pieces) of about CHUNK bytes together.  A longer text is cut into pieces
+    that overlap so far that each n-gram lies in exactly one, so memory does not follow the longest text."""
+    owners: list[int] = []
+    parts: list[bytes] = []
+    size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
-            yield lo, i
-            lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        for at in range(0, max(len(t) - GRAM + 1, 1), CHUNK):
+            part = t[at:at + CHUNK + GRAM - 1]
+            if size and size + len(part) > CHUNK:
+                yield owners, parts
+                owners, parts, size = [], [], 0
+            owners.append(i)
+            parts.append(part)
+            size += len(part)
+    if parts:
+        yield owners, parts
 
 
 def as_bytes(column) -> list[bytes]:
@@ -71,27 +85,28 @@ def gram_counts(texts: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            data = as_bytes(batch.column(0))
-            for lo, hi in chunks(data):
-                total += np.bincount(grams(data[lo:hi])[0], minlength=BUCKETS)
+            for _, parts in chunks(as_bytes(batch.column(0))):
+                total += np.bincount(grams(parts)[0], minlength=BUCKETS)
         return total
     return summed_vectors(texts, count, BUCKETS)
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+def log_ratio(target: np.ndarray, raw: np.ndarray, shaping: Shaping | None = None) -> np.ndarray:
     def model(counts):
         return np.log((counts + SMOOTHING) / (counts.sum() + SMOOTHING * len(counts)))
     ratio = model(target) - model(raw)
-    return np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD_ZONE, 0)
+    return ratio if shaping is None else np.sign(ratio) * np.maximum(np.abs(ratio) - shaping.dead_zone, 0)
 
 
-def log_weights(texts: list[bytes], ratio: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(texts))
-    for lo, hi in chunks(texts):
-        bucket, owner = grams(texts[lo:hi])
-        sums, n = np.bincount(owner, weights=ratio[bucket], minlength=hi - lo), np.bincount(owner, minlength=hi - lo)
-        out[lo:hi] = SHARPNESS * sums / np.sqrt(np.maximum(n, 1))
-    return out
+def log_weights(texts: list[bytes], ratio: np.ndarray, shaping: Shaping | None = None) -> np.ndarray:
+    """The sum of the log ratios of each text's n-grams; a text without any has 0."""
+    sums, n = np.zeros(len(texts)), np.zeros(len(texts))
+    for owners, parts in chunks(texts):
+        bucket, owner = grams(parts)
+        text = np.array(owners)[owner]
+        sums += np.bincount(text, weights=ratio[bucket], minlength=len(texts))
+        n += np.bincount(text, minlength=len(texts))
+    return sums if shaping is None else shaping.sharpness * sums / np.sqrt(np.maximum(n, 1))
 
 
 def gumbel(ids: list, texts: list[bytes], seed: int) -> np.ndarray:
@@ -140,11 +155,11 @@ def kth_largest(scores: DataFrame, column: str, k: int, bins: int = 4096) -> flo
 class Sampler:
     """A fitted model: ``ratio`` and the smallest key that is kept."""
 
-    def __init__(self, ratio: np.ndarray, least: float, seed: int):
-        self.ratio, self.least, self.seed = ratio, least, seed
+    def __init__(self, ratio: np.ndarray, least: float, seed: int, shaping: Shaping | None = None):
+        self.ratio, self.least, self.seed, self.shaping = ratio, least, seed, shaping
 
     def keys(self, ids: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        weights = log_weights(texts, self.ratio)
+        weights = log_weights(texts, self.ratio, self.shaping)
         return weights, weights + gumbel(ids, texts, self.seed)
 
 
@@ -162,13 +177,14 @@ def scored(docs: DataFrame, sampler: Sampler, id_col: str, text_col: str) -> Dat
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        most_labelled: int = MOST_LABELLED, keep: int | None = None, seed: int = 7) -> Sampler:
+        most_labelled: int = MOST_LABELLED, keep: int | None = None, seed: int = 7,
+        shaping: Shaping | None = None) -> Sampler:
     """Fit both models, the cut, and the key of the last document that is kept.
 
     ``labels``: (id, label 1 good or 0 bad); rows with null are no labels, and
     an id with both counts as bad.  ``most_labelled`` rows with the smallest
     hashes are used, half of them for the target model, half for the cut.
-    ``keep``: the number of documents to draw instead of the cut's.  Without good
+    ``keep``: the number of documents to draw instead of the cut's.  ``shaping``: see ``Shaping``.  Without good
     labels every weight is 0 and all documents stay.
     """
     spark = docs.sparkSession
@@ -182,13 +198,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     half = F.pmod(F.shiftright("pick", 7), F.lit(2))
     target = gram_counts(sample.filter((F.col("good") == 1) & (half == 0)).select("text"))
     if not target.sum():
-        return Sampler(np.zeros(BUCKETS), -math.inf, seed)
-    ratio = log_ratio(target, gram_counts(text.select("text")))
-    sampler = Sampler(ratio, -math.inf, seed)
+        return Sampler(np.zeros(BUCKETS), -math.inf, seed, shaping)
+    ratio = log_ratio(target, gram_counts(text.select("text")), shaping)
+    sampler = Sampler(ratio, -math.inf, seed, shaping)
     scores = materialise(scored(docs, sampler, id_col, text_col), "scores")
     if keep is None:
-        held = scores.join(F.broadcast(known), F.col("id") == F.col("known_id")).filter(half == 1).dropDuplicates(["id"])
-        rows = held.select("log_weight", "good").collect()           # at most ``most_labelled`` rows
+        held = scores.join(F.broadcast(known), F.col("id") == F.col("known_id")).filter(half == 1)
+        # rows that repeat an id count once, with the least weight
+        rows = held.groupBy("id").agg(F.min("log_weight").alias("log_weight"), F.min("good").alias("good")).select("log_weight", "good").collect()           # at most ``most_labelled`` rows
         cut = best_cut(np.array([r[0] for r in rows]), np.array([r[1] == 1 for r in rows], bool)) if rows else -math.inf
         keep = scores.filter(F.col("log_weight") >= cut).count()
     if keep <= 0:
