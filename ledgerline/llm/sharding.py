@@ -44,10 +44,10 @@ def write_shards(docs: DataFrame, shards: int, path: str, id_col: str = "doc_id"
 
     Shards need ids that are unique; repeated ids raise no error, their rows share the smallest shard of the id.
     """
-    size = free_name(docs, "size")
+    size, to_id = free_name(docs, "size"), free_name(docs, "to_id")
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), size_of(text_col).alias(size))
-    to = (assign_shards(slim, shards, "id", size).groupBy(F.col("id").alias("to_id"))
+    to = (assign_shards(slim, shards, "id", size).groupBy(F.col("id").alias(to_id))
           .agg(F.min("shard").alias("shard"), F.min("slot").alias("slot")))
-    out = docs.drop("shard", "slot").join(to, F.col(f"`{id_col}`").eqNullSafe(F.col("to_id"))).drop("to_id")
+    out = docs.drop("shard", "slot").join(to, F.col(f"`{id_col}`").eqNullSafe(F.col(to_id))).drop(to_id)
     (out.repartition(shards * writers, "shard", F.pmod(F.floor(F.col("slot") / 64), F.lit(writers)))
      .sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path))

@@ -38,3 +38,10 @@ def test_written_shards_hold_every_row(spark, tmp_root):
     assert back.count() == 200 and back.select("shard").distinct().count() == 4
     ids = [sorted(r.doc_id for r in back.filter(f"shard = {k}").collect()) for k in range(4)]
     assert sum(ids, []) == list(range(200))                                    # contiguous
+
+
+def test_written_shards_of_a_table_with_clashing_columns(spark, tmp_root):
+    df = spark.createDataFrame([(i, "t" * i, i, i, i) for i in range(40)], "doc_id long, text string, to_id int, size int, id int")
+    S.write_shards(df, 3, f"{tmp_root}/shards", writers=2)
+    back = spark.read.parquet(f"{tmp_root}/shards")
+    assert sorted((r.doc_id, r.to_id, r.size, r.id) for r in back.collect()) == [(i, i, i, i) for i in range(40)]
