@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, summed_vectors
+from .common import free_name, materialise, numbered, running_totals, summed_vectors
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -378,7 +378,7 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(doc, class, links) for ``docs`` (doc, text): ``links`` counts the links found of the document's text to other texts."""
+    """(doc, class) for ``docs`` (doc, text).  The links found span each class; they are not all of its pairs, so none are counted."""
     spark = docs.sparkSession
     copies = representatives(docs)
     later = copies.filter("doc != rep").select("doc")
@@ -397,21 +397,18 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
             break
         members, pairs = next_round(open_)
         found = links_of(materialise(pairs, "candidates"), sets, threshold)
-        links, labels = links.unionByName(found), components(found, labels)
+        labels = components(found, labels)
         open_ = split_buckets(members, labels)
     if not open_.isEmpty():
         found = links_in_blocks(open_, sets, threshold)
-        links, labels = links.unionByName(found), components(found, labels)
-    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    degree = pairs.select("a").union(pairs.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("text_doc")).agg(F.count("*").alias("links"))
+        labels = components(found, labels)
     reps = docs.select("doc").join(copies, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("text_doc"))
-    known = materialise(labels.withColumnRenamed("doc", "text_doc").join(degree, "text_doc", "left"), "classes")
-    return reps.join(known, "text_doc", "left").select(
-        "doc", F.coalesce("class", "text_doc").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    known = labels.withColumnRenamed("doc", "text_doc")
+    return reps.join(known, "text_doc", "left").select("doc", F.coalesce("class", "text_doc").alias("class"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per document: id, class_id (the smallest id of its class), links, kept (one row of each class).
+    """One row per document: id, class_id (the smallest id of its class), kept (one row of each class).
 
     Words are what ASCII white space parts, in lower case.  Texts of fewer
     than five words are one shingle, so only those of the same words are near copies; texts without
@@ -422,13 +419,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     kept = F.col("doc") == F.col("class")
     if plain:
         kind = docs.schema["id"].dataType
-        return found.select(F.col("doc").cast(kind).alias("id"), F.col("class").cast(kind).alias("class_id"), "links", kept.alias("kept"))
+        return found.select(F.col("doc").cast(kind).alias("id"), F.col("class").cast(kind).alias("class_id"), kept.alias("kept"))
     names = docs.select(F.col("doc").alias("class"), F.col("id").alias("class_id"))
-    return docs.select("doc", "id").join(found, "doc").join(names, "class").select("id", "class_id", "links", kept.alias("kept"))
+    return docs.select("doc", "id").join(found, "doc").join(names, "class").select("id", "class_id", kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class, all columns as they were; ids must be unique to tell rows apart."""
-    found = classes(docs, id_col, text_col, threshold)
-    gone = materialise(found.groupBy("id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("id").alias("gone_id")), "gone")
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("gone_id")), "left_anti")
+    """``docs`` with one document of each class, the one of the smallest id, all columns as they were.
+
+    Rows that share an id are rows of their own: of those in one class the first in input order stays.
+    """
+    gone_id = free_name(docs, "gone_id")
+    if docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long") and \
+            docs.groupBy(F.col(f"`{id_col}`").alias("id")).count().filter("count > 1 OR id IS NULL").isEmpty():
+        gone = materialise(classes(docs, id_col, text_col, threshold).filter(~F.col("kept")).select(F.col("id").alias(gone_id)), "gone")
+        return docs.join(gone, F.col(f"`{id_col}`") == F.col(gone_id), "left_anti")
+    # rows are told apart by their place in the order of (id, input)
+    place, rank = (free_name(docs, n) for n in ("place", "rank"))
+    stored = materialise(docs.withColumn(place, F.monotonically_increasing_id()), "rows")
+    ranks, _ = running_totals(stored.select(F.col(f"`{id_col}`").alias("id"), F.col(place).alias("at"), F.lit(1).alias("one")), ["id", "at"], {"rank": "one"})
+    ranked = materialise(stored.join(ranks.select(F.col("at").alias(place), F.col("rank").alias(rank)), place), "ranked")
+    gone = materialise(classes(ranked, rank, text_col, threshold).filter(~F.col("kept")).select(F.col("id").alias(gone_id)), "gone")
+    return ranked.join(gone, F.col(rank) == F.col(gone_id), "left_anti").select(*docs.columns)

@@ -1,5 +1,6 @@
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -114,3 +115,69 @@ def test_given_documents(spark):
     want = plain_classes(spark, rows)
     got = N.classes(spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)).collect()
     assert {r.id: r.class_id for r in got} == want
+
+
+def weights_of(texts):
+    """Shingles with count times inverse document frequency, by the words themselves."""
+    grams = []
+    for t in texts:
+        w = t.lower().split()
+        grams.append(Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))))
+    df = Counter(g for c in grams for g in c)
+    return [{g: n * (1 + math.log((1 + len(texts)) / (1 + df[g]))) for g, n in c.items()} for c in grams]
+
+
+def plain_links(texts):
+    """Weighted Jaccard similarity of every pair, from the definition."""
+    sets = weights_of(texts)
+    out = {}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            low = sum(min(x, b.get(g, 0)) for g, x in a.items())
+            out[j, i] = low / (sum(a.values()) + sum(b.values()) - low)
+    return out
+
+
+@pytest.mark.parametrize("size", [2, 6, 7, 12, 200])
+def test_groups_of_near_copies_against_exact_similarities(spark, size):
+    rng = random.Random(size)
+    words = [f"w{i}" for i in range(5000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    base, rows = text(400), []
+    for i in range(size):
+        w = list(base)
+        w[(i * 2) % 400] = f"edit{i}"
+        rows.append((1000 - i, " ".join(w)))
+    rows += [(2000 + i, " ".join(base[:60] + text(300))) for i in range(5)] + [(3000 + i, " ".join(text(rng.randint(5, 350)))) for i in range(40)]
+    long = text(6000)
+    rows += [(4000, " ".join(long)), (4001, " ".join(long[:-3] + ["x", "y", "z"]))]
+    similar = plain_links([t for _, t in rows])
+    assert not [s for s in similar.values() if 0.75 < s < 0.82]                # no pair whose class a rounding could decide
+    label = {i: i for i, _ in rows}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+    for (j, i), s in similar.items():
+        if s >= N.SIMILARITY:
+            a, b = sorted((root(rows[i][0]), root(rows[j][0])))
+            label[b] = a
+    label = {i: root(i) for i in label}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.id: r.class_id for r in N.classes(df).collect()}
+    assert got == label                                                        # the class's id is its smallest
+
+
+def test_drop_with_clashing_columns_and_repeated_ids(spark):
+    t = "one text of more than five words that is here more than once"
+    other = "an altogether different text with words that the first one lacks"
+    schema = "doc_id long, text string, gone_id int, place int, rank int, id int, kept int"
+    unique = spark.createDataFrame([(1, t, 1, 1, 1, 1, 1), (2, t + " ", 2, 2, 2, 2, 2), (3, other, 3, 3, 3, 3, 3)], schema)
+    assert sorted(map(tuple, N.drop_near_copies(unique).collect())) == [(1, t, 1, 1, 1, 1, 1), (3, other, 3, 3, 3, 3, 3)]
+    rows = [(5, t, 1, 1, 1, 1, 1), (5, t, 1, 1, 1, 1, 2), (5, other, 1, 1, 1, 1, 3), (None, None, 1, 1, 1, 1, 4), (None, t, 1, 1, 1, 1, 5), (9, "", 1, 1, 1, 1, 6)]
+    out = N.drop_near_copies(spark.createDataFrame(rows, schema).coalesce(1))
+    assert out.columns == unique.columns
+    assert sorted(r.kept for r in out.collect()) == [3, 4, 5]                  # null ids come first, equal texts are one class
+    assert N.drop_near_copies(unique.limit(0)).collect() == []
