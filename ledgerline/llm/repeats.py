@@ -1,28 +1,28 @@
-"""Repeated passages by two-stage suffix sorting over sampled suffixes.
+"""Repeated passages by two-stage suffix sorting, of the suffixes that may repeat.
 
 A byte of a document is removed if a string of ``length`` bytes that covers it
-also starts earlier in the corpus.  Only suffixes whose first gram (32 bytes)
-is smaller, by hash, than the grams at their successors are sorted directly:
-of every string of ``length`` bytes, the suffix at its smallest gram, its
-anchor.  That is one suffix in some 35.  All other suffixes are induced: a
-string's class follows from its anchor's bucket and the bytes around it.
-
-1. Tasks find the anchors of their texts.  The strings that share an anchor
-   start in a run; anchor, run and the bytes that the run's strings cover
-   (the context) make one entry.
-2. Entries meet by anchor and are sorted by anchor, context, document and start; neighbours
-   with equal anchor and context share a prefix long enough for every string
-   of the run, so all but the first are repeats.  Anchors that occur once end there.
-3. Anchors with several contexts, at the ends of repeats: there the strings of
-   the first entry of each context are themselves sorted and neighbours compared.
+also starts earlier in the corpus.  Strings are suffixes cut at ``length`` bytes:
+equal ones are neighbours in sorted order, with a common prefix of ``length`` bytes.
+
+1. Which suffixes may repeat.  Tasks find, for every string, its smallest gram of 32
+   bytes by hash, its anchor; the strings that share one start in a run, and the
+   bytes that they cover are the run's context.  Anchor, run and context make one entry.
+2. Entries meet by anchor.  An anchor that occurs once ends there; entries of one anchor and
+   context are equal strings throughout, so all but the first are repeats.  Left over
+   are runs of anchors with several contexts, at the ends of repeats.
+3. The suffixes of those runs are sorted in two stages.  Only those smaller than their
+   successors (the suffix one byte on) are sorted directly, by bytes: they meet in buckets by
+   their first bytes, and the common prefixes of neighbours are computed.  A suffix larger than
+   its successor is induced: it consists of the bytes up to the next smaller suffix, and
+   of that one.  A scan over each bucket's sorted suffixes gives two induced suffixes
+   the same place if those bytes are the same and the common prefix of the
+   suffixes they lead to fills the rest of ``length``.
 4. Each document's spans are united and cut out.
 
-The order is that of hashes (64 bits of the anchor, 128 of a string), not of
-bytes: repeats need equal neighbours only, and sorting the half of all
-suffixes that are smaller than their successors by bytes would shuffle many times the text.
-Equal entries of one task are reduced to the first before they travel, and an
+Entries and strings that are equal within one task are reduced to the first before they travel, and an
 anchor with many contexts in one task goes to step 3 at once, so a passage
-that a third of the documents hold sends a few entries a task.
+that a third of the documents hold sends a few entries a task.  Steps 1 and 2 and that reduction compare hashes
+(64 bits of anchor and context, 128 of a string), step 3 compares bytes.
 """
 
 from __future__ import annotations
@@ -43,15 +43,22 @@ CHUNK = 2 << 20
 BUCKET = 32 << 20
 #: Entries that wait in a task before they are sorted and sent.
 MOST_ENTRIES = 1 << 20
+#: Text that waits with them.
+MOST_TEXT = 32 << 20
 #: Contexts of one anchor in one task from which they go to step 3 without being sent.
 MANY = 8
 
 U = np.uint64
 ENTRY = np.dtype([("anchor", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("many", "<i4")])
-STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<i4")])
+STRING = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("near", "<i8")])      # near: where its chunk holds it
+#: A smaller suffix that is sorted: where it is, and a bit for each string that it stands for (itself, and those 1, 2, ... bytes before).
+SMALLER = np.dtype([("doc", "<i8"), ("at", "<i4"), ("stands", "<u8")])
+#: Most bytes from an induced suffix to the smaller one that it leads to; suffixes farther off are sorted directly.
+LEAD = 32
 RUN = np.dtype([("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("open", "<i4")])      # open: step 3 decides
 RUNS = "doc long, open boolean, data binary"
 KIND = "bucket int, runs boolean, data binary"
+SORTED = "bucket int, runs boolean, data binary, keys binary, leads binary"
 
 _RNG = np.random.default_rng(20_231)
 BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -247,7 +254,7 @@ def find_entries(length: int, buckets: int):
 
 
 def decide(dtype: np.dtype, decision):
-    """Steps 2 and 3, over (bucket, runs, data): whole buckets in, (doc, data) of runs out."""
+    """Step 2, over (bucket, runs, data): whole buckets in, (doc, data) of runs out."""
 
     def task(batches):
         buckets: dict[int, list[bytes]] = {}
@@ -270,17 +277,97 @@ def runs_in(column) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(x), RUN) if x else np.zeros(0, RUN) for x in column.to_pylist()]
 
 
+def next_smaller(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each position the next one, itself included, whose suffix is smaller than its successor's; -1 where none is left in the text.
+
+    A text's end is smaller than any byte.
+    """
+    n = len(data)
+    ends = np.zeros(n + 1, bool)
+    ends[starts + sizes] = True
+    after = np.concatenate([data[1:].astype(np.int16), [0]])
+    after[ends[1:]] = -1                                                       # of the last byte of a text
+    step = np.sign(after - data)                                              # 1: smaller by the first byte, 0: as its successor
+    at = np.arange(n)
+    decided = np.minimum.accumulate(np.where(step != 0, at, n)[::-1])[::-1]     # a text's last byte is decided, so this stays in the text
+    smaller = step[decided] > 0
+    nxt = np.minimum.accumulate(np.where(smaller, at, n)[::-1])[::-1]
+    last = np.repeat(starts + sizes, sizes)
+    return np.where(nxt < last, nxt, -1)
+
+
+def smaller_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, text: np.ndarray, at: np.ndarray, length: int, nxt: np.ndarray):
+    """(text, place, stands, keys, leads): the smaller suffixes that the strings at ``at`` (rising, in their texts) lead to.
+
+    ``keys``: their first ``length`` bytes, ``leads``: the LEAD bytes before, a row a suffix, zeros past the text.
+    """
+    where = starts[text] + at
+    to = nxt[where]
+    far = (to < 0) | (to - where > LEAD)
+    to = np.where(far, where, to)                                             # sorted directly
+    order = np.argsort(to, kind="stable")
+    text, where, to = text[order], where[order], to[order]
+    first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+    stands = np.bitwise_or.reduceat(U(1) << (to - where).astype(U), first)
+    text, to = text[first], to[first]
+    keys = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(length, np.uint8)]), length)[to]
+    leads = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(LEAD, np.uint8), data]), LEAD)[to]
+    end, begin = (starts + sizes)[text], starts[text]
+    for i in np.flatnonzero(to + length > end):
+        keys[i, end[i] - to[i]:] = 0
+    for i in np.flatnonzero(to - LEAD < begin):
+        leads[i, :LEAD - (to[i] - begin[i])] = 0
+    return text, to - starts[text], stands, keys, leads
+
+
+def word(rows: np.ndarray, start: int = 0) -> np.ndarray:
+    """Eight bytes of each row as a number that orders like them."""
+    return np.ascontiguousarray(rows[:, start:start + 8]).view(">u8")[:, 0].astype(U)
+
+
+def sorted_by_bucket(rows: np.ndarray, keys: np.ndarray, leads: np.ndarray, length: int, buckets: int) -> pa.RecordBatch:
+    """One row per bucket, with its smaller suffixes.  A bucket holds all suffixes of the same first length - LEAD bytes,
+    so strings that lead to them and are equal meet."""
+    h = np.zeros(len(keys), U)
+    for i in range(0, length - LEAD - 7, 8):
+        h = mixed(h * U(3) + word(keys, i))
+    bucket = (h % U(buckets)).astype(np.int64)
+    order = np.lexsort((word(keys), bucket))
+    rows, keys, leads, bucket = rows[order], keys[order], leads[order], bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    cuts = list(zip(first, [*first[1:], len(rows)], strict=True))
+    packed = lambda x: pa.array([pa.compress(x[i:j].tobytes(), "zstd", asbytes=True) for i, j in cuts], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), False)), pa.array([rows[i:j].tobytes() for i, j in cuts], pa.binary()),
+         packed(keys), packed(leads)], names=["bucket", "runs", "data", "keys", "leads"])
+
+
 def find_strings(length: int, buckets: int):
-    """Step 3, over (doc, text, data): the strings of open runs."""
+    """Step 3, over (doc, text, data): the smaller suffixes that the strings of open runs lead to."""
 
     def task(batches):
-        waiting, n = [], 0
+        waiting, chunks, n, held = [], [], 0, 0
 
         def send():
             strings, runs = repeated_strings(np.concatenate(waiting))
+            parts = []
+            for c, (docs, data, starts, sizes) in enumerate(chunks):
+                mine = strings[strings["near"] >> 32 == c]
+                mine = mine[np.lexsort((mine["at"], mine["near"]))]
+                if len(mine):
+                    text = (mine["near"] & 0xFFFFFFFF).astype(np.int64)
+                    text, at, stands, keys, leads = smaller_suffixes(data, starts, sizes, text, mine["at"].astype(np.int64), length,
+                                                                    next_smaller(data, starts, sizes))
+                    rows = np.zeros(len(text), SMALLER)
+                    rows["doc"], rows["at"], rows["stands"] = docs[text], at, stands
+                    parts.append((rows, keys, leads))
             waiting.clear()
-            yield by_bucket(strings, mixed(strings["a"] + mixed(strings["b"])) % U(buckets), False)
-            yield by_bucket(runs, mixed(runs["doc"].astype(U)) % U(buckets), True)
+            chunks.clear()
+            if parts:
+                yield sorted_by_bucket(*[np.concatenate(x) for x in zip(*parts, strict=True)], length, buckets)
+            known = by_bucket(united(runs), mixed(united(runs)["doc"].astype(U)) % U(buckets), True)
+            none = pa.nulls(len(known), pa.binary())
+            yield pa.RecordBatch.from_arrays([*known.columns, none, none], names=["bucket", "runs", "data", "keys", "leads"])
         for batch in batches:
             docs = batch.column(0).to_numpy()
             texts = [t.encode() for t in batch.column(1).to_pylist()]
@@ -296,17 +383,78 @@ def find_strings(length: int, buckets: int):
                 at = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(spans["lo"].astype(np.int64), count)
                 strings = np.zeros(len(at), STRING)
                 strings["a"], strings["b"] = Hashes(data, length).strings(starts[text] + at)
-                strings["doc"], strings["at"] = docs[lo + text], at
+                strings["doc"], strings["at"], strings["near"] = docs[lo + text], at, len(chunks) << 32 | text
                 waiting.append(strings)
-                n += len(strings)
-                if n >= MOST_ENTRIES:
+                chunks.append((docs[lo:lo + len(sizes)], data, starts, sizes))
+                n, held = n + len(strings), held + len(data)
+                if n >= MOST_ENTRIES or held >= MOST_TEXT:
                     yield from send()
-                    n = 0
+                    n = held = 0
         if n:
             yield from send()
     return task
 
 
+def common_prefixes(keys: np.ndarray) -> np.ndarray:
+    """Of each row with the one before, in bytes; 0 for the first."""
+    out = np.zeros(len(keys), np.int64)
+    for i in range(1, len(keys), 1 << 18):                                     # a bounded table of comparisons
+        j = min(len(keys), i + (1 << 18))
+        other = keys[i:j] != keys[i - 1:j - 1]
+        out[i:j] = np.where(other.any(axis=1), other.argmax(axis=1), keys.shape[1])
+    return out
+
+
+def induced(rows: np.ndarray, keys: np.ndarray, leads: np.ndarray, length: int) -> np.ndarray:
+    """Runs of the strings of one bucket that start earlier, too: direct sort of the smaller suffixes, then a scan for those that lead to them."""
+    order = np.argsort(np.ascontiguousarray(keys).view(f"S{length}")[:, 0], kind="stable")
+    rows, keys, leads = rows[order], keys[order], leads[order]
+    common = common_prefixes(keys)
+    found = []
+    for lead in range(LEAD + 1):
+        mine = np.flatnonzero(rows["stands"] >> U(lead) & U(1))
+        if not len(mine):
+            continue
+        place = np.cumsum(common < length - lead)[mine]                        # the same where the common prefix fills the rest
+        doc, at = rows["doc"][mine], rows["at"][mine] - lead
+        words = [word(np.where(np.arange(LEAD - 8 * i - 8, LEAD - 8 * i) >= LEAD - lead, leads[mine, LEAD - 8 * i - 8:LEAD - 8 * i], 0).astype(np.uint8))
+                 for i in range(-(-lead // 8))]
+        order = np.lexsort((at, doc, *words, place))
+        new = np.concatenate([[True], place[order][1:] != place[order][:-1]])
+        for w in words:
+            new[1:] |= w[order][1:] != w[order][:-1]
+        again = order[~new]
+        runs = np.zeros(len(again), RUN)
+        runs["doc"], runs["lo"], runs["hi"] = doc[again], at[again], at[again]
+        found.append(runs)
+    return united(np.concatenate(found)) if found else np.zeros(0, RUN)
+
+
+def sort_buckets(length: int):
+    """Step 3, over (bucket, runs, data, keys, leads): whole buckets in, (doc, data) of runs out."""
+
+    def unpacked(parts: list[bytes], n: list[int], width: int) -> np.ndarray:
+        raw = [pa.decompress(p, k * width, "zstd", asbytes=True) for p, k in zip(parts, n, strict=True)]
+        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
+
+    def task(batches):
+        buckets: dict[int, list[tuple]] = {}
+        for batch in batches:
+            known = []
+            for bucket, runs, *data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if runs:
+                    known.append(np.frombuffer(data[0], RUN))
+                else:
+                    buckets.setdefault(bucket, []).append(data)
+            if known:
+                yield run_rows(np.concatenate(known))
+        while buckets:
+            data, keys, leads = zip(*buckets.popitem()[1], strict=True)
+            n = [len(d) // SMALLER.itemsize for d in data]
+            yield run_rows(induced(np.frombuffer(b"".join(data), SMALLER), unpacked(keys, n, length), unpacked(leads, n, LEAD), length))
+    return task
+
+
 def spans_of(runs: np.ndarray, length: int) -> list[tuple[int, int]]:
     """(start, end) of the bytes that the strings of the runs cover, those that touch as one."""
     out: list[tuple[int, int]] = []
@@ -360,8 +508,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # one row per document with what is known of it: bounded by the document
     own = lambda rows: rows.groupBy("doc").agg(F.collect_list("data").alias("data"))
     texts = docs.select("doc", "text").join(own(runs.filter("open")), "doc")
-    strings = texts.select("doc", "text", "data").mapInArrow(find_strings(length, buckets), KIND)
-    more = strings.repartition(buckets, "bucket").mapInArrow(decide(STRING, lambda s: repeated_strings(s)[1]), RUNS)
+    strings = texts.select("doc", "text", "data").mapInArrow(find_strings(length, buckets), SORTED)
+    more = strings.repartition(buckets, "bucket").mapInArrow(sort_buckets(length), RUNS)
     more = materialise(more, "runs")
     known = own(runs.unionByName(more))
     kind = docs.schema["id"].dataType.simpleString()

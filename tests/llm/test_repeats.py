@@ -47,6 +47,7 @@ def made(rng, n):
 
 @pytest.mark.parametrize("many", [R.MANY, 0])
 def test_against_plain_version(spark, many, monkeypatch):
+    monkeypatch.setattr(R, "MANY", many)
     rows = made(random.Random(3), 300) + [(5000, None), (5001, ""), (5002, "a" * 99), (5003, "q" * 60_000)]
     check(spark, rows)
 
@@ -105,3 +106,54 @@ def test_longest_strings_against_plain_version(spark, length, many, monkeypatch)
         at = rng.randrange(300)
         rows.append((2000 + i, base[:at] + "#" + base[at + 1:]))
     check(spark, rows, length)
+
+
+def texts_of(rng, n):
+    """Texts over few letters, with runs of one letter and of falling ones, NULs and ends in the middle of a repeat."""
+    some = [rng.choice(["", "a", "b" * 50, "zyxwvutsrqponmlkjihgfedcba" * 4, "ab" * 30, "\0" * 40, "".join(rng.choice("ab") for _ in range(130))]) for _ in range(9)]
+    return ["".join(rng.choice(some) for _ in range(rng.randint(0, 6))).encode() for _ in range(n)]
+
+
+def test_next_smaller_suffix_against_the_suffixes_themselves():
+    rng = random.Random(6)
+    for _ in range(40):
+        texts = texts_of(rng, 5) + [b"", b"ba", b"aab", b"aaa"]
+        sizes = np.array([len(t) for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        got = R.next_smaller(data, starts, sizes)
+        for t, at in zip(texts, starts, strict=True):
+            smaller = [p for p in range(len(t)) if t[p:] < t[p + 1:]]
+            assert got[at:at + len(t)].tolist() == [min((at + s for s in smaller if s >= p), default=-1) for p in range(len(t))]
+
+
+@pytest.mark.parametrize("length", [96, 100, 160])
+def test_two_stages_find_what_a_plain_search_finds(length):
+    rng = random.Random(length)
+    for _ in range(25):
+        texts = texts_of(rng, 12)
+        sizes = np.array([len(t) for t in texts])
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        strings = [(d, p) for d, t in enumerate(texts) for p in range(len(t) - length + 1)]
+        if not strings:
+            continue
+        text, at = (np.array(x) for x in zip(*strings, strict=True))
+        text, at, stands, keys, leads = R.smaller_suffixes(data, starts, sizes, text, at, length, R.next_smaller(data, starts, sizes))
+        assert sum(int(s).bit_count() for s in stands) == len(strings) > len(stands) or len(stands) == len(strings)
+        rows = np.zeros(len(text), R.SMALLER)
+        rows["doc"], rows["at"], rows["stands"] = text, at, stands
+        got = {(int(r["doc"]), p) for r in R.induced(rows, keys, leads, length) for p in range(r["lo"], r["hi"] + 1)}
+        seen, want = set(), set()
+        for d, p in strings:
+            key = texts[d][p:p + length]
+            want |= {(d, p)} if key in seen else set()
+            seen.add(key)
+        assert got == want
+
+
+def test_the_query_on_the_given_table(spark):
+    from ledgerline.llm import queries as Q
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect())
+    got = sorted(tuple(r) for r in Q.queries()["op9_repeats"](spark, SF_SMALL).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == sorted(plain(rows))
