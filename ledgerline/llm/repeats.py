@@ -58,7 +58,7 @@ LEAD = 32
 RUN = np.dtype([("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("open", "<i4")])      # open: step 3 decides
 RUNS = "doc long, open boolean, data binary"
 KIND = "bucket int, runs boolean, data binary"
-SORTED = "bucket int, runs boolean, data binary, keys binary, leads binary"
+SORTED = "bucket int, runs boolean, data binary, keys binary, leads binary, n int"
 
 _RNG = np.random.default_rng(20_231)
 BYTES = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -317,6 +317,9 @@ def smaller_suffixes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, te
         keys[i, end[i] - to[i]:] = 0
     for i in np.flatnonzero(to - LEAD < begin):
         leads[i, :LEAD - (to[i] - begin[i])] = 0
+    # bytes that no string stands for are zeros
+    farthest = np.log2(stands.astype(np.float64)).astype(np.int64)            # the highest bit of at most LEAD + 1
+    leads *= np.arange(LEAD, 0, -1) <= farthest[:, None]
     return text, to - starts[text], stands, keys, leads
 
 
@@ -332,14 +335,15 @@ def sorted_by_bucket(rows: np.ndarray, keys: np.ndarray, leads: np.ndarray, leng
     for i in range(0, length - LEAD - 7, 8):
         h = mixed(h * U(3) + word(keys, i))
     bucket = (h % U(buckets)).astype(np.int64)
-    order = np.lexsort((word(keys), bucket))
+    order = np.lexsort((*[word(keys, i) for i in (24, 16, 8, 0)], bucket))           # neighbours pack well
     rows, keys, leads, bucket = rows[order], keys[order], leads[order], bucket[order]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     cuts = list(zip(first, [*first[1:], len(rows)], strict=True))
-    packed = lambda x: pa.array([pa.compress(x[i:j].tobytes(), "zstd", asbytes=True) for i, j in cuts], pa.binary())
+    codec = pa.Codec("zstd", 3)
+    packed = lambda x: pa.array([codec.compress(x[i:j].tobytes(), asbytes=True) for i, j in cuts], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), False)), pa.array([rows[i:j].tobytes() for i, j in cuts], pa.binary()),
-         packed(keys), packed(leads)], names=["bucket", "runs", "data", "keys", "leads"])
+        [pa.array(bucket[first].astype(np.int32)), pa.array(np.full(len(first), False)), packed(rows), packed(keys), packed(leads),
+         pa.array([int(j - i) for i, j in cuts], pa.int32())], names=["bucket", "runs", "data", "keys", "leads", "n"])
 
 
 def find_strings(length: int, buckets: int):
@@ -367,7 +371,8 @@ def find_strings(length: int, buckets: int):
                 yield sorted_by_bucket(*[np.concatenate(x) for x in zip(*parts, strict=True)], length, buckets)
             known = by_bucket(united(runs), mixed(united(runs)["doc"].astype(U)) % U(buckets), True)
             none = pa.nulls(len(known), pa.binary())
-            yield pa.RecordBatch.from_arrays([*known.columns, none, none], names=["bucket", "runs", "data", "keys", "leads"])
+            yield pa.RecordBatch.from_arrays([*known.columns, none, none, pa.nulls(len(known), pa.int32())],
+                                             names=["bucket", "runs", "data", "keys", "leads", "n"])
         for batch in batches:
             docs = batch.column(0).to_numpy()
             texts = [t.encode() for t in batch.column(1).to_pylist()]
@@ -431,11 +436,10 @@ def induced(rows: np.ndarray, keys: np.ndarray, leads: np.ndarray, length: int)
 
 
 def sort_buckets(length: int):
-    """Step 3, over (bucket, runs, data, keys, leads): whole buckets in, (doc, data) of runs out."""
+    """Step 3, over (bucket, runs, data, keys, leads, n): whole buckets in, (doc, data) of runs out."""
 
-    def unpacked(parts: list[bytes], n: list[int], width: int) -> np.ndarray:
-        raw = [pa.decompress(p, k * width, "zstd", asbytes=True) for p, k in zip(parts, n, strict=True)]
-        return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
+    def unpacked(parts: list[bytes], n: list[int], width: int) -> bytes:
+        return b"".join(pa.decompress(p, k * width, "zstd", asbytes=True) for p, k in zip(parts, n, strict=True))
 
     def task(batches):
         buckets: dict[int, list[tuple]] = {}
@@ -449,9 +453,9 @@ def sort_buckets(length: int):
             if known:
                 yield run_rows(np.concatenate(known))
         while buckets:
-            data, keys, leads = zip(*buckets.popitem()[1], strict=True)
-            n = [len(d) // SMALLER.itemsize for d in data]
-            yield run_rows(induced(np.frombuffer(b"".join(data), SMALLER), unpacked(keys, n, length), unpacked(leads, n, LEAD), length))
+            data, keys, leads, n = zip(*buckets.popitem()[1], strict=True)
+            table = lambda parts, width: np.frombuffer(unpacked(parts, n, width), np.uint8).reshape(-1, width)
+            yield run_rows(induced(np.frombuffer(unpacked(data, n, SMALLER.itemsize), SMALLER), table(keys, length), table(leads, LEAD), length))
     return task
 
 
