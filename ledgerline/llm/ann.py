@@ -132,16 +132,16 @@ def probe(index):
 
 
 def blocks_of(most: int, dimensions: int):
-    """One row per block of (list, share): sorted rows in, (list, ids, vectors, columns) out."""
+    """One row per block of (list, share): sorted rows in, (list, share, ids, vectors, columns) out."""
     def task(batches):
         key, ids, vectors, rotated = None, [], [], []
 
         def block():
             columns = np.frombuffer(b"".join(rotated), np.float32).reshape(-1, dimensions).T      # a dimension a row
             row = pa.RecordBatch.from_arrays(
-                [pa.array([key[0]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
+                [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
                  pa.array([b"".join(vectors)], pa.binary()), pa.array([columns.tobytes()], pa.binary())],
-                names=["list", "ids", "vectors", "columns"])
+                names=["list", "share", "ids", "vectors", "columns"])
             for x in (ids, vectors, rotated):
                 x.clear()
             return row
@@ -240,7 +240,7 @@ def nearest(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     n = rows.count()
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MOST_SAMPLE, max(1000, (256 << 20) // (8 * d))))
     turn = rotation(d, seed)
-    sample = unit(np.array([r["vector"] for r in picked.select("vector").collect()])) @ turn       # bounded
+    sample = unit(matrix(picked.select("vector").toArrow().column(0))) @ turn       # bounded: MOST_SAMPLE vectors, as one block of numbers
     lists = max(1, min(MOST_LISTS, round(math.sqrt(n)), len(sample) // 8))
     own = Index(turn, fit_centroids(sample, lists, seed), 1, k)
     own.probes = probes_for(own, sample, recall)
@@ -257,11 +257,14 @@ def nearest(table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
         share = F.pmod(F.xxhash64(id_name, F.lit(seed)), F.col("shares")).cast("int")
         dealt = rows.join(F.broadcast(counts), "list").select("list", share.alias("share"), id_name, "vector", "rotated")
         return materialise(dealt.repartition("list", "share").sortWithinPartitions("list", "share").mapInArrow(
-            blocks_of(most, d), "list int, ids binary, vectors binary, columns binary"), name)
+            blocks_of(most, d), "list int, share int, ids binary, vectors binary, columns binary"), name)
     held = blocks(listed, "vec_id", BLOCK, "blocks")
-    probing = blocks(asked, "query_id", QUERIES, "queries").withColumnsRenamed(
+    probing = blocks(asked, "query_id", QUERIES, "queries").drop("share").withColumnsRenamed(
         {"ids": "q_ids", "vectors": "q_vectors", "columns": "q_columns"})
-    pairs = held.join(probing, "list").select("ids", "vectors", "columns", "q_ids", "q_vectors", "q_columns")
+    # a block of queries meets each share of its list under a key of its own, so a list of any size spreads over tasks
+    shares = F.broadcast(sizes.select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("shares")))           # one row per list
+    probing = probing.join(shares, "list").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    pairs = held.hint("merge").join(probing, ["list", "share"]).select("ids", "vectors", "columns", "q_ids", "q_vectors", "q_columns")
     found = materialise(pairs.mapInArrow(search(k, d), "query_id long, vec_id long, score double"), "found")
     discard(listed, asked)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

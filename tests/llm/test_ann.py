@@ -59,3 +59,27 @@ def test_repeats_and_empty(spark):
     assert [i for i, _ in got[0]] == [7] * 5
     assert run(spark, [(0, [1.0, 0.0], 0, "x")]) == {}
     assert A.nearest(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_recall_of_the_query_on_the_given_table(spark):
+    """Cosines by matrix product, independent of the operator's."""
+    from conftest import SF_SMALL
+    from ledgerline.llm import queries as Q
+    d = SF_SMALL.replace("0.001", "0.1")
+    rows = sorted((r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids = np.array([i for i, _ in rows])
+    v = np.array([x for _, x in rows], np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for r in Q.queries()["op7_nearest"](spark, d).collect():
+        got.setdefault(r.query_id, []).append(r)
+    assert set(got) == set(ids[ids % 50 == 0].tolist())
+    hit = 0
+    for q, found in got.items():
+        near = v @ v[ids == q][0]
+        near[ids == q] = -2
+        want = set(ids[np.lexsort((ids, -near))[:5]].tolist())
+        assert sorted(r.rank for r in found) == [1, 2, 3, 4, 5]
+        assert all(abs(near[ids == r.vec_id][0] - r.score) < 1e-12 for r in found)
+        hit += len(want & {r.vec_id for r in found})
+    assert hit / (5 * len(got)) >= 0.95
