@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, free_name, materialise
 
-#: The levels of one cascade may take so many bytes.
+#: The cascades that tasks hold at a time may take about so many bytes; more listed keys are judged part by part.
 MOST_BYTES = 256 << 20
+#: Words of a level that travel as one block.
+BLOCK_WORDS = 4096
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -90,17 +92,47 @@ class Level:
         """Set the bits of ``keys`` (h1, h2): tasks turn keys into words, words meet by number, and words are gathered."""
         number, bits, probes = self.number, self.bits, min(self.probes, 30)
 
+        def blocks(held: dict[int, np.ndarray]) -> pd.DataFrame:
+            return pd.DataFrame({"block": list(held), "words": [w.tobytes() for w in held.values()]})
+
         def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                at = np.concatenate(positions(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), number, bits, probes))
-                bit = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
-                yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": bit})
-        rows = keys.mapInPandas(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-        for row in rows.toLocalIterator():                  # at most one row per word of the level
-            self.words[row["word"]] = np.int64(row["bits"]).view(np.uint64)
+                at = np.unique(np.concatenate(positions(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), number, bits, probes)))
+                block = (at // np.uint64(64 * BLOCK_WORDS)).astype(np.int64)
+                held = {}
+                for part in np.split(at, np.flatnonzero(np.diff(block)) + 1) if len(at) else []:
+                    w = held[int(part[0]) // (64 * BLOCK_WORDS)] = np.zeros(BLOCK_WORDS, np.uint64)
+                    np.bitwise_or.at(w, (part >> np.uint64(6)).astype(np.int64) % BLOCK_WORDS, np.uint64(1) << (part & np.uint64(63)))
+                yield blocks(held)
+
+        def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[int, np.ndarray] = {}
+            for pdf in batches:
+                for block, data in zip(pdf["block"], pdf["words"], strict=True):
+                    w = np.frombuffer(data, np.uint64)
+                    held[block] = held[block] | w if block in held else w
+            yield blocks(held)
+        parts = max(1, min(200, len(self.words) // BLOCK_WORDS))
+        kind = "block long, words binary"
+        rows = keys.mapInPandas(words, kind).repartition(parts, "block").mapInPandas(united, kind)
+        for row in rows.toLocalIterator():                  # one row per block: the level itself
+            at = row["block"] * BLOCK_WORDS
+            self.words[at:at + BLOCK_WORDS] = np.frombuffer(row["words"], np.uint64)[:len(self.words) - at]
         return self
 
 
+def cascade_parts(listed: int, universe: int) -> int:
+    """Parts of ``listed`` keys whose cascades over ``universe`` keys take about MOST_BYTES each: some log2(e) bits a key
+    for each halving of the first level's rate, and as many again for the levels after it."""
+    rate = min(0.5, max(1e-9, listed * math.sqrt(0.5) / max(universe, 1)))
+    return max(1, math.ceil(listed * 1.5 * (-math.log2(rate) + 4) / 8 / MOST_BYTES))
+
+
+def part_of(h1, parts: int):
+    """The part of keys, by bits of their first hash."""
+    return (np.asarray(h1).astype(np.uint64) >> np.uint64(17)) % np.uint64(parts)
+
+
 def is_listed(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     """Whether each key of the universe is listed."""
     out, open_ = np.zeros(len(h1), bool), np.arange(len(h1))
@@ -138,15 +170,13 @@ def build(listed: DataFrame, universe: DataFrame, later_rate: float = 0.5) -> li
     against = materialise(passing(keys, levels[0]).distinct().join(listed, ["h1", "h2"], "left_anti"), "passed")
     own, size = listed, against.count()
     while size:
-        if len(levels) > 200:
-            raise ValueError("the cascade does not end: two keys share both hashes")
+        if len(levels) > 200:                                # keys are told apart by 128 bits of hash
+            raise ValueError("the cascade does not end: a listed and another key share both hashes")
         levels.append(Level.sized(len(levels), size, later_rate).fill(against))
         nxt = materialise(passing(own, levels[-1]), "passed")
         if own is not listed:
             discard(own)
         own, against, size = against, nxt, nxt.count()
-    if sum(x.words.nbytes for x in levels) > MOST_BYTES:
-        raise ValueError("the cascade is larger than MOST_BYTES: use fewer rules a cascade")
     return levels
 
 
@@ -156,7 +186,8 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     ``rules``: (host, path, verdict).  A rule fits its host and all subdomains
     of it, if the url's path starts with the rule's.  The longest rule wins,
     then the one with the longer host; of rules listed with several verdicts the
-    alphabetically first verdict.  Urls without a rule (also null ones and those without ``://``)
+    alphabetically first verdict.  Rules beyond what MOST_BYTES of cascades hold are split by hash, and the pages
+    are gone through once for each part.  Urls without a rule (also null ones and those without ``://``)
     get ``default``.  Columns of these names are replaced.  Empty tables give empty results.
     """
     spark = pages.sparkSession
@@ -172,32 +203,48 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
                             F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     slim = pages.select(host.alias("host"), path.alias("path"))
     universe = slim.select(F.explode(candidate_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-    cascades = [build(rules.filter(F.col("verdict") == v).select(key.alias("key")), universe) for v in verdicts]
-    shared = spark.sparkContext.broadcast(cascades)
-
-    @F.pandas_udf("int")
-    def first_rule(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        """Of each url's keys in their order, the first that a cascade lists: place * cascades + cascade; -1: none."""
-        sizes = h1.map(len).to_numpy()
-        if not sizes.sum():
-            return pd.Series(np.full(len(h1), -1, np.int32))
-        a, b = np.concatenate(h1.to_numpy()).astype(np.int64), np.concatenate(h2.to_numpy()).astype(np.int64)
-        best = np.full(len(a), -1)
-        for i, levels in reversed(list(enumerate(shared.value))):
-            best[is_listed(levels, a, b)] = i
-        start = np.cumsum(sizes) - sizes
-        place = np.arange(len(a)) - np.repeat(start, sizes)
-        hit = np.flatnonzero(best >= 0)
-        row = np.repeat(np.arange(len(sizes)), sizes)[hit]
-        rows, at = np.unique(row, return_index=True)          # the first hit of each row
-        out = np.full(len(sizes), -1, np.int32)
-        out[rows] = place[hit[at]] * len(shared.value) + best[hit[at]]
-        return pd.Series(out)
+    # one more pass over the corpus, and only where the rules may need several parts
+    parts = 1
+    if cascade_parts(n_rules := rules.count(), 10 ** 12) > 1:
+        parts = cascade_parts(n_rules, universe.agg(F.approx_count_distinct("key")).first()[0])
+
+    def first_rule(cascades: list[list[Level]], part: int):
+        shared = spark.sparkContext.broadcast(cascades)
+
+        @F.pandas_udf("int")
+        def found_in(h1: pd.Series, h2: pd.Series) -> pd.Series:
+            """Of each url's keys in their order, the first that a cascade lists: place * cascades + cascade; -1: none."""
+            sizes = h1.map(len).to_numpy()
+            if not sizes.sum():
+                return pd.Series(np.full(len(h1), -1, np.int32))
+            a, b = np.concatenate(h1.to_numpy()).astype(np.int64), np.concatenate(h2.to_numpy()).astype(np.int64)
+            best, mine = np.full(len(a), -1), np.flatnonzero(part_of(a, parts) == part)
+            for i, levels in reversed(list(enumerate(shared.value))):
+                best[mine[is_listed(levels, a[mine], b[mine])]] = i
+            start = np.cumsum(sizes) - sizes
+            place = np.arange(len(a)) - np.repeat(start, sizes)
+            hit = np.flatnonzero(best >= 0)
+            row = np.repeat(np.arange(len(sizes)), sizes)[hit]
+            rows, at = np.unique(row, return_index=True)          # the first hit of each row
+            out = np.full(len(sizes), -1, np.int32)
+            out[rows] = place[hit[at]] * len(shared.value) + best[hit[at]]
+            return pd.Series(out)
+        return found_in
 
     keys, found = free_name(pages, "keys"), free_name(pages, "found")
     out = (pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
            .withColumn(keys, candidate_keys(F.col("host"), F.col("path"), lengths)))
-    out = out.withColumn(found, first_rule(F.transform(keys, lambda k: hashes(k)[0]), F.transform(keys, lambda k: hashes(k)[1])))
+    both = F.transform(keys, lambda k: hashes(k)[0]), F.transform(keys, lambda k: hashes(k)[1])
+    own = F.pmod(F.shiftrightunsigned(F.xxhash64("key"), 17), F.lit(parts))
+    for part in range(parts):                               # tasks hold the cascades of one part at a time
+        mine = [x.filter(own == part) if parts > 1 else x for x in (*[rules.filter(F.col("verdict") == v).select(key.alias("key")) for v in verdicts], universe)]
+        cascades = [build(listed, mine[-1]) for listed in mine[:-1]]
+        hit = first_rule(cascades, part)(*both)
+        if part:
+            hit = F.when((hit >= 0) & ((F.col(found) < 0) | (hit < F.col(found))), hit).otherwise(F.col(found))
+        out = out.withColumn(found, hit)
+        if parts > 1:
+            out = materialise(out, "judged")
     n = len(verdicts)
     rule = F.when(F.col(found) >= 0, F.get(F.col(keys), F.floor(F.col(found) / n).cast("int")))
     verdict = F.when(F.col(found) >= 0, F.get(F.array(*[F.lit(v) for v in verdicts]), F.col(found) % n))

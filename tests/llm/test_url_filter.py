@@ -51,3 +51,33 @@ def test_empty_tables(spark):
     assert U.judge(pages, rules).count() == 0
     one = spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string")
     assert [tuple(r) for r in U.judge(one, rules.limit(0)).collect()] == [(1, "http://a.com/", "a.com", "/", None, "allow")]
+
+
+def test_rules_in_parts_judge_like_one_cascade(spark, monkeypatch):
+    rng = random.Random(2)
+    labels = ["a", "b", "c", "www", "net", "com"]
+    rules = {(".".join(rng.choice(labels) for _ in range(rng.randint(1, 3))), rng.choice(["/", "/x", "/x/y"])): rng.choice(["allow", "block", "ask"]) for _ in range(60)}
+    rules = [(*k, v) for k, v in rules.items()]
+    urls = [f"http://{'.'.join(rng.choice(labels) for _ in range(rng.randint(1, 4)))}{rng.choice(['', '/', '/x', '/x/y/z'])}" for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    want = [plain(u, rules) for u in urls]
+    for parts in (1, 3):
+        monkeypatch.setattr(U, "cascade_parts", lambda *a, parts=parts: parts)
+        got = sorted(U.judge(pages, frame).collect(), key=lambda r: r.page_id)
+        assert [tuple(r)[2:] for r in got] == want
+
+
+def test_parts_follow_the_size_of_the_cascades():
+    assert U.cascade_parts(5, 10 ** 12) == 1 and U.cascade_parts(10 ** 6, 10 ** 10) == 1
+    assert U.cascade_parts(10 ** 9, 10 ** 12) > 5
+
+
+def test_a_level_of_many_blocks_holds_its_keys(spark):
+    keys = spark.range(60_000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"))
+    level = U.Level.sized(0, 60_000, 0.001).fill(keys.repartition(5))
+    assert len(level.words) > 3 * U.BLOCK_WORDS
+    h = keys.toPandas().to_numpy()
+    assert level.has(h[:, 0], h[:, 1]).all()
+    other = spark.range(60_000, 90_000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2")).toPandas().to_numpy()
+    assert level.has(other[:, 0], other[:, 1]).mean() < 0.004
