@@ -28,8 +28,8 @@ from .common import discard, free_name, materialise
 
 #: The cascades that tasks hold at a time may take about so many bytes; more listed keys are judged part by part.
 MOST_BYTES = 256 << 20
-#: Words of a level that travel as one block.
-BLOCK_WORDS = 4096
+#: Words of a level that the driver takes at a time.
+FETCH_WORDS = 1 << 21
 SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -92,32 +92,20 @@ class Level:
         """Set the bits of ``keys`` (h1, h2): tasks turn keys into words, words meet by number, and words are gathered."""
         number, bits, probes = self.number, self.bits, min(self.probes, 30)
 
-        def blocks(held: dict[int, np.ndarray]) -> pd.DataFrame:
-            return pd.DataFrame({"block": list(held), "words": [w.tobytes() for w in held.values()]})
-
         def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                at = np.unique(np.concatenate(positions(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), number, bits, probes)))
-                block = (at // np.uint64(64 * BLOCK_WORDS)).astype(np.int64)
-                held = {}
-                for part in np.split(at, np.flatnonzero(np.diff(block)) + 1) if len(at) else []:
-                    w = held[int(part[0]) // (64 * BLOCK_WORDS)] = np.zeros(BLOCK_WORDS, np.uint64)
-                    np.bitwise_or.at(w, (part >> np.uint64(6)).astype(np.int64) % BLOCK_WORDS, np.uint64(1) << (part & np.uint64(63)))
-                yield blocks(held)
-
-        def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[int, np.ndarray] = {}
-            for pdf in batches:
-                for block, data in zip(pdf["block"], pdf["words"], strict=True):
-                    w = np.frombuffer(data, np.uint64)
-                    held[block] = held[block] | w if block in held else w
-            yield blocks(held)
-        parts = max(1, min(200, len(self.words) // BLOCK_WORDS))
-        kind = "block long, words binary"
-        rows = keys.mapInPandas(words, kind).repartition(parts, "block").mapInPandas(united, kind)
-        for row in rows.toLocalIterator():                  # one row per block: the level itself
-            at = row["block"] * BLOCK_WORDS
-            self.words[at:at + BLOCK_WORDS] = np.frombuffer(row["words"], np.uint64)[:len(self.words) - at]
+                at = np.concatenate(positions(pdf["h1"].to_numpy(), pdf["h2"].to_numpy(), number, bits, probes))
+                bit = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
+                yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": bit})
+        rows = keys.mapInPandas(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        many = len(self.words) > FETCH_WORDS
+        if many:
+            rows = materialise(rows, "words")
+        for lo in range(0, len(self.words), FETCH_WORDS):   # at most one row per word of the level, a bounded number at a time
+            part = (rows.filter((F.col("word") >= lo) & (F.col("word") < lo + FETCH_WORDS)) if many else rows).toArrow()
+            self.words[part["word"].to_numpy()] = part["bits"].to_numpy().view(np.uint64)
+        if many:
+            discard(rows)
         return self
 
 

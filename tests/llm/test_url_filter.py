@@ -73,10 +73,11 @@ def test_parts_follow_the_size_of_the_cascades():
     assert U.cascade_parts(10 ** 9, 10 ** 12) > 5
 
 
-def test_a_level_of_many_blocks_holds_its_keys(spark):
+def test_a_level_that_is_gathered_in_pieces_holds_its_keys(spark, monkeypatch):
+    monkeypatch.setattr(U, "FETCH_WORDS", 4000)
     keys = spark.range(60_000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"))
     level = U.Level.sized(0, 60_000, 0.001).fill(keys.repartition(5))
-    assert len(level.words) > 3 * U.BLOCK_WORDS
+    assert len(level.words) > 3 * U.FETCH_WORDS
     h = keys.toPandas().to_numpy()
     assert level.has(h[:, 0], h[:, 1]).all()
     other = spark.range(60_000, 90_000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2")).toPandas().to_numpy()
