@@ -184,13 +184,11 @@ def scd2(existing: DataFrame | None, staged: DataFrame, key: str, tracked: list[
         (in_c & in_s & changed & (F.col("c.effective_date") < as_of)).alias("_chg"),
         (in_c & in_s & changed & (F.col("c.effective_date") >= as_of)).alias("_amend"), *[F.col(f"s.{c}").alias(c) for c in extra],
     )
-    kept = tagged.where("_in_c AND _in_s AND NOT _chg").select(
-        sk_col, key, *[F.when(F.col("_amend"), F.col(f"_s_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in attrs],
-        "effective_date", F.lit(None).cast("date").alias("expiry_date"), F.lit(True).alias("is_current"), *extra)
-    closed = tagged.where("_chg OR (_in_c AND NOT _in_s)").select(
-        sk_col, key, *[F.col(f"_c_{c}").alias(c) for c in attrs], "effective_date",
-        F.greatest(F.date_sub(as_of, 1), F.col("effective_date")).alias("expiry_date"), F.lit(False).alias("is_current"),
-        *[F.lit(None).cast("long").alias(c) for c in extra])
+    # each current row stays, amended or not, or is closed: one row out, one pass
+    closing = F.col("_chg") | ~F.col("_in_s")
+    current = tagged.where("_in_c").select(
+        sk_col, key, *[F.when(F.col("_amend"), F.col(f"_s_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in attrs], "effective_date",
+        F.when(closing, F.greatest(F.date_sub(as_of, 1), F.col("effective_date"))).alias("expiry_date"), (~closing).alias("is_current"), *extra)
     opened = tagged.where("_chg OR (_in_s AND NOT _in_c)").select(
         key, *[F.col(f"_s_{c}").alias(c) for c in attrs], *extra,
         as_of.alias("effective_date"), F.lit(None).cast("date").alias("expiry_date"),
@@ -198,8 +196,7 @@ def scd2(existing: DataFrame | None, staged: DataFrame, key: str, tracked: list[
     opened = assign_dense_keys(opened, [key], sk_col, next_key_start(existing, sk_col))
     cols = [sk_col, key, *attrs, "effective_date", "expiry_date", "is_current", *extra]
     hist = hist.select("*", *[F.lit(None).cast("long").alias(c) for c in extra])
-    return (hist.select(*cols).unionByName(kept.select(*cols))
-            .unionByName(closed.select(*cols)).unionByName(opened.select(*cols)))
+    return hist.select(*cols).unionByName(current.select(*cols)).unionByName(opened.select(*cols))
 
 
 def update_where(df: DataFrame, cond: Column, assignments: Mapping[str, Column]) -> DataFrame:
