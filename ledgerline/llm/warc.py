@@ -188,11 +188,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     chain = candidates(pieces)
     on_chain = reachable(chain)
     ends = chain.groupBy("file").agg(F.max("end").alias("file_end"))
-    chain = chain.join(on_chain, (chain["file"] == on_chain["file"]) & (chain["offset"] == on_chain["reached"]), "left").select(
+    # offsets on the chain grow with the archives: never a broadcast, also where they are still few
+    chain = chain.hint("merge").join(on_chain, (chain["file"] == on_chain["file"]) & (chain["offset"] == on_chain["reached"]), "left").select(
         chain["*"], "reached").join(ends, "file")
-    upto = Window.partitionBy("file").orderBy("offset")
-    chain = (chain.withColumn("owner", F.last("reached", ignorenulls=True).over(upto))
-             .withColumn("follower", F.lead("reached").over(upto)))
+    chain = materialise(chain, "linked")
+    # within each byte range, and from range to range by one row a range
+    inside = Window.partitionBy("file", "block").orderBy("offset")
+    across = Window.partitionBy("file").orderBy("block")
+    ranges = chain.groupBy("file", "block").agg(F.max("reached").alias("last"), F.min_by("reached", "offset").alias("first")).select(
+        "file", "block", F.last("last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("owner_before"),
+        F.lead("first").over(across).alias("first_after"))
+    chain = (chain.withColumn("owner", F.last("reached", ignorenulls=True).over(inside))
+             .withColumn("follower", F.lead("reached").over(inside)).withColumn("more", F.lead("offset").over(inside))
+             .join(ranges, ["file", "block"])
+             .withColumn("owner", F.coalesce("owner", "owner_before"))
+             .withColumn("follower", F.when(F.col("more").isNull(), F.col("first_after")).otherwise(F.col("follower"))))
     # a whole record of one piece: the next piece starts where it ends, and is on the chain too
     plain = F.col("reached").isNotNull() & (F.col("next") == F.col("end")) & (
         F.col("follower").isNotNull() | (F.col("end") == F.col("file_end")))
