@@ -14,9 +14,10 @@ a large one every member is checked against its most central text, the one
 whose other buckets are the fullest, which of edited copies is the one they were
 copied from.  While members are left in other classes than that text's, the
 most central of them is next, ROUNDS times.  Buckets that are then still split
-(texts that share a passage, or copies without their source) are cut into blocks of BLOCK texts, and
-each pair of blocks is one row, in which a task compares the texts of different
-classes whose total weights allow the similarity.  So no size of bucket ends the search.
+(texts that share a passage, or copies without their source) are searched by an exact prefix filter: texts of
+different classes meet at their rarest shingles only, where a link must have its first common shingle, and are
+compared if the weights from there on allow the similarity.  So no size of bucket ends the search, and none is
+gone through pair by pair.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ IDF_BUCKETS = 1 << 18
 #: Buckets of up to so many texts are checked pair by pair.
 SMALL = 6
 ROUNDS = 1
-#: Texts of one block of a bucket that stays split.
+#: Texts of one block of a shingle that many texts hold among their rarest.
 BLOCK = 64
+#: Sums of weights in two orders differ by less.
+SLACK = 1e-6
 #: Members that meet one copy of the text they are compared with.
 SHARE = 128
 CHUNK = 2 << 20
@@ -304,70 +307,46 @@ def next_round(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.select("key", "doc", "n", "central", F.col("next").alias("leader")), ordered(pairs)
 
 
-def packed_blocks(batches):
-    """One row per (key, block): sorted rows in, the block's texts as one Arrow stream out."""
-    at, rows = None, []
-
-    def block():
-        columns = list(zip(*rows, strict=True))
-        table = pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
-             pa.array(columns[3], pa.list_(pa.int64())), pa.array(columns[4], pa.binary())], names=["doc", "class", "total", "keys", "data"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as writer:
-            writer.write_batch(table)
-        rows.clear()
-        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int64()), pa.array([at[1]], pa.int64()),
-                                           pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["key", "block", "texts"])
-    for batch in batches:
-        for key, number, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if rows and (key, number) != at:
-                yield block()
-            at = key, number
-            rows.append(row)
-    if rows:
-        yield block()
-
-
-def check_blocks(threshold: float):
-    """Links among rows (key, x, y): two blocks of a bucket.  A pair counts in the first bucket that both texts are in."""
-
-    def texts(block: bytes) -> list[tuple]:
-        t = pa.ipc.open_stream(block).read_all()
-        return list(zip(*[c.to_pylist() for c in t.columns[:4]], [np.frombuffer(d, SET) for d in t.column(4).to_pylist()], strict=True))
-
+def rarest_shingles(idf, threshold: float):
+    """(shingle, doc, class, total, rest) of (doc, class, data, total): a text's rarest shingles, the others weighing less than
+    ``threshold`` of it.  ``rest`` is what the shingle and the commoner ones after it weigh."""
     def task(batches):
         for batch in batches:
-            found: list[tuple] = []
-            for key, one, two in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                xs, ys = texts(one), texts(two)
-                for a, class_a, total_a, keys_a, data_a in xs:
-                    mine = set(keys_a)
-                    for b, class_b, total_b, keys_b, data_b in ys:
-                        if class_a == class_b or a == b or one == two and a > b:
-                            continue
-                        if min(total_a, total_b) < (threshold - 1e-6) * max(total_a, total_b) or min(mine.intersection(keys_b)) != key:
-                            continue
-                        s = similarity(data_a, data_b)
-                        if s >= threshold:
-                            found.append((min(a, b), max(a, b), s))
-            a, b, s = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())],
-                                             names=["a", "b", "similarity"])
+            parts = []
+            for doc, label, data, total in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held = np.frombuffer(data, SET)
+                order = np.lexsort((held["shingle"], -idf.value[held["shingle"] & (IDF_BUCKETS - 1)]))
+                rest = np.cumsum(held["weight"][order][::-1].astype(float))[::-1]
+                many = int((rest >= threshold * total * (1 - SLACK)).sum())
+                parts.append((held["shingle"][order[:many]].astype(np.int64), np.full(many, doc, np.int64), np.full(many, label, np.int64),
+                              np.full(many, total), rest[:many]))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)],
+                                                 names=["shingle", "doc", "class", "total", "rest"])
     return task
 
 
-def links_in_blocks(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    keys = open_.groupBy("doc").agg(F.collect_list("key").alias("keys"))              # at most BANDS of them
-    block = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
-    texts = open_.select("key", "doc", "class", block.alias("block")).join(sets.join(keys, "doc"), "doc").select(
-        "key", "block", "doc", "class", "total", "keys", "data")
-    blocks = materialise(texts.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(
-        packed_blocks, "key long, block long, texts binary"), "blocks")
-    x, y = blocks.alias("x"), blocks.alias("y")
-    pairs = x.join(y, F.col("x.key") == F.col("y.key")).filter("x.block <= y.block").select(
-        F.col("x.key").alias("key"), F.col("x.texts").alias("one"), F.col("y.texts").alias("two"))
-    return materialise(pairs.mapInArrow(check_blocks(threshold), "a long, b long, similarity double"), "links")
+def rare_pairs(open_: DataFrame, sets: DataFrame, idf, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts in split buckets, of different classes, that may reach the threshold; no link among them is lost.
+
+    With all shingles in one order, rarest first, the common weight of a link lies at and after its first common shingle.
+    It is at least threshold / (1 + threshold) of both totals together, and threshold of either, so that shingle is among the
+    rarest of both texts and both their rests there reach that weight.
+    A shingle of many texts is dealt to cells of two blocks each, every cell under a key of its own.
+    """
+    texts = open_.select("doc", "class").distinct().join(sets, "doc").select("doc", "class", "data", "total")
+    rare = materialise(texts.mapInArrow(rarest_shingles(idf, threshold), "shingle long, doc long, class long, total double, rest double"), "rare")
+    shared = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
+    rare = rare.join(materialise(shared.filter("lo != hi").select("shingle", F.ceil(F.col("n") / BLOCK).alias("blocks")), "shared"), "shingle")
+    rare = materialise(rare.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks")), "rare")
+    one = rare.select("shingle", F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"),
+                      F.struct("doc", "class", "total", "rest").alias("one"))
+    two = rare.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("x"), F.col("block").alias("y"),
+                      F.struct("doc", "class", "total", "rest").alias("two"))
+    least = F.greatest(F.greatest("one.total", "two.total") * threshold, (F.col("one.total") + F.col("two.total")) * (threshold / (1 + threshold)))
+    return one.join(two, ["shingle", "x", "y"]).filter("(x != y OR one.doc < two.doc) AND one.class != two.class").filter(
+        F.least("one.rest", "two.rest") >= least * (1 - SLACK)).select(
+        F.least("one.doc", "two.doc").alias("a"), F.greatest("one.doc", "two.doc").alias("b"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -400,7 +379,7 @@ def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         labels = components(found, labels)
         open_ = split_buckets(members, labels)
     if not open_.isEmpty():
-        found = links_in_blocks(open_, sets, threshold)
+        found = links_of(materialise(ordered(rare_pairs(open_, sets, idf, threshold)), "candidates"), sets, threshold)
         labels = components(found, labels)
     reps = docs.select("doc").join(copies, "doc", "left").select("doc", F.coalesce("rep", "doc").alias("text_doc"))
     known = labels.withColumnRenamed("doc", "text_doc")

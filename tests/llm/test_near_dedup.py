@@ -79,8 +79,8 @@ def test_classes_against_plain_version(spark):
 
 
 @pytest.mark.parametrize("rounds", [0, 1, 3])
-def test_large_buckets_by_rounds_and_blocks(spark, monkeypatch, rounds):
-    """Where every bucket counts as large, classes come from the rounds and from blocks."""
+def test_large_buckets_by_rounds_and_rare_shingles(spark, monkeypatch, rounds):
+    """Where every bucket counts as large, classes come from the rounds and from the texts' rarest shingles."""
     monkeypatch.setattr(N, "SMALL", 1)
     monkeypatch.setattr(N, "ROUNDS", rounds)
     monkeypatch.setattr(N, "BLOCK", 8)
@@ -90,6 +90,35 @@ def test_large_buckets_by_rounds_and_blocks(spark, monkeypatch, rounds):
     assert len([r for r in N.classes(df).collect() if r.class_id != want[r.id]]) <= 2
 
 
+def test_rare_pairs_hold_every_link_and_few_others(spark, monkeypatch):
+    """A bucket of texts that share half of their words: all links between classes, and not its pairs."""
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    passage = [rng.choice(words) for _ in range(80)]
+    own = [passage + [rng.choice(words) for _ in range(80)] for _ in range(100)]
+    texts = [" ".join(w) for w in own] + [edited(rng, own[i], rng.randint(0, 3)) for i in range(60)]
+    idf = N.inverse_frequencies(spark.createDataFrame([(t,) for t in texts], "text string"))
+    text, shingle, count = N.shingles([t.encode() for t in texts])
+    sets = []
+    for i in range(len(texts)):
+        mine = text == i
+        s = np.zeros(mine.sum(), N.SET)
+        s["shingle"], s["weight"] = shingle[mine], count[mine] * idf[shingle[mine] & (N.IDF_BUCKETS - 1)]
+        sets.append(s)
+    frame = spark.createDataFrame([(i, bytearray(s.tobytes()), float(s["weight"].sum(dtype=float))) for i, s in enumerate(sets)],
+                                  "doc long, data binary, total double")
+    open_ = spark.createDataFrame([(k, i, len(texts), 1, 0, i) for i in range(len(texts)) for k in (7, 8)],
+                                  "key long, doc long, n long, central long, leader long, class long")
+    held = spark.sparkContext.broadcast(idf)
+    got = {(r.a, r.b) for r in N.ordered(N.rare_pairs(open_, frame, held, 0.8)).collect()}
+    links = {(i, j) for j in range(len(texts)) for i in range(j) if N.similarity(sets[i], sets[j]) >= 0.8}
+    assert len(links) > 30 and links <= got
+    assert len(got) < 2 * len(texts)                                             # of 12,720 pairs
+    same = open_.withColumn("class", open_["class"] * 0)
+    assert N.rare_pairs(same, frame, held, 0.8).count() == 0
+
+
 def test_sampling_estimates_weighted_similarity():
     rng = np.random.default_rng(0)
     shingle = np.arange(400, dtype=np.uint32)
