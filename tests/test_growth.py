@@ -59,3 +59,22 @@ def test_loads_read_small_splits(spark):
             assert spark.conf.get(name) == held
     finally:
         spark.conf.set(name, own)
+
+
+def test_rows_of_known_keys_are_not_moved_to_find_the_new_ones(spark, monkeypatch):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "id long, s string")
+    staged = spark.createDataFrame([(1, "x"), (3, "c"), (3, "d"), (None, "m"), (2, "y")], "id long, s string")
+    own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (UP.MOST_REPEATED, 1, -10):             # few new keys; too many; surely too many
+            monkeypatch.setattr(UP, "MOST_REPEATED", most)
+            assert {tuple(r) for r in UP._unknown(old, staged, "id").collect()} == {(3, "c"), (3, "d"), (None, "m")}
+        monkeypatch.undo()
+        known = staged.where("id IN (1, 2)")
+        none = UP._unknown(old, known, "id")
+        assert none.isEmpty() and none.columns == ["id", "s"] and "Exchange" not in _plan(none)
+        # the staged side of the semi join, printed before the broadcast side, is not shuffled
+        assert "Exchange" not in _plan(UP._unknown(old, staged, "id")).split("BroadcastExchange")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
