@@ -94,6 +94,15 @@ def test_layouts_stay_where_nobody_says_that_their_rows_are_written(spark):
     assert len(_layouts(spark) - before) == 1 and keyed.count() == 5
 
 
+def test_payments_get_their_keys_from_a_scratch_table(spark, tmp_root, monkeypatch):
+    from ledgerline.plans import etl
+    seen, dense = [], etl.assign_dense_keys
+    monkeypatch.setattr(etl, "assign_dense_keys", lambda df, keys, sk, *a: seen.append((sk, _plan(df), df.inputFiles())) or dense(df, keys, sk, *a))
+    WH.load(spark, TableStore(spark, f"{tmp_root}/wh"), _source(spark), WH.FIXED_RUN_TS)
+    ((plan, files),) = [x for sk, *x in seen if sk == "payment_sk"]
+    assert "Exchange" not in plan and files and all("/_payment_candidates/" in f for f in files)
+
+
 def test_rows_that_are_known_are_not_moved_to_be_dropped(spark, monkeypatch):
     old = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "id long, s string")
     staged = spark.createDataFrame([(1, "x"), (3, "c"), (None, "m"), (2, "y")], "id long, s string")
