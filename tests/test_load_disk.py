@@ -19,6 +19,8 @@ from ledgerline.sources import testdata as TD
 from ledgerline.sources.store import TableStore
 from ledgerline.streaming import microbatch as MB
 
+from conftest import SF_SMALL
+
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -138,3 +140,12 @@ def test_rows_of_a_key_are_counted_without_moving_single_rows(spark):
 def test_rows_land_compressed_like_the_tables(spark, tmp_root):
     MB.land(spark.range(3).coalesce(1), f"{tmp_root}/landing", "part=0")
     assert glob.glob(f"{tmp_root}/landing/part=0/*.zstd.parquet") and spark.read.parquet(f"{tmp_root}/landing").count() == 3
+
+
+def test_source_tables_are_written_with_shuffles_released(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(WH, "_CACHE", {})
+    monkeypatch.setattr(TableStore, "write_version", lambda self, tables: seen.append(spark.conf.get(RELEASE_SHUFFLES)))
+    monkeypatch.setattr(TableStore, "read_all", lambda self: {})
+    WH.operational(spark, SF_SMALL)
+    assert seen == ["true"]
