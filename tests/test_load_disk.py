@@ -149,3 +149,16 @@ def test_source_tables_are_written_with_shuffles_released(spark, monkeypatch):
     monkeypatch.setattr(TableStore, "read_all", lambda self: {})
     WH.operational(spark, SF_SMALL)
     assert seen == ["true"]
+
+
+def test_an_increment_after_snapshots_looks_for_waiting_payments_once(spark, tmp_root, monkeypatch):
+    store, src, plans = TableStore(spark, f"{tmp_root}/wh"), _source(spark), {}
+    WH.load(spark, store, {**src, "payments": src["payments"].where("payment_id <= 3")}, WH.FIXED_RUN_TS)
+    write = store.write_table
+    monkeypatch.setattr(store, "write_table", lambda name, df, *a, **k: plans.update({name: _plan(df)}) or write(name, df, *a, **k))
+    late = src["customers"].withColumn("is_active", F.lit(True))             # payment 3 waits for its customer, 5 for its loan
+    WH.load(spark, store, {**src, "customers": late, "payments": src["payments"].where("payment_id > 3")}, WH.SECOND_RUN_TS, increment=True)
+    assert plans["pending_payments"].count("LeftAnti") == 2                  # against the new facts, for new rows and for waiting ones
+    assert not glob.glob(f"{tmp_root}/wh/tables/_*/*")
+    assert {r[0] for r in store.read("pending_payments").select("payment_id").collect()} == {5}
+    assert {r[0] for r in store.read("fact_payments").select("payment_id").collect()} == {1, 2, 3, 4}
